@@ -1,0 +1,18 @@
+"""Column roles. Operators take names as parameters; this value carries them together."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
+
+
+@dataclass(frozen=True)
+class FlowSpec:
+    label: str
+    features: tuple[str, ...]
+    row_key: str | None = None
+    timestamp: str | None = None
+    day: str = "capture_day"
+    benign: str = "Benign"
+
+    def with_features(self, features) -> "FlowSpec":
+        return replace(self, features=tuple(features))
