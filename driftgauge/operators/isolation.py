@@ -262,7 +262,7 @@ def train_isolation_forest(
     place = F.row_number().over(Window.partitionBy("tree").orderBy("u", "ticket", "x"))
     chosen = thinned.withColumn("place", place).where(F.col("place") <= psi).select("tree", "x")
 
-    def grow(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         values = np.stack(rows["x"].to_numpy())
         values = values[np.lexsort(values.T[::-1])]
         return _grow(values, int(key[0]), seed, max_depth)
