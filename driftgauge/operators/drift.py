@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftgauge.functions.numeric import finite, percent_shift, ratio
 from driftgauge.operators.cumulative import bucketed_long, running_totals
@@ -157,7 +158,7 @@ def unseen_summary(shifts: DataFrame, rates: DataFrame, order_by: str) -> DataFr
     return detection_vs_shift(shifts, rates).orderBy(F.col(order_by).desc_nulls_last(), "class")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail; one value for each tested feature and group."""
     return z.map(lambda v: None if v is None or math.isnan(v) else min(1.0, math.erfc(v / math.sqrt(2.0))))

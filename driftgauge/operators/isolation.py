@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftgauge.operators.clean import impute
 from driftgauge.operators.forest import feature_array
@@ -136,7 +137,7 @@ class AnomalyDetector:
         """Raw score in (0, 1] of an array of imputed feature values; higher is more anomalous."""
         shared = spark.sparkContext.broadcast(self.arrays)
 
-        @F.pandas_udf("double")
+        @F.pandas_udf(T.DoubleType())
         def walk(x: pd.Series) -> pd.Series:
             return pd.Series(shared.value.score(np.stack(x.to_numpy())) if len(x) else [], dtype=float)
 
@@ -146,7 +147,7 @@ class AnomalyDetector:
         """Array of score changes when one feature at a time is set to its reference value."""
         shared = spark.sparkContext.broadcast((self.arrays, np.asarray(reference, dtype=float)))
 
-        @F.pandas_udf("array<double>")
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def changes(x: pd.Series) -> pd.Series:
             trees, centre = shared.value
             values = np.stack(x.to_numpy()).astype(float)
