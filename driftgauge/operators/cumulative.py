@@ -24,9 +24,10 @@ def split_points(df: DataFrame, columns: Sequence[str], parts: int | None = None
     if parts < 2:
         return {c: [] for c in columns}
     at = [i / parts for i in range(1, parts)]
-    values = df.select(*[finite(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)])
-    found = values.approxQuantile([f"c{i}" for i in range(len(columns))], at, 1.0 / (4 * parts))
-    return {c: sorted(set(points)) for c, points in zip(columns, found)}
+    found = df.agg(
+        *[F.percentile_approx(finite(F.col(f"`{c}`")), at, 10 * parts).alias(f"c{i}") for i, c in enumerate(columns)]
+    ).first()
+    return {c: sorted(set(found[f"c{i}"] or [])) for i, c in enumerate(columns)}
 
 
 def bucketed_long(
@@ -66,9 +67,12 @@ def running_totals(
 ) -> DataFrame:
     """Adds ``cum_<c>`` for each count: the total over this value and those before it.
 
-    ``cells`` has one row for each ``(keys..., bucket, value)``.
+    ``cells`` has one row for each ``(keys..., bucket, value)``; its keys are not NULL.
     """
     group = [F.col(f"`{k}`") for k in keys]
+    # The join below implies this filter; stated here, both uses of the cells share one shuffle.
+    for column in [*group, F.col("bucket")]:
+        cells = cells.where(column.isNotNull())
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     inside = (
         Window.partitionBy(*group, "bucket").orderBy(direction("value")).rowsBetween(Window.unboundedPreceding, 0)
@@ -78,16 +82,53 @@ def running_totals(
         cells.groupBy(*group, "bucket")
         .agg(*[F.sum(c).alias(f"_total_{c}") for c in counts])
         .select(
-            *[g.alias(f"_k_{k}") for g, k in zip(group, keys)],
-            F.col("bucket").alias("_k_bucket"),
+            *group,
+            "bucket",
             *[F.coalesce(F.sum(f"_total_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in counts],
         )
     )
     local = cells.select("*", *[F.sum(c).over(inside).alias(f"_local_{c}") for c in counts])
-    same = F.col("bucket") == F.col("_k_bucket")
-    for k in keys:
-        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`_k_{k}`"))
-    return local.join(offsets, same).select(
+    # Same keys as the window's partitioning, so the join moves no rows of ``local``.
+    return local.join(offsets, [*keys, "bucket"]).select(
         *[F.col(f"`{c}`") for c in cells.columns],
         *[(F.col(f"_local_{c}") + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in counts],
     )
+
+
+def pair_sums(
+    cells: DataFrame, keys: Sequence[str], left: str, others: Sequence[str], additive: dict | None = None
+) -> DataFrame:
+    """``(keys..., <left>, <o>, <o>_pairs...)``: for each other count, its total and the number of
+    (left, other) pairs in which the left value is larger, equal values counting one half.
+
+    Pairs inside a bucket come from the bucket's own running sum; pairs across buckets are a
+    product of totals. So one pass over the cells suffices and nothing is joined.
+    ``additive`` names further sums over the cells.
+    """
+    group = [F.col(f"`{k}`") for k in keys]
+    inside = (
+        Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    earlier = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    additive = additive or {}
+    mine = F.col(left).cast("double")
+    per_bucket = (
+        cells.select("*", *[F.sum(o).over(inside).alias(f"_upto_{o}") for o in others])
+        .groupBy(*group, "bucket")
+        .agg(
+            F.sum(left).alias(left),
+            *[F.sum(o).alias(o) for o in others],
+            *[F.sum(mine * (F.col(f"_upto_{o}") - F.col(o) / F.lit(2.0))).alias(f"_within_{o}") for o in others],
+            *[F.sum(expr).alias(name) for name, expr in additive.items()],
+        )
+    )
+    # From here on there is one row for each group and bucket.
+    before = per_bucket.select(
+        "*", *[F.coalesce(F.sum(o).over(earlier), F.lit(0)).alias(f"_before_{o}") for o in others]
+    )
+    return before.groupBy(*group).agg(
+        F.sum(left).alias(left),
+        *[F.sum(o).alias(o) for o in others],
+        *[F.sum(F.col(f"_within_{o}") + mine * F.col(f"_before_{o}")).alias(f"{o}_pairs") for o in others],
+        *[F.sum(name).alias(name) for name in additive],
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgauge.functions.numeric import finite, percent_shift, ratio
-from driftgauge.operators.cumulative import bucketed_long, running_totals
+from driftgauge.operators.cumulative import bucketed_long, pair_sums
 from driftgauge.operators.metrics import decide
 from driftgauge.operators.order_stats import exact_quantiles, locate
 
@@ -174,7 +174,7 @@ def shift_tests(
     """Mann-Whitney U of training against each group, with effect sizes, on all rows.
 
     All features and groups share one pass: rows become counts for each distinct
-    value, mid-ranks come from running totals over those counts. The p-value is the
+    value, and pairs of ranks are counted from running sums over those counts. The p-value is the
     normal approximation with tie and continuity correction (``method`` says so).
     """
     side = F.col(f"`{by}`").cast("string")
@@ -196,19 +196,10 @@ def shift_tests(
             *[F.count_if(F.col("_side") == i).alias(c) for i, c in enumerate(counts)],
         )
     )
-    totals = running_totals(cells, ["feature"], counts)
-    t = F.col("t").cast("double")
-    sums = [F.sum("t").alias("n1")]
-    for c in counts:
-        n = F.col(c).cast("double")
-        lower_or_tied = F.col(f"cum_{c}") - n / F.lit(2.0)
-        tied = t + n
-        sums += [
-            F.sum(c).alias(f"{c}_n"),
-            F.sum(t * lower_or_tied).alias(f"{c}_u"),
-            F.sum(tied * tied * tied - tied).alias(f"{c}_tie"),
-        ]
-    ranked = totals.groupBy("feature").agg(*sums)
+    tied = {c: F.col("t").cast("double") + F.col(c) for c in counts}
+    ranked = pair_sums(
+        cells, ["feature"], "t", counts, {f"{c}_tie": x * x * x - x for c, x in tied.items()}
+    ).withColumnRenamed("t", "n1")
     per_group = ranked.select(
         "feature",
         "n1",
@@ -216,8 +207,8 @@ def shift_tests(
             F.array(
                 *[
                     F.struct(
-                        F.lit(g).alias("group"), F.col(f"{c}_n").alias("n2"),
-                        F.col(f"{c}_u").alias("u"), F.col(f"{c}_tie").alias("tie"),
+                        F.lit(g).alias("group"), F.col(c).alias("n2"),
+                        F.col(f"{c}_pairs").alias("u"), F.col(f"{c}_tie").alias("tie"),
                     )
                     for g, c in zip(group_names, counts)
                 ]
@@ -225,9 +216,11 @@ def shift_tests(
         ),
     ).where("n1 >= 2 AND n2 >= 2")
 
-    train_side = feature_moments(train, features).select("feature", F.col("mean").alias("m1"), F.col("std").alias("d1"))
-    group_side = feature_moments(groups.where(side.isin(*group_names)), features, [by]).select(
-        F.col(f"`{by}`").cast("string").alias("group"), "feature", F.col("mean").alias("m2"), F.col("std").alias("d2")
+    names = F.array(*[F.lit(g) for g in group_names])
+    moments = feature_moments(both, features, ["_side"])
+    train_side = moments.where("_side = -1").select("feature", F.col("mean").alias("m1"), F.col("std").alias("d1"))
+    group_side = moments.where("_side >= 0").select(
+        F.get(names, F.col("_side")).alias("group"), "feature", F.col("mean").alias("m2"), F.col("std").alias("d2")
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2

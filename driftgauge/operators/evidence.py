@@ -32,17 +32,19 @@ def with_outcome(df: DataFrame, truth: str, predicted: str, column: str = "outco
 
 def top_values(features: Sequence[str], k: int = 5) -> Column:
     """Map of the ``k`` features with the largest absolute values; earlier features win ties."""
-    cells = []
+    cells, present = [], F.lit(0)
     for i, f in enumerate(features):
         value = F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double"))
+        present = present + value.isNotNull().cast("int")
         cells.append(
             F.when(
                 value.isNotNull(),
-                F.struct((-F.abs(value)).alias("size"), F.lit(i).alias("place"), F.lit(f).alias("key"), value.alias("value")),
+                F.struct(F.abs(value).alias("size"), F.lit(-i).alias("place"), F.lit(f).alias("key"), value.alias("value")),
             )
         )
-    ranked = F.slice(F.array_sort(F.array_compact(F.array(*cells))), 1, k)
-    return F.map_from_entries(F.transform(ranked, lambda c: F.struct(c["key"].alias("key"), c["value"].alias("value"))))
+    # Descending order puts the missing ones last, where the slice leaves them out.
+    ranked = F.slice(F.sort_array(F.array(*cells), asc=False), 1, F.least(present, F.lit(k)))
+    return F.map_from_arrays(ranked["key"], ranked["value"])
 
 
 def alerts(

@@ -225,6 +225,23 @@ def exact_quantiles(
     limit: int = IN_BRACKET_LIMIT,
 ) -> DataFrame:
     """``(by..., feature, <one column per quantile>)``, linear interpolation, missing skipped."""
+    group = [F.col(f"`{b}`") for b in by]
+    values = {c: finite(F.col(f"`{c}`")) for c in columns}
+    sizes = df.groupBy(*group).agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())])
+    largest = max((max(r[len(by):]) for r in sizes.collect()), default=0)
+    if largest <= limit:
+        # Few enough rows in every group for the built-in exact percentile.
+        at = F.array(*[F.lit(float(q)) for q in quantiles.values()])
+        found = df.groupBy(*group).agg(*[F.percentile(v, at).alias(f"q{i}") for i, v in enumerate(values.values())])
+        rows = [
+            F.struct(
+                F.lit(c).alias("feature"),
+                *[F.get(F.col(f"q{i}"), F.lit(j)).alias(name) for j, name in enumerate(quantiles)],
+            )
+            for i, c in enumerate(columns)
+        ]
+        return found.select(*group, F.inline(F.array(*rows))).where(F.col(next(iter(quantiles))).isNotNull())
+
     keys = [*by, "feature"]
 
     def positions(_, n: int):
