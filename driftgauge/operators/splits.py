@@ -214,12 +214,13 @@ def day_split(
 
 
 def check_day_leakage(split: Split) -> DataFrame:
-    """One row: no shared day and every test day later, judged on the rows' own days."""
+    """One row: no shared day and every test day later, judged on the rows' own days.
+    Days outside the capture week are ignored."""
     def side(df, name):
         return df.select(tidy_day(F.col(f"`{split.column}`")).alias("day"), F.lit(name).alias("side")).distinct()
 
     position = F.array_position(F.array(*[F.lit(d) for d in DAY_ORDER]), F.col("day"))
-    days = side(split.train, "train").unionByName(side(split.test, "test")).withColumn("position", position)
+    days = side(split.train, "train").unionByName(side(split.test, "test")).withColumn("position", position).where("position > 0")
     both = days.groupBy("day").agg(F.count(F.lit(1)).alias("sides"), F.max("position").alias("position"),
                                    F.max("side").alias("last"), F.min("side").alias("first"))
     is_train, is_test = F.col("last") == "train", F.col("first") == "test"
