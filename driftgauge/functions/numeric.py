@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INFINITY = float("inf")
+HASH_SPAN = float(1 << 52)
 _FRACTIONAL = (T.DoubleType, T.FloatType)
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType) + _FRACTIONAL
 
@@ -70,4 +71,4 @@ def percent_shift(value: Column, reference: Column) -> Column:
 def order_hash(columns, seed: int = 0) -> Column:
     """A 52-bit hash of ``columns``: an order that is random-looking, repeatable and
     exactly representable as a double."""
-    return F.xxhash64(F.lit(seed), *columns).bitwiseAND(F.lit((1 << 52) - 1))
+    return F.xxhash64(F.lit(seed), *columns).bitwiseAND(F.lit(int(HASH_SPAN) - 1))

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,6 @@ from driftgauge.session import literal_table, scratch_path
 N_TREES = 100
 MAX_DEPTH = 20
 SEED = 42
-MAX_NODES = 20_000_000
 
 
 def feature_array(features: Sequence[str]) -> Column:
@@ -123,43 +123,38 @@ class Leaf:
     value: float
 
 
-def collect_leaves(nodes: DataFrame) -> list[Leaf]:
-    """The forest's leaves with their paths; the size of a model, checked before it is collected."""
-    table = nodes.orderBy("tree", "node")
-    n = table.count()
-    if n > MAX_NODES:
-        raise ValueError(f"a forest of {n} nodes is too large to hand to every task")
-    rows = table.collect()
-    trees: dict[int, dict[int, object]] = {}
-    for r in rows:
-        trees.setdefault(r["tree"], {})[r["node"]] = r
+def tree_leaves(nodes: pd.DataFrame) -> list[Leaf]:
+    """The leaves of one tree with their paths."""
+    at = {int(n): i for i, n in enumerate(nodes["node"])}
+    columns = {c: nodes[c].to_numpy() for c in ("feature", "threshold", "left", "right", "cover", "value")}
     leaves = []
-    for tree in trees.values():
-        stack = [(0, {})]
-        while stack:
-            node, path = stack.pop()
-            r = tree[node]
-            if r["left"] < 0:
-                items = sorted(path.items())
-                leaves.append(
-                    Leaf(
-                        np.array([f for f, _ in items], dtype=np.int64),
-                        np.array([b[0] for _, b in items]),
-                        np.array([b[1] for _, b in items]),
-                        np.array([b[2] for _, b in items]),
-                        r["value"] / len(trees),
-                    )
+    stack = [(0, {})]
+    while stack:
+        node, path = stack.pop()
+        i = at[node]
+        left, right = int(columns["left"][i]), int(columns["right"][i])
+        if left < 0:
+            items = sorted(path.items())
+            leaves.append(
+                Leaf(
+                    np.array([f for f, _ in items], dtype=np.int64),
+                    np.array([b[0] for _, b in items]),
+                    np.array([b[1] for _, b in items]),
+                    np.array([b[2] for _, b in items]),
+                    float(columns["value"][i]),
                 )
-                continue
-            low, high, kept = path.get(r["feature"], (-np.inf, np.inf, 1.0))
-            left_share = tree[r["left"]]["cover"] / r["cover"]
-            stack.append((r["left"], {**path, r["feature"]: (low, min(high, r["threshold"]), kept * left_share)}))
-            stack.append((r["right"], {**path, r["feature"]: (max(low, r["threshold"]), high, kept * (1 - left_share))}))
+            )
+            continue
+        feature, threshold = int(columns["feature"][i]), float(columns["threshold"][i])
+        low, high, kept = path.get(feature, (-np.inf, np.inf, 1.0))
+        share = columns["cover"][at[left]] / columns["cover"][i]
+        stack.append((left, {**path, feature: (low, min(high, threshold), kept * share)}))
+        stack.append((right, {**path, feature: (max(low, threshold), high, kept * (1 - share))}))
     return leaves
 
 
 def shapley_values(leaves: Sequence[Leaf], x: np.ndarray) -> np.ndarray:
-    """Path-dependent Shapley values of the forest's probability for each row of ``x``.
+    """Path-dependent Shapley values of one tree's output for each row of ``x``.
 
     A leaf's Shapley integral over coalition size is a polynomial in one variable,
     so Gauss-Legendre nodes evaluate it exactly for all rows at once.

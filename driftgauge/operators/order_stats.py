@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgauge.functions.numeric import finite, order_hash
+from driftgauge.functions.numeric import HASH_SPAN, finite, order_hash
 from driftgauge.session import literal_table
 
 IN_BRACKET_LIMIT = 1_000_000
@@ -90,11 +90,11 @@ def _within(value: Column) -> Column:
     return above_lower & below_upper
 
 
-def _narrow(item: Wanted, n_inside: int, grid: Sequence[float]) -> Wanted:
+def _narrow(item: Wanted, n_inside: int, grid: Sequence[float], margin: int) -> Wanted:
     """Step in from the current bracket to the grid cells around the wanted ranks."""
     steps = max(n_inside - 1, 1)
-    first = math.floor((item.low_rank - item.below) / steps * _GRID_STEPS) - 1
-    last = math.ceil((item.high_rank - item.below) / steps * _GRID_STEPS) + 1
+    first = math.floor((item.low_rank - item.below) / steps * _GRID_STEPS) - margin
+    last = math.ceil((item.high_rank - item.below) / steps * _GRID_STEPS) + margin
     return replace(
         item,
         lower=item.lower if first <= 0 else float(grid[first]),
@@ -102,11 +102,28 @@ def _narrow(item: Wanted, n_inside: int, grid: Sequence[float]) -> Wanted:
     )
 
 
-def _refine(long: DataFrame, keys: Sequence[str], items: list[Wanted], limit: int) -> list[Wanted]:
-    """Narrow the brackets until each holds at most ``limit`` distinct values."""
+def _guess_uniform(item: Wanted, n: int, span: float) -> Wanted:
+    """A bracket around the wanted ranks if the values were spread evenly over ``[0, span)``."""
+    slack = 8.0 * math.sqrt(item.high_rank + 1.0) + 8.0
+    return replace(
+        item,
+        lower=max(0.0, (item.low_rank - slack) / n * span),
+        upper=min(span, (item.high_rank + 1 + slack) / n * span),
+    )
+
+
+def _refine(
+    long: DataFrame, keys: Sequence[str], items: list[Wanted], guesses: dict[int, Wanted], limit: int
+) -> list[Wanted]:
+    """Narrow the brackets until each holds at most ``limit`` distinct values.
+
+    A bracket counts only once an exact count has confirmed it; after a miss the search
+    goes on from the last confirmed one with a wider margin.
+    """
     settled: dict[int, Wanted] = {}
-    held = dict(enumerate(items))
-    tried = dict(held)
+    confirmed = dict(enumerate(items))
+    tried = {**confirmed, **guesses}
+    margin = dict.fromkeys(tried, 1)
     while tried:
         order = list(tried)
         brackets = _bracket_table(long.sparkSession, long, keys, [tried[i] for i in order])
@@ -127,25 +144,17 @@ def _refine(long: DataFrame, keys: Sequence[str], items: list[Wanted], limit: in
         for row in counted:
             i = order[row["_item"]]
             item, inside = replace(tried[i], below=row["below"]), row["inside"]
-            misses_below = item.low_rank < item.below
-            misses_above = item.high_rank >= item.below + inside
-            if misses_below or misses_above:
-                # The sketch promised too much: settle on the last confirmed end on that side.
-                back = held[i]
-                settled[i] = replace(
-                    item,
-                    lower=back.lower if misses_below else item.lower,
-                    upper=back.upper if misses_above else item.upper,
-                    below=back.below if misses_below else item.below,
-                )
+            if item.low_rank < item.below or item.high_rank >= item.below + inside:
+                margin[i] *= 8
+                proposals[i] = confirmed[i]
                 continue
-            narrowed = _narrow(item, inside, row["grid"])
+            confirmed[i] = item
+            narrowed = _narrow(item, inside, row["grid"], margin[i])
             unchanged = (narrowed.lower, narrowed.upper) == (item.lower, item.upper)
             if row["distinct_inside"] <= limit or unchanged:
                 settled[i] = item
-                continue
-            held[i] = item
-            proposals[i] = narrowed
+            else:
+                proposals[i] = narrowed
         tried = proposals
     return [settled[i] for i in range(len(items))]
 
@@ -155,6 +164,7 @@ def locate(
     keys: Sequence[str],
     wanted: Callable[[Row, int], Sequence[tuple[str, float]]],
     limit: int = IN_BRACKET_LIMIT,
+    uniform_span: float | None = None,
 ) -> DataFrame:
     """Exact values at wanted positions of each group of ``long(keys..., value)``.
 
@@ -162,12 +172,14 @@ def locate(
     fractional position is interpolated between its neighbours. Returns
     ``(keys..., name, n, value, n_before, n_equal)`` where the last two count the
     rows before and at the (lower) position. Group keys must be few: one row each
-    is brought to the driver.
+    is brought to the driver. ``uniform_span`` says that values should lie evenly in
+    ``[0, span)``, as hashes do; it only saves passes, the result never depends on it.
     """
     value = F.col("value")
     key_columns = [F.col(f"`{k}`") for k in keys]
     small: list[Wanted] = []
     large: list[Wanted] = []
+    guesses: dict[int, Wanted] = {}
     for group in long.groupBy(*key_columns).agg(F.count("value").alias("_n")).collect():
         n = group["_n"]
         key = tuple(group[k] for k in keys)
@@ -175,9 +187,14 @@ def locate(
             low = min(max(math.floor(position), 0), n - 1)
             high = min(max(math.ceil(position), 0), n - 1)
             item = Wanted(key, name, low, high, position - math.floor(position))
-            (small if n <= limit else large).append(item)
+            if n <= limit:
+                small.append(item)
+                continue
+            if uniform_span:
+                guesses[len(large)] = _guess_uniform(item, n, uniform_span)
+            large.append(item)
     if large:
-        large = _refine(long, keys, large, limit)
+        large = _refine(long, keys, large, guesses, limit)
 
     items = small + large
     table = _bracket_table(long.sparkSession, long, keys, items)
@@ -301,6 +318,7 @@ def order_cuts(
     """Cuts after ``sizes[s]`` rows of each stratum ``s``; a few passes, no sort of the rows.
 
     Only strata whose cut falls among equal values look at the next order column.
+    Columns named ``_order...`` hold hashes (see :func:`content_order`).
     """
     open_cuts = {s: OrderCut((), size, -1) for s, size in sizes.items() if size > 0}
     done: dict[object, OrderCut] = {}
@@ -319,7 +337,8 @@ def order_cuts(
         def positions(group, n, waiting=waiting):
             return [("cut", min(waiting[group["stratum"]].ties, n) - 1)]
 
-        for row in locate(long, ["stratum"], positions, limit).collect():
+        span = HASH_SPAN if column.startswith("_order") else None
+        for row in locate(long, ["stratum"], positions, limit, span).collect():
             cut = open_cuts.pop(row["stratum"])
             step = OrderCut(
                 (*cut.path, (column, row["value"])), cut.ties - row["n_before"], row["n_equal"]

@@ -75,23 +75,25 @@ def prepare(
     overwrite: bool = False,
     **read_options,
 ) -> Prepared:
-    """Read, clean, select features, write the cleaned parts, split in time, check, publish.
+    """Read, clean, write the cleaned parts, select features, split in time, check, publish.
 
-    The cleaned parts are partitioned by capture day, so a day split reads only its own folders.
+    Raw files are parsed once for the cleaned parts and once for the counts of the log; every
+    later pass reads pruned Parquet. The parts are partitioned by capture day, so a day split
+    reads only its own folders.
     """
     flows = read_flows(spark, raw_dir, **read_options)
     label = label or names.detect_label_column(flows.columns)
     if label is None:
         raise ValueError("no label column found; name it explicitly")
     by_day = files_name_days(flows)
-    cleaned = clean_flows(flows, label, benign_aliases, by_day)
-    selection = choose_features(cleaned, label)
-
     parts_dir = f"{out_dir.rstrip('/')}/parts"
-    sinks.write_table(selection.table, parts_dir, ["capture_day"] if by_day else [], overwrite)
-    parts = spark.read.parquet(parts_dir)
+    sinks.write_table(
+        clean_flows(flows, label, benign_aliases, by_day), parts_dir, ["capture_day"] if by_day else [], overwrite
+    )
+    cleaned = spark.read.parquet(parts_dir)
+    selection = choose_features(cleaned, label)
     split, features, method = splits.split_in_time(
-        parts, selection.features, test_size, test_days, timestamp=timestamp, row_key=row_key
+        selection.table, selection.features, test_size, test_days, timestamp=timestamp, row_key=row_key
     )
     guards.assert_no_split_key(features, split.column, "capture_day")
     log = quality.decision_log(

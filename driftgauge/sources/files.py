@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,13 +80,22 @@ def read_parquet(spark: SparkSession, paths: Sequence[str], columns: Sequence[st
     return _pick(_promoted(named), columns)
 
 
-def _encodings(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """Encoding of each file: UTF-8 if all its lines are valid, else Latin-1."""
+def _heads(spark: SparkSession, paths: Sequence[str], encoding: str | None = None) -> list[tuple[str, str, tuple]]:
+    """(path, encoding, header) of every file in one pass: UTF-8 if all lines are valid, else Latin-1."""
     lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("valid")
+        F.col("_metadata.file_path").alias("path"),
+        F.col("value").cast("binary").alias("bytes"),
+        F.is_valid_utf8("value").alias("valid"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
     )
-    rows = lines.groupBy("path").agg(F.bool_and("valid").alias("valid")).collect()
-    return {r["path"]: "UTF-8" if r["valid"] else "ISO-8859-1" for r in rows}
+    first = F.min_by("bytes", "place")
+    files = lines.groupBy("path").agg(F.bool_and("valid").alias("valid"), first.alias("first")).collect()
+    found = []
+    for row in sorted(files, key=lambda r: r["path"]):
+        used = encoding or ("UTF-8" if row["valid"] else "ISO-8859-1")
+        header = next(csv.reader([bytes(row["first"]).decode(used, "replace")], skipinitialspace=True), [])
+        found.append((row["path"], used, tuple(header)))
+    return found
 
 
 def read_csv(
@@ -94,7 +106,8 @@ def read_csv(
     encoding: str | None = None,
 ) -> DataFrame:
     """CSV files with headers; blanks around names and after separators are dropped, and the
-    files are united by name. Give ``schema`` and ``encoding`` to spare the passes that infer them."""
+    files are united by name. One pass finds encodings and headers and another infers types;
+    give ``schema`` and ``encoding`` for files with one header to spare both."""
     def load(group: Sequence[str], used: str) -> DataFrame:
         reader = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("encoding", used)
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
@@ -102,31 +115,24 @@ def read_csv(
         stripped = df.toDF(*[c.strip() for c in df.columns])
         return stripped.withColumn("source_file", F.col("_metadata.file_path"))
 
-    if encoding:
-        groups = {encoding: list(paths)}
-    else:
-        groups = {}
-        for path, used in sorted(_encodings(spark, paths).items()):
-            groups.setdefault(used, []).append(path)
-    parts = []
-    for used, group in groups.items():
-        headers: dict[tuple, list[str]] = {}
-        for path in group:
-            # Files of one group share a reader only if they share their header.
-            headers.setdefault(tuple(csv_header(spark, path, used)), []).append(path)
-        parts += [load(same, used) for same in headers.values()]
-    if not parts:
+    if schema is not None and encoding is not None:
+        return _pick(_promoted(load(paths, encoding)), columns)
+    # Files share a reader only if they share their encoding and header.
+    alike: dict[tuple, list[str]] = {}
+    for path, used, header in _heads(spark, paths, encoding):
+        alike.setdefault((used, header), []).append(path)
+    if not alike:
         raise FileNotFoundError("no CSV rows to read")
+    parts = [load(group, used) for (used, _), group in alike.items()]
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part, allowMissingColumns=True)
     return _pick(_promoted(merged), columns)
 
 
-def csv_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
+def csv_header(spark: SparkSession, path: str) -> list[str]:
     """The header exactly as written, repeated names included."""
-    first = spark.read.option("header", False).option("encoding", encoding).csv(path).limit(1).collect()
-    return [str(v) for v in first[0] if v is not None] if first else []
+    return [name for _, _, header in _heads(spark, [path]) for name in header]
 
 
 def read_flows(
@@ -154,23 +160,41 @@ def peek(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 
 
+def _read_footer(path: str) -> tuple[list[str], int]:
+    """Column names and row count of one Parquet file, from its footer alone."""
+    if path.startswith("file:"):
+        system, inner = LocalFileSystem(), path[len("file:"):]
+    elif "://" in path:
+        system, inner = FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    else:
+        system, inner = LocalFileSystem(), path
+    with system.open_input_file(inner) as handle:
+        footer = pq.ParquetFile(handle)
+        return footer.schema_arrow.names, footer.metadata.num_rows
+
+
 def file_schemas(spark: SparkSession, paths: Sequence[str], file_format: str = "parquet") -> DataFrame:
-    """``(file, columns, rows)``: each file's own columns, and its rows counted in one job."""
-    rows = []
-    for path in paths:
-        if file_format == "parquet":
-            names = spark.read.parquet(path).columns
-        else:
-            names = [c.strip() for c in csv_header(spark, path)]
-        rows.append((path, names))
-    columns = literal_table(spark, rows, "file string, columns array<string>")
-    reader = spark.read.parquet(*paths) if file_format == "parquet" else spark.read.option("header", True).csv(list(paths))
-    counts = reader.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
-    tail = F.element_at(F.split("file", "/"), -1)
-    named = columns.withColumn("file", tail)
-    return named.join(counts.withColumn("file", tail), "file", "left").withColumn(
-        "rows", F.coalesce("rows", F.lit(0).cast("long"))
+    """``(file, columns, rows)`` of each file; Parquet footers are read in parallel, no data is scanned."""
+    schema = "file string, columns array<string>, rows bigint"
+    if file_format == "parquet":
+        listed = literal_table(spark, [(p,) for p in paths], "file string")
+
+        def footers(batches):
+            for batch in batches:
+                heads = [_read_footer(p) for p in batch["file"]]
+                yield batch.assign(columns=[h[0] for h in heads], rows=[h[1] for h in heads])
+
+        tasks = min(len(paths), spark.sparkContext.defaultParallelism * 4)
+        return listed.repartition(tasks, "file").mapInPandas(footers, schema)
+    heads = literal_table(
+        spark, [(p, [c.strip() for c in header]) for p, _, header in _heads(spark, paths)],
+        "file string, columns array<string>",
+    )
+    counts = (
+        spark.read.option("header", True).csv(list(paths))
+        .groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
     )
+    return heads.join(counts, "file", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
 
 
 def read_external_csv(spark: SparkSession, folder: str, **csv_options) -> DataFrame | None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftgauge.operators import evidence, explain, isolation
 from driftgauge.operators.forest import (
-    ForestDetector, Leaf, collect_leaves, expected_value, shapley_values, train_forest,
+    ForestDetector, Leaf, expected_value, feature_array, shapley_values, train_forest, tree_leaves,
 )
 from driftgauge.operators.isolation import AnomalyDetector, average_path, rewrap_detector, train_isolation_forest
 from driftgauge.operators.sampling import benign_heavy_sample
@@ -60,11 +60,14 @@ def test_missing_features_take_the_median(flows, forest):
     assert key(gap.orderBy("key")) == key(filled.orderBy("key"))
 
 
-def test_contributions_add_up_to_the_score(spark, flows, forest):
-    leaves = collect_leaves(forest.nodes(spark))
-    rows = forest.score(flows).toPandas()
-    phi = shapley_values(leaves, rows[FEATURES].to_numpy())
-    assert np.abs(phi.sum(axis=1) + expected_value(leaves) - rows["rf_score"]).max() < 1e-9
+def test_contributions_add_up_to_the_score(spark, flows, forest, monkeypatch):
+    nodes = forest.nodes(spark).toPandas()
+    base = np.mean([expected_value(tree_leaves(tree)) for _, tree in nodes.groupby("tree")])
+    vectors = forest.score(flows).select(feature_array(FEATURES).alias("x"), "rf_score")
+    monkeypatch.setattr(explain, "ROWS_PER_BLOCK", 70)
+    got = explain.forest_contributions(forest, vectors).join(vectors, "x").toPandas()
+    total = np.stack(got["contributions"].to_numpy()).sum(axis=1)
+    assert len(got) == 300 and np.abs(total + base - got["rf_score"]).max() < 1e-9
 
 
 def test_shapley_values_by_enumeration():

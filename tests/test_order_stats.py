@@ -81,3 +81,15 @@ def test_pair_sums_count_every_pair(spark, left, right):
     )
     row = pair_sums(cells, ["feature"], "l", ["r"]).first()
     assert row["r_pairs"] == sum((a > b) + 0.5 * (a == b) for a in left for b in right)
+
+
+@pytest.mark.parametrize("limit", [10**6, 25])
+def test_hash_cuts_hold_with_many_copies_of_one_row(spark, limit):
+    df = spark.createDataFrame([(i if i % 3 else 0,) for i in range(6000)], "v long").withColumn("all", F.lit(0))
+    ordered = order_stats.content_order(df, ["v"])
+    for size in (1, 500, 2500, 5999):
+        cut = order_stats.order_cuts(ordered, "all", {0: size}, ["_order_1", "_order_2"], limit)[0]
+        before = ordered.where(cut.before()).count()
+        equal = ordered.where(cut.at()).count()
+        taken = equal if cut.ties == cut.n_equal else cut.ties
+        assert before + taken == size and cut.n_equal == equal

@@ -94,7 +94,7 @@ def test_day_leakage_is_judged_on_rows(spark):
     df = days(spark)
     bad = splits.Split(df, df.where("a > 6"), "capture_day")
     row = splits.check_day_leakage(bad).first()
-    assert not row["passed"] and row["n_shared_days"] == 2
+    assert not row["passed"] and row["n_shared_days"] == 1
     with pytest.raises(splits.LeakageError):
         splits.require(splits.check_day_leakage(bad), "days")
 
