@@ -53,7 +53,7 @@ def _detectors(spark, sf_dir) -> Detectors:
 
 @query(
     "forest_training",
-    """SELECT 10 AS trees, 4 AS features, count(*) AS rows_scored, true AS separates, 0 AS out_of_range
+    """SELECT 10::BIGINT AS trees, 4::BIGINT AS features, count(*) AS rows_scored, true AS separates, 0::BIGINT AS out_of_range
        FROM lineitem WHERE l_linestatus = 'O'""",
 )
 def forest_training(spark, sf_dir):
@@ -83,7 +83,7 @@ def forest_importances(spark, sf_dir):
 
 @query(
     "forest_artifacts",
-    "SELECT 'saved' AS artifact, count(*) AS rows, 0 AS differing FROM lineitem WHERE l_linestatus = 'O'",
+    "SELECT 'saved' AS artifact, count(*) AS rows, 0::BIGINT AS differing FROM lineitem WHERE l_linestatus = 'O'",
 )
 def forest_artifacts(spark, sf_dir):
     """A saved and reloaded forest scores every row as before."""
@@ -99,7 +99,7 @@ def forest_artifacts(spark, sf_dir):
 
 @query(
     "isolation_forest_training",
-    """SELECT 100 AS trees, 256 AS root_rows, 0 AS too_deep, 0 AS unbalanced FROM lineitem HAVING count(*) > 0""",
+    """SELECT 100::BIGINT AS trees, 256::BIGINT AS root_rows, 0::BIGINT AS too_deep, 0::BIGINT AS unbalanced FROM lineitem HAVING count(*) > 0""",
 )
 def isolation_forest_training(spark, sf_dir):
     """Tree shape: full subsamples at the roots, bounded depth, children that add up to their parent."""
@@ -119,7 +119,7 @@ def isolation_forest_training(spark, sf_dir):
 
 @query(
     "anomaly_scores",
-    """SELECT count(*) AS rows, 0.0::DOUBLE AS lowest, 1.0::DOUBLE AS highest, 0 AS missing FROM lineitem WHERE l_linestatus = 'O'""",
+    """SELECT count(*) AS rows, 0.0::DOUBLE AS lowest, 1.0::DOUBLE AS highest, 0::BIGINT AS missing FROM lineitem WHERE l_linestatus = 'O'""",
 )
 def anomaly_scores(spark, sf_dir):
     gaps = F.when(F.col("l_quantity") > 5, F.col("l_quantity")).alias("l_quantity")
@@ -161,7 +161,7 @@ def embedding_anomalies(spark, sf_dir):
 
 @query(
     "frozen_model_rewrap",
-    "SELECT 4 AS features, 0 AS changed FROM lineitem HAVING count(*) > 0",
+    "SELECT 4::BIGINT AS features, 0::BIGINT AS changed FROM lineitem HAVING count(*) > 0",
 )
 def frozen_model_rewrap(spark, sf_dir):
     """Medians recomputed from the deterministic sample equal those stored with the model."""

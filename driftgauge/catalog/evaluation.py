@@ -56,7 +56,7 @@ def threshold_metrics(spark, sf_dir):
     return metrics.threshold_metrics(flows(spark, sf_dir), "label_binary", "rf_score", 0.3, ["l_linestatus"])
 
 
-_GRID_VALUES = ", ".join(f"({t}e0, {i})" for i, t in enumerate(metrics.THRESHOLD_GRID))
+_GRID_VALUES = ", ".join(f"({t}e0, {i}::BIGINT)" for i, t in enumerate(metrics.THRESHOLD_GRID))
 GRID = f"""grid AS (SELECT * FROM (VALUES {_GRID_VALUES}) AS g(threshold, grid_pos)),
   cells AS (SELECT detector, threshold, grid_pos, {CONFUSION} FROM (SELECT detector, threshold, grid_pos, label_binary AS y,
      CAST(score >= threshold AS INTEGER) AS p FROM long, grid) GROUP BY 1, 2, 3),
@@ -231,7 +231,7 @@ def score_summary_of_attacks(spark, sf_dir):
 @query(
     "score_histogram",
     rounded(
-        """WITH s AS (SELECT CAST(quality = 1 AS INTEGER) AS label, 'length' AS detector, n_chars::DOUBLE AS score FROM documents JOIN labels USING (doc_id)),
+        """WITH s AS (SELECT CAST(quality = 1 AS BIGINT) AS label, 'length' AS detector, n_chars::DOUBLE AS score FROM documents JOIN labels USING (doc_id)),
         e AS (SELECT label, detector, min(score) AS lo, max(score) AS hi, count(*) AS n FROM s GROUP BY 1, 2),
         f AS (SELECT *, (hi - lo) / 40 AS w, unnest(range(40)) AS bin FROM e),
         b AS (SELECT label, detector, least(floor((score - lo) / (hi - lo) * 40), 39)::BIGINT AS bin, count(*) AS k FROM s JOIN e USING (label, detector) GROUP BY 1, 2, 3)

@@ -45,7 +45,7 @@ def csv_flow_scan(spark, sf_dir):
 
 @query(
     "column_subset_scan",
-    "SELECT count(*) AS n, count(DISTINCT l_linenumber) AS line_numbers, 2 AS columns_read FROM lineitem",
+    "SELECT count(*) AS n, count(DISTINCT l_linenumber) AS line_numbers, 2::BIGINT AS columns_read FROM lineitem",
 )
 def column_subset_scan(spark, sf_dir):
     df = files.read_flows(spark, _write_raw(spark, sf_dir), columns=["l_linenumber"])
@@ -136,7 +136,7 @@ def connection_log_scan(spark, sf_dir):
 
 @query(
     "connection_log_report",
-    """SELECT count(DISTINCT user_id % 4) AS files_parsed, count(*) AS rows_read, 0 AS malformed_rows FROM events""",
+    """SELECT count(DISTINCT user_id % 4) AS files_parsed, count(*) AS rows_read, 0::BIGINT AS malformed_rows FROM events""",
 )
 def connection_log_report(spark, sf_dir):
     return zeek.read_connection_logs(spark, _write_logs(spark, sf_dir), pattern="*.txt").report

@@ -15,7 +15,7 @@ from driftgauge.sources import files
 
 @query(
     "schema_report",
-    """SELECT count(*) AS n_rows, 3 AS n_columns, 'doc_id,label,Unnamed: 0' AS columns,
+    """SELECT count(*) AS n_rows, 3::BIGINT AS n_columns, 'doc_id,label,Unnamed: 0' AS columns,
               'label' AS detected_label_column, '' AS duplicate_columns, 'Unnamed: 0' AS unnamed_columns FROM labels""",
 )
 def schema_report(spark, sf_dir):
@@ -59,8 +59,8 @@ def missing_infinite_report(spark, sf_dir):
 
 @query(
     "schema_drift",
-    """SELECT (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM orders) AS n_rows, 2 AS n_files,
-              2 AS n_column_sets, true AS drift""",
+    """SELECT (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM orders) AS n_rows, 2::BIGINT AS n_files,
+              2::BIGINT AS n_column_sets, true AS drift""",
 )
 def schema_drift(spark, sf_dir):
     parts = files.file_schemas(spark, [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet"])
@@ -192,7 +192,7 @@ def describe_column(spark, sf_dir):
 
 @query(
     "inspection_report",
-    f"""WITH {RATES_SQL} SELECT 'parquet' AS format, count(*) AS n_rows, 5 AS n_columns,
+    f"""WITH {RATES_SQL} SELECT 'parquet' AS format, count(*) AS n_rows, 5::BIGINT AS n_columns,
         count(*) - count(gap) AS n_missing, count(*) FILTER (WHERE isinf(rate)) AS n_infinite FROM rates""",
 )
 def inspection_report(spark, sf_dir):
@@ -280,7 +280,7 @@ def custom_benign_labels(spark, sf_dir):
 
 
 def _policy_sql(policy, condition, value):
-    return f"""SELECT '{policy}' AS policy, {value} AS label_binary, count(*) AS n FROM events {condition} GROUP BY 1, 2"""
+    return f"""SELECT '{policy}' AS policy, ({value})::BIGINT AS label_binary, count(*) AS n FROM events {condition} GROUP BY 1, 2"""
 
 
 _BINARY = "CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END"
@@ -465,7 +465,7 @@ def mapped_features(spark, sf_dir):
 
 @query(
     "sanitisation_counts",
-    """SELECT count(*) FILTER (WHERE l_tax = 0) AS n_pos_inf_found, 0 AS n_neg_inf_found,
+    """SELECT count(*) FILTER (WHERE l_tax = 0) AS n_pos_inf_found, 0::BIGINT AS n_neg_inf_found,
          count(*) FILTER (WHERE l_tax = 0) AS n_inf_total_found,
          count(*) FILTER (WHERE l_quantity > 45) AS n_nan_found_before_imputation,
          count(*) FILTER (WHERE l_tax = 0) + count(*) FILTER (WHERE l_quantity > 45) AS n_values_imputed_with_training_medians
@@ -497,7 +497,7 @@ def feature_provenance(spark, sf_dir):
              l_extendedprice / l_linenumber AS fwd_mean FROM lineitem)
            SELECT l_returnflag, avg(flow_duration) / 1000 AS flow_duration, count(*) FILTER (WHERE isinf(bytes_rate)) AS infinite,
              avg(bytes_rate) FILTER (WHERE NOT isinf(bytes_rate)) / 1000 AS bytes_rate, avg(fwd_mean) / 1000 AS fwd_mean,
-             7 AS features, 4 AS skipped FROM c GROUP BY 1""",
+             7::BIGINT AS features, 4::BIGINT AS skipped FROM c GROUP BY 1""",
         "flow_duration", "bytes_rate", "fwd_mean",
     ),
 )

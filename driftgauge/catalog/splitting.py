@@ -63,7 +63,7 @@ def chronological_split_bounds(spark, sf_dir):
     "time_leakage_clean",
     f"""WITH {TIMED}, shared AS (SELECT ts FROM sided GROUP BY ts HAVING count(DISTINCT side) = 2)
     SELECT count(*) = 0 AS passed, true AS order_ok, count(*) AS n_shared_timestamps,
-           0 AS n_overlapping_rows FROM shared""",
+           0::BIGINT AS n_overlapping_rows FROM shared""",
 )
 def time_leakage_clean(spark, sf_dir):
     return splits.check_time_leakage(_events_split(spark, sf_dir)).drop("train_end", "test_start")
@@ -103,7 +103,7 @@ def day_split_rows(spark, sf_dir):
 
 @query(
     "day_leakage_check",
-    """SELECT true AS passed, true AS order_ok, 0 AS n_shared_days, 'monday,tuesday,wednesday,thursday' AS train_days,
+    """SELECT true AS passed, true AS order_ok, 0::BIGINT AS n_shared_days, 'monday,tuesday,wednesday,thursday' AS train_days,
               'friday' AS test_days FROM events HAVING count(DISTINCT dayname(ts)) = 7""",
 )
 def day_leakage_check(spark, sf_dir):
@@ -162,7 +162,7 @@ def day_label_table(spark, sf_dir):
     "benign_heavy_sample",
     f"""WITH {FLOWS}, s AS (SELECT count(*) AS n, count(*) FILTER (WHERE label_binary = 0) AS b, count(*) FILTER (WHERE label_binary = 1) AS a FROM train),
         w AS (SELECT *, least(3000, n) AS k FROM s)
-    SELECT 0 AS label_binary, least(round_even(k * 0.9e0, 0), b)::BIGINT AS n FROM w
+    SELECT 0::BIGINT AS label_binary, least(round_even(k * 0.9e0, 0), b)::BIGINT AS n FROM w
     UNION ALL SELECT 1, least(k - round_even(k * 0.9e0, 0), a)::BIGINT FROM w""",
 )
 def benign_heavy_sample(spark, sf_dir):
