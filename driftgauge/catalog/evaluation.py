@@ -391,20 +391,23 @@ _ABS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
     ),
 )
 def alerts(spark, sf_dir):
-    """Read back from the JSON, so what is compared went through serialisation."""
+    """Read back from JSON files, so what is compared went through serialisation."""
     made = evidence.alerts(flows(spark, sf_dir), _ABS, 0.3, 0.5, keep=["l_returnflag"], k=3)
+    path = scratch_path(spark, "alerts")
+    made.select("l_returnflag", "alert_json").write.partitionBy("l_returnflag").text(path)
     schema = """predicted_label int, rf_attack_probability double, hybrid_score double,
-        detector_decisions struct<random_forest: boolean, hybrid: boolean>, top_feature_values map<string, double>"""
-    read = made.select("l_returnflag", F.from_json("alert_json", schema).alias("a"))
-    values = F.map_values("a.top_feature_values")
-    return read.groupBy("l_returnflag").agg(
+        detector_decisions struct<random_forest: boolean, hybrid: boolean>, top_feature_values map<string, double>,
+        l_returnflag string"""
+    a = spark.read.schema(schema).json(path)
+    values = F.map_values("top_feature_values")
+    return a.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("a.rf_attack_probability").alias("rf"),
-        F.avg("a.hybrid_score").alias("hybrid"),
-        F.count_if("a.detector_decisions.random_forest").alias("rf_flags"),
+        F.avg("rf_attack_probability").alias("rf"),
+        F.avg("hybrid_score").alias("hybrid"),
+        F.count_if("detector_decisions.random_forest").alias("rf_flags"),
         (F.avg(values[0]) / 1000).alias("first_value"),
         F.avg(values[1]).alias("second_value"),
-        F.count_if(F.map_keys("a.top_feature_values")[2] == "l_linenumber").alias("third_is_linenumber"),
+        F.count_if(F.map_keys("top_feature_values")[2] == "l_linenumber").alias("third_is_linenumber"),
     )
 
 

@@ -64,31 +64,48 @@ def _grow(x: np.ndarray, tree: int, seed: int, max_depth: int) -> pd.DataFrame:
 
 @dataclass(frozen=True)
 class TreeArrays:
-    """All trees side by side: one row of node fields for each tree."""
+    """All trees as complete binary trees of one depth, so a step down is arithmetic.
+
+    Below a leaf that ends early every test goes left, to a bottom cell with the leaf's path length.
+    """
 
     feature: np.ndarray
     threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
     length: np.ndarray
     depth: int
     scale: float
 
+    @staticmethod
+    def of(nodes: pd.DataFrame, subsample: int) -> "TreeArrays":
+        depth = max(int(nodes["depth"].max()), 1)
+        trees = sorted(nodes["tree"].unique())
+        feature = np.zeros((len(trees), 2**depth - 1), dtype=np.int64)
+        threshold = np.full(feature.shape, np.inf)
+        length = np.zeros((len(trees), 2**depth))
+        for t, tree in enumerate(trees):
+            rows = nodes[nodes["tree"] == tree].set_index("node")
+            path = rows["depth"] + average_path(rows["size"].to_numpy())
+            stack = [(0, 0)]
+            while stack:
+                node, at = stack.pop()
+                level = int(rows.at[node, "depth"])
+                if rows.at[node, "left"] >= 0:
+                    feature[t, at], threshold[t, at] = rows.at[node, "feature"], rows.at[node, "threshold"]
+                    stack += [(rows.at[node, "left"], 2 * at + 1), (rows.at[node, "right"], 2 * at + 2)]
+                else:
+                    bottom = (at + 1) * 2 ** (depth - level) - 1 - (2**depth - 1)
+                    length[t, bottom] = path[node]
+        return TreeArrays(feature, threshold, length, depth, float(average_path(subsample)))
+
     def score(self, x: np.ndarray) -> np.ndarray:
+        flat, first = np.ascontiguousarray(x, dtype=float).ravel(), np.arange(len(x)) * x.shape[1]
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, threshold, left, right, length in zip(
-            self.feature, self.threshold, self.left, self.right, self.length
-        ):
+        for feature, threshold, length in zip(self.feature, self.threshold, self.length):
             at = np.zeros(len(x), dtype=np.int64)
             for _ in range(self.depth):
-                f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go_left = x[rows, np.maximum(f, 0)] <= threshold[at]
-                at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-            total += length[at]
+                right = flat.take(first + feature.take(at)) > threshold.take(at)
+                at = 2 * at + 1 + right
+            total += length.take(at - (2**self.depth - 1))
         return np.power(2.0, -total / (len(self.feature) * self.scale))
 
 
@@ -113,25 +130,7 @@ class AnomalyDetector:
         rows = self.nodes.limit(bound + 1).toPandas()
         if len(rows) > bound:
             raise ValueError(f"more than {bound} nodes: the node table does not belong to this model")
-        n_trees, width = rows["tree"].nunique(), int(rows["node"].max()) + 1
-        position = {t: i for i, t in enumerate(sorted(rows["tree"].unique()))}
-        at = (rows["tree"].map(position).to_numpy(), rows["node"].to_numpy())
-
-        def spread(values, fill, dtype):
-            out = np.full((n_trees, width), fill, dtype=dtype)
-            out[at] = values
-            return out
-
-        length = rows["depth"].to_numpy() + average_path(rows["size"].to_numpy())
-        return TreeArrays(
-            spread(rows["feature"].to_numpy(), -1, np.int64),
-            spread(rows["threshold"].to_numpy(dtype=float), np.nan, float),
-            spread(rows["left"].to_numpy(), 0, np.int64),
-            spread(rows["right"].to_numpy(), 0, np.int64),
-            spread(length, 0.0, float),
-            int(rows["depth"].max()) + 1,
-            float(average_path(self.subsample)),
-        )
+        return TreeArrays.of(rows, self.subsample)
 
     def raw_score(self, spark: SparkSession, vector: Column) -> Column:
         """Raw score in (0, 1] of an array of imputed feature values; higher is more anomalous."""
