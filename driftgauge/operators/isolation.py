@@ -271,7 +271,7 @@ def train_isolation_forest(
     detector = AnomalyDetector(
         nodes, tuple(features), dict(sample.medians), psi, contamination, n_trees, seed, n
     )
-    raw = detector.score_raw(table.select(*[F.col(f"`{f}`") for f in features]), "raw")
+    raw = settle(detector.score_raw(table.select(*[F.col(f"`{f}`") for f in features]), "raw").select("raw"), "raw")
     # The share of training rows beyond the offset is the contamination.
     offset = exact_quantiles(raw, ["raw"], {"offset": 1.0 - contamination}).first()["offset"]
     return replace(detector, offset=offset)

@@ -23,6 +23,7 @@ from driftgauge.operators.order_stats import (
     to_long,
 )
 from driftgauge.functions.numeric import order_hash
+from driftgauge.session import settle
 
 SAMPLE_SIZE = 100_000
 BENIGN_FRACTION = 0.9
@@ -96,16 +97,18 @@ def benign_heavy_sample(
     label: str = "label_binary",
     row_key: Sequence[str] | str | None = None,
 ) -> AnomalySample:
-    """A mostly benign sample of exact size, capped by each class, median-imputed."""
+    """A mostly benign sample of exact size, capped by each class, median-imputed.
+
+    The sample is written once, so its many later uses do not go back to the whole table.
+    """
     pools = {r["y"]: r["n"] for r in train.groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_samples = min(n_samples, sum(pools.values()))
     want_benign = round(n_samples * benign_fraction)
     n_benign = min(want_benign, pools.get(0, 0))
     n_attack = min(n_samples - want_benign, pools.get(1, 0))
-    sample = take_by_hash(train, label, {0: n_benign, 1: n_attack}, row_key, seed)
+    sample = settle(take_by_hash(train, label, {0: n_benign, 1: n_attack}, row_key, seed), "anomaly-sample")
     medians = collect_medians(sample, features)
-    keep = [F.col(f"`{c}`") for c in train.columns]
-    table = impute(sample.select(*keep), {f: medians.get(f) for f in features})
+    table = impute(sample, {f: medians.get(f) for f in features})
     return AnomalySample(table, list(features), medians, n_benign, n_attack, benign_fraction, seed)
 
 

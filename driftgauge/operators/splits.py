@@ -42,8 +42,13 @@ def as_timestamp(df: DataFrame, column: str) -> Column:
     return F.try_to_timestamp(value.cast("string"))
 
 
-def as_microseconds(timestamp: Column, dtype: T.DataType) -> Column:
-    return F.unix_micros(timestamp.cast("timestamp"))
+def as_microseconds(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970, in an order no time zone can change for zone-free timestamps."""
+    moment = as_timestamp(df, column)
+    if isinstance(df.schema[column].dataType, (T.TimestampNTZType, T.DateType)):
+        since = moment - F.lit("1970-01-01").cast("timestamp_ntz")
+        return (since.cast("interval second").cast("decimal(20,6)") * F.lit(1_000_000)).cast("long")
+    return F.unix_micros(moment.cast("timestamp"))
 
 
 def detect_timestamp_column(df: DataFrame, explicit: str | None = None) -> DataFrame:
@@ -96,7 +101,7 @@ def chronological_split(
     keys = [row_key] if isinstance(row_key, str) else list(row_key or [])
     columns = df.columns
     ordered = content_order(df).withColumns(
-        {"_micros": as_microseconds(moment, df.schema[timestamp].dataType), "_all": F.lit(0)}
+        {"_micros": as_microseconds(df, timestamp), "_all": F.lit(0)}
     )
     order = ["_micros", *keys, "_order_1", "_order_2"]
     if size == 0:

@@ -52,10 +52,6 @@ def train_detectors(
     guards.assert_labelled(train, label)
     forest = train_forest(train, features, label, **(forest_options or {}))
     sample = benign_heavy_sample(train, features, label=label, row_key=row_key, **(sample_options or {}))
-    # Written once: every tree and the offset read the sample again.
-    kept = settle(sample.table, "anomaly-sample")
-    sample = type(sample)(kept, sample.features, sample.medians, sample.n_benign, sample.n_attack,
-                          sample.benign_fraction, sample.seed)
     anomaly = train_isolation_forest(sample, row_key=row_key, **(anomaly_options or {}))
     return Detectors(forest, anomaly, hybrid)
 

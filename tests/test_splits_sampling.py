@@ -170,3 +170,16 @@ def test_guards(spark):
     with pytest.raises(AssertionError):
         guards.assert_feature_alignment(["a", "b"], ["b", "a"])
     assert not guards.assert_feature_alignment(["a"], None)
+
+
+def test_split_order_does_not_depend_on_the_session_time_zone(spark):
+    gap = dt.datetime(2021, 3, 14, 1, 30)
+    rows = [(gap + dt.timedelta(minutes=15 * i), i) for i in range(8)]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, i int")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        split = splits.chronological_split(df, "t", 0.5)
+        assert sorted(r["i"] for r in split.train.collect()) == [0, 1, 2, 3]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
