@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -45,12 +46,27 @@ def as_timestamp(df: DataFrame, column: str) -> Column:
 def as_microseconds(df: DataFrame, column: str) -> Column:
     """Microseconds since 1970, in an order no time zone can change for zone-free timestamps."""
     moment = as_timestamp(df, column)
-    if isinstance(df.schema[column].dataType, (T.TimestampNTZType, T.DateType)):
+    if _is_zone_free(df, column):
         since = moment - F.lit("1970-01-01").cast("timestamp_ntz")
         return (since.cast("interval second").cast("decimal(20,6)") * F.lit(1_000_000)).cast("long")
     return F.unix_micros(moment.cast("timestamp"))
 
 
+def _is_zone_free(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.TimestampNTZType, T.DateType))
+
+
+def _moment_literal(df: DataFrame, column: str, value) -> Column:
+    """A collected moment, or microseconds since 1970, as a literal of the column's own kind."""
+    if value is None:
+        return F.lit(None).cast("timestamp_ntz" if _is_zone_free(df, column) else "timestamp")
+    if _is_zone_free(df, column):
+        if isinstance(value, int):
+            value = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=value)
+        return F.lit(str(value)).cast("timestamp_ntz")
+    return F.timestamp_micros(F.lit(value)) if isinstance(value, int) else F.lit(value)
+
+
 def detect_timestamp_column(df: DataFrame, explicit: str | None = None) -> DataFrame:
     """One row: chosen column (or NULL), candidates, unparseable values, whether any value parses."""
     if explicit is not None and explicit not in df.columns:
@@ -108,17 +124,18 @@ def chronological_split(
         return Split(df.limit(0), df, timestamp)
     cut = order_cuts(ordered, "_all", {0: size}, order)[0]
     kept = [F.col(f"`{c}`") for c in columns]
+    # Implied by the cut, but in a form the scan can use to skip files and row groups.
+    edge = _moment_literal(df, timestamp, int(cut.path[0][1]))
+    early, late = ordered.where(moment <= edge), ordered.where(moment >= edge)
     if not cut.splits_ties:
-        return Split(
-            ordered.where(cut.taken()).select(*kept), ordered.where(~cut.taken()).select(*kept), timestamp
-        )
+        return Split(early.where(cut.taken()).select(*kept), late.where(~cut.taken()).select(*kept), timestamp)
     # Equal rows on both sides of the cut: which copies go where makes no difference.
     same = ordered.where(cut.at()).groupBy(*kept).agg(F.count(F.lit(1)).alias("_copies"))
     train_tail = copies(same.withColumn("_copies", F.lit(cut.ties).cast("long")), "_copies")
     test_head = copies(same.withColumn("_copies", F.col("_copies") - cut.ties), "_copies")
     return Split(
-        ordered.where(cut.before()).select(*kept).unionByName(train_tail),
-        ordered.where(~(cut.before() | cut.at())).select(*kept).unionByName(test_head),
+        early.where(cut.before()).select(*kept).unionByName(train_tail),
+        late.where(~(cut.before() | cut.at())).select(*kept).unionByName(test_head),
         timestamp,
     )
 
@@ -145,10 +162,11 @@ def check_time_leakage(split: Split) -> DataFrame:
     column = split.column
     bounds = split_bounds(split).first()
     last_train, first_test = bounds["train_end"], bounds["test_start"]
+    end, start = (_moment_literal(split.train, column, v) for v in (last_train, first_test))
 
     def in_range(df, side):
         moment = as_timestamp(df, column)
-        return df.where((moment >= F.lit(first_test)) & (moment <= F.lit(last_train))).select(
+        return df.where((moment >= start) & (moment <= end)).select(
             moment.alias("moment"), F.lit(side).alias("side")
         )
 
@@ -169,8 +187,8 @@ def check_time_leakage(split: Split) -> DataFrame:
     ).select(
         (F.lit(order_ok) & (F.col("n_overlapping_rows") == 0)).alias("passed"),
         F.lit(order_ok).alias("order_ok"),
-        F.lit(last_train).alias("train_end"),
-        F.lit(first_test).alias("test_start"),
+        end.alias("train_end"),
+        start.alias("test_start"),
         "n_shared_timestamps",
         "n_overlapping_rows",
     )
