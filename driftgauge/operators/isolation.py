@@ -97,16 +97,25 @@ class TreeArrays:
                     length[t, bottom] = path[node]
         return TreeArrays(feature, threshold, length, depth, float(average_path(subsample)))
 
+    def parts(self) -> tuple:
+        """Plain arrays and numbers, as they are broadcast."""
+        return self.feature, self.threshold, self.length, self.depth, self.scale
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        flat, first = np.ascontiguousarray(x, dtype=float).ravel(), np.arange(len(x)) * x.shape[1]
-        total = np.zeros(len(x))
-        for feature, threshold, length in zip(self.feature, self.threshold, self.length):
-            at = np.zeros(len(x), dtype=np.int64)
-            for _ in range(self.depth):
-                right = flat.take(first + feature.take(at)) > threshold.take(at)
-                at = 2 * at + 1 + right
-            total += length.take(at - (2**self.depth - 1))
-        return np.power(2.0, -total / (len(self.feature) * self.scale))
+        return _score_trees(self.parts(), x)
+
+
+def _score_trees(parts: tuple, x: np.ndarray) -> np.ndarray:
+    features, thresholds, lengths, depth, scale = parts
+    flat, first = np.ascontiguousarray(x, dtype=float).ravel(), np.arange(len(x)) * x.shape[1]
+    total = np.zeros(len(x))
+    for feature, threshold, length in zip(features, thresholds, lengths):
+        at = np.zeros(len(x), dtype=np.int64)
+        for _ in range(depth):
+            right = flat.take(first + feature.take(at)) > threshold.take(at)
+            at = 2 * at + 1 + right
+        total += length.take(at - (2**depth - 1))
+    return np.power(2.0, -total / (len(features) * scale))
 
 
 @dataclass(frozen=True)
@@ -134,28 +143,28 @@ class AnomalyDetector:
 
     def raw_score(self, spark: SparkSession, vector: Column) -> Column:
         """Raw score in (0, 1] of an array of imputed feature values; higher is more anomalous."""
-        shared = spark.sparkContext.broadcast(self.arrays)
+        shared = spark.sparkContext.broadcast(self.arrays.parts())
 
         @F.pandas_udf(T.DoubleType())
         def walk(x: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.score(np.stack(x.to_numpy())) if len(x) else [], dtype=float)
+            return pd.Series(_score_trees(shared.value, np.stack(x.to_numpy())) if len(x) else [], dtype=float)
 
         return walk(vector)
 
     def perturbation(self, spark: SparkSession, vector: Column, reference: Sequence[float]) -> Column:
         """Array of score changes when one feature at a time is set to its reference value."""
-        shared = spark.sparkContext.broadcast((self.arrays, np.asarray(reference, dtype=float)))
+        shared = spark.sparkContext.broadcast((self.arrays.parts(), np.asarray(reference, dtype=float)))
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def changes(x: pd.Series) -> pd.Series:
             trees, centre = shared.value
             values = np.stack(x.to_numpy()).astype(float)
-            base = trees.score(values)
+            base = _score_trees(trees, values)
             out = np.empty_like(values)
             for j in range(values.shape[1]):
                 kept = values[:, j].copy()
                 values[:, j] = centre[j]
-                out[:, j] = base - trees.score(values)
+                out[:, j] = base - _score_trees(trees, values)
                 values[:, j] = kept
             return pd.Series(list(out))
 
