@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import decontaminate, disclosure, mixing, quality_crf, simhash, token_counts, token_files, topk
+from driftgauge.llm import class_lm, decontaminate, disclosure, mixing, quality_crf, repeats, simhash, token_counts, token_files, topk
 from driftgauge.llm.common import read
 from driftgauge.session import scratch_path
 
@@ -48,6 +48,14 @@ def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op6_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_documents(read(spark, sf_dir, "documents"), quality_crf.fold(of=7) == 2)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_tokens(read(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
@@ -72,7 +80,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_crf, op2_simhash_deletion, op3_token_counts, op4_disclosure, op7_token_files,
+        op1_quality_crf, op2_simhash_deletion, op3_token_counts, op4_disclosure, op5_suffix_digits, op6_class_bigrams, op7_token_files,
         op8_topk_norm_buckets, op9_mixing, op10_decontaminate,
     )
 }
