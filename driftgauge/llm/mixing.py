@@ -20,7 +20,7 @@ from driftgauge.session import settle
 
 def word_count(text: str = "text") -> Column:
     """Number of runs without ASCII white space; 0 for null."""
-    trimmed = F.expr(f"btrim(cast(`{text}` as string), ' \\t\\n\\u000B\\f\\r')")
+    trimmed = F.btrim(F.col(text).cast("string"), F.lit(" \t\n\x0b\f\r"))
     return F.when(F.coalesce(F.octet_length(trimmed), F.lit(0)) == 0, F.lit(0)).otherwise(
         F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))
     ).cast("long")
