@@ -40,7 +40,7 @@ def components(rows, bits=2):
 
     def find(x):
         while parent[x] != x:
-            x = parent[x] = parent[parent[x]]
+            x = parent[x]
         return x
 
     a = np.asarray(prints, np.uint64)
