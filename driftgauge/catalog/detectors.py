@@ -43,7 +43,7 @@ def _forest(spark, sf_dir) -> ForestDetector:
 
 
 def _anomaly(spark, sf_dir) -> AnomalyDetector:
-    sample = benign_heavy_sample(_train(spark, sf_dir), FEATURES, 5000, row_key="key")
+    sample = benign_heavy_sample(_train(spark, sf_dir), FEATURES, row_key="key")
     return train_isolation_forest(sample, row_key="key")
 
 
@@ -148,13 +148,13 @@ def min_max_scaling(spark, sf_dir):
 
 @query("embedding_anomalies")
 def embedding_anomalies(spark, sf_dir):
-    """Isolation forest over the first eight embedding coordinates, summarised by label."""
-    names = [f"x{i}" for i in range(8)]
+    """Isolation forest over all embedding coordinates, summarised by label."""
+    names = [f"x{i}" for i in range(table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()[0])]
     df = table(spark, sf_dir, "embeddings").select(
         "vec_id", "label", (F.col("label") != 0).cast("int").alias("label_binary"),
         *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
     )
-    sample = benign_heavy_sample(df, names, 200, row_key="vec_id")
+    sample = benign_heavy_sample(df, names, row_key="vec_id")
     scored = train_isolation_forest(sample, row_key="vec_id").score(df)
     return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("anomaly_score").alias("mean_score"))
 
@@ -166,7 +166,7 @@ def embedding_anomalies(spark, sf_dir):
 def frozen_model_rewrap(spark, sf_dir):
     """Medians recomputed from the deterministic sample equal those stored with the model."""
     detector = _anomaly(spark, sf_dir)
-    again = isolation.rewrap_detector(detector, _train(spark, sf_dir), row_key="key", n_samples=5000)
+    again = isolation.rewrap_detector(detector, _train(spark, sf_dir), row_key="key")
     changed = sum(detector.medians[f] != again.medians[f] for f in FEATURES)
     return detector.nodes.agg(F.lit(len(again.medians)).alias("features"), F.lit(changed).alias("changed"))
 
@@ -210,7 +210,7 @@ def anomaly_local_explanations(spark, sf_dir):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
-    sample = settle(balanced_sample(_test(spark, sf_dir), "label_binary", 2000, row_key="key"), "sample")
+    sample = settle(balanced_sample(_test(spark, sf_dir), "label_binary", 5000, row_key="key"), "sample")
     return explain.permutation_importance(_forest(spark, sf_dir), sample, "key", THRESHOLDS.forest)
 
 

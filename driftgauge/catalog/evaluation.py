@@ -350,14 +350,48 @@ def detection_rate_pivot(spark, sf_dir):
     f"""WITH {FLOWS}, {POPULATIONS}, w AS (SELECT population, max(recall) FILTER (WHERE detector = 'random_forest') AS rf,
           max(recall) FILTER (WHERE detector = 'isolation_forest') AS an, max(recall) FILTER (WHERE detector = 'hybrid') AS hy
           FROM compared GROUP BY 1)
-        SELECT population, 'best_detector' AS rule FROM w
-        UNION ALL SELECT population, CASE WHEN an > rf THEN 'anomaly_ahead_of_forest' ELSE 'forest_at_least_anomaly' END FROM w
+        SELECT population, 'best_detector' AS rule, CASE WHEN rf >= an AND rf >= hy THEN 'random_forest'
+             WHEN an >= hy THEN 'isolation_forest' ELSE 'hybrid' END AS leader FROM w
+        UNION ALL SELECT population, CASE WHEN an > rf THEN 'anomaly_ahead_of_forest' ELSE 'forest_at_least_anomaly' END, NULL FROM w
         UNION ALL SELECT population, CASE WHEN hy < least(rf, an) - 0.05 THEN 'hybrid_below_both'
-             WHEN hy > greatest(rf, an) THEN 'hybrid_above_both' ELSE 'hybrid_between' END FROM w""",
+             WHEN hy > greatest(rf, an) THEN 'hybrid_above_both' ELSE 'hybrid_between' END, NULL FROM w""",
 )
 def detector_findings(spark, sf_dir):
     found = evidence.findings(population_comparison(spark, sf_dir), "recall", ["population"], margin=0.05)
-    return found.select("population", "rule")
+    leader = F.when(F.col("rule") == "best_detector", F.substring_index("message", " ", 1))
+    return found.select("population", "rule", leader.alias("leader"))
+
+
+@query(
+    "count_findings",
+    """SELECT 'significant_shifts' AS rule, (count(*) FILTER (WHERE s_acctbal < 100)) || '/' || count(*) AS amount FROM supplier
+       UNION ALL SELECT 'unmapped_features', (count(*) FILTER (WHERE c_acctbal < 0)) || '/' || count(*) FROM customer
+       UNION ALL SELECT 'infinities_replaced', (count(*) FILTER (WHERE l_discount = 0))::VARCHAR FROM lineitem""",
+)
+def count_findings(spark, sf_dir):
+    """Suppliers stand for shift tests, customers for features, lines by flag for columns with infinities."""
+    found = evidence.count_findings(
+        spark, table(spark, sf_dir, "supplier").select((F.col("s_acctbal") / 10000).alias("p_value")),
+        table(spark, sf_dir, "customer").select((F.col("c_acctbal") >= 0).alias("mapped")),
+        table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_discount") == 0).alias("n_infinite")),
+    )
+    return found.select("rule", F.substring_index("message", " ", 1).alias("amount"))
+
+
+_TIED = """WITH o AS (SELECT user_id, CASE WHEN event_type IN ('view', 'click') THEN CASE WHEN value >= 10 THEN 'FP' ELSE 'TN' END
+    ELSE CASE WHEN value >= 10 THEN 'TP' ELSE 'FN' END END AS outcome FROM events)
+  SELECT outcome, user_id FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY user_id) AS place FROM o) WHERE place <= {n}"""
+
+
+@query("first_per_outcome_tied", _TIED.format(n=1))
+def first_per_outcome_tied(spark, sf_dir):
+    """The key is not unique, and still one row of each outcome comes back."""
+    return evidence.first_per_outcome(_judged(spark, sf_dir), "user_id").select("outcome", "user_id")
+
+
+@query("first_five_per_outcome_tied", _TIED.format(n=5))
+def first_five_per_outcome_tied(spark, sf_dir):
+    return evidence.first_per_outcome(_judged(spark, sf_dir), "user_id", 5).select("outcome", "user_id")
 
 
 @query(

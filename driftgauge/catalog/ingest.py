@@ -22,25 +22,66 @@ def _line_sums(df):
     )
 
 
-def _write_raw(spark, sf_dir, copy_at_root=True):
+def _write_raw(spark, sf_dir, formats=("parquet", "csv")):
     """A dataset folder whose canonical subfolder and root hold the same rows."""
     raw = scratch_path(spark, "raw")
     columns = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity")
-    columns.write.parquet(f"{raw}/parquet")
-    columns.write.option("header", True).csv(f"{raw}/csv")
-    if copy_at_root:
+    if "parquet" in formats:
+        columns.write.parquet(f"{raw}/parquet")
         columns.write.mode("append").parquet(raw)
+    if "csv" in formats:
+        columns.write.option("header", True).csv(f"{raw}/csv")
     return raw
 
 
 @query("parquet_flow_scan", _SUMS)
 def parquet_flow_scan(spark, sf_dir):
-    return _line_sums(files.read_flows(spark, _write_raw(spark, sf_dir)))
+    return _line_sums(files.read_flows(spark, _write_raw(spark, sf_dir, ["parquet"])))
+
+
+_MIXED = rounded(
+    """SELECT l_returnflag, count(*) AS n, sum(l_linenumber)::BIGINT AS lines, sum(l_quantity) FILTER (WHERE l_linestatus = 'O') AS quantity
+       FROM lineitem GROUP BY 1""",
+    "quantity",
+)
+
+
+@query("mixed_parquet_scan", _MIXED)
+def mixed_parquet_scan(spark, sf_dir):
+    """One part of the files has narrow integers and a column less; no row, column or digit is lost."""
+    raw = scratch_path(spark, "mixed")
+    lines = table(spark, sf_dir, "lineitem")
+    lines.where("l_linestatus = 'F'").select("l_returnflag", F.col("l_linenumber").cast("int")).write.parquet(f"{raw}/parquet")
+    lines.where("l_linestatus = 'O'").select("l_returnflag", F.col("l_linenumber").cast("long"), "l_quantity").write.mode(
+        "append"
+    ).parquet(f"{raw}/parquet")
+    return _line_sums(files.read_flows(spark, raw))
+
+
+@query(
+    "mixed_csv_scan",
+    rounded(
+        """SELECT event_type, count(*) AS n, count(*) FILTER (WHERE user_id % 2 = 0) AS numbers,
+                  sum(value) FILTER (WHERE user_id % 2 = 0) AS total FROM events GROUP BY 1""",
+        "total",
+    ),
+)
+def mixed_csv_scan(spark, sf_dir):
+    """One part of the files has text in a number column; coercion decides afterwards."""
+    raw = scratch_path(spark, "mixed")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
+    events.where("user_id % 2 = 0").write.option("header", True).csv(f"{raw}/csv")
+    odd = events.where("user_id % 2 = 1").select("event_type", F.lit("bad").alias("value"), "event_id")
+    odd.write.mode("append").option("header", True).csv(f"{raw}/csv")
+    number = F.col("value").try_cast("double")
+    return files.read_flows(spark, raw).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count(number).alias("numbers"), F.sum(number).alias("total")
+    )
 
 
 @query("csv_flow_scan", _SUMS)
 def csv_flow_scan(spark, sf_dir):
-    return _line_sums(files.read_flows(spark, _write_raw(spark, sf_dir), prefer="csv"))
+    return _line_sums(files.read_flows(spark, _write_raw(spark, sf_dir, ["csv"]), prefer="csv"))
 
 
 @query(
@@ -48,7 +89,7 @@ def csv_flow_scan(spark, sf_dir):
     "SELECT count(*) AS n, count(DISTINCT l_linenumber) AS line_numbers, 2::BIGINT AS columns_read FROM lineitem",
 )
 def column_subset_scan(spark, sf_dir):
-    df = files.read_flows(spark, _write_raw(spark, sf_dir), columns=["l_linenumber"])
+    df = files.read_flows(spark, _write_raw(spark, sf_dir, ["parquet"]), columns=["l_linenumber"])
     return df.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("l_linenumber").alias("line_numbers"),
@@ -81,19 +122,21 @@ def external_csv_scan(spark, sf_dir):
     )
 
 
-def _write_logs(spark, sf_dir):
+def _write_logs(spark, sf_dir, broken=None):
     """events as connection logs: one folder per log, header lines first, two different field lists."""
     folder = scratch_path(spark, "logs")
     events = table(spark, sf_dir, "events")
     marked = F.when(F.col("value") < 5, F.lit("-")).otherwise(F.col("value").cast("string"))
     fields = [F.col("event_id").cast("string"), F.col("event_type"), marked]
     log = F.pmod("user_id", F.lit(4)).cast("int")
+    tail = F.when(broken, F.lit("\tone too many")).otherwise("") if broken is not None else F.lit("")
     lines = events.select(
         log.alias("log"),
         F.lit(1).alias("part"),
         F.col("event_id"),
+        tail.alias("tail"),
         F.when(log < 2, F.concat_ws("\t", *fields)).otherwise(F.concat_ws("\t", *reversed(fields))).alias("value"),
-    )
+    ).withColumn("value", F.concat("value", "tail")).drop("tail")
     named = "event_id\tlabel\tduration"
     heads = events.select(log.alias("log")).distinct().select(
         "log",
@@ -198,3 +241,14 @@ def _named_files(spark, sf_dir):
 def rows_with_capture_day(spark, sf_dir):
     weekdays = _named_files(spark, sf_dir).where(~F.date_format("ts", "EEEE").isin("Saturday", "Sunday"))
     return clean.with_capture_day(weekdays).groupBy("capture_day").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "broken_log_report",
+    """SELECT count(DISTINCT user_id % 4) AS files_parsed, count(*) AS rows_read,
+              count(*) FILTER (WHERE event_id % 97 = 5) AS malformed_rows FROM events""",
+)
+def broken_log_report(spark, sf_dir):
+    """Some lines have a field too many: the report counts them, and the table refuses to be read."""
+    folder = _write_logs(spark, sf_dir, F.col("event_id") % 97 == 5)
+    return zeek.read_connection_logs(spark, folder, pattern="*.txt").report

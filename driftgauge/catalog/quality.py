@@ -164,15 +164,15 @@ def feature_selection(spark, sf_dir):
 @query(
     "decision_log",
     f"""WITH {RATES_SQL}
-    SELECT 'handle_nan_inf' AS operator, NULL AS "column", count(*) FILTER (WHERE isinf(rate)) AS n_affected FROM rates
-    UNION ALL SELECT 'handle_nan_inf', NULL, count(*) FILTER (WHERE isinf(rate)) + count(*) - count(gap) FROM rates
-    UNION ALL SELECT 'validate_nonnegative', 'margin', count(*) FILTER (WHERE margin < 0) FROM rates
-    UNION ALL SELECT 'validate_nonnegative', 'absent', 0""",
+    SELECT 1::BIGINT AS step, 'handle_nan_inf' AS operator, NULL AS "column", count(*) FILTER (WHERE isinf(rate)) AS n_affected FROM rates
+    UNION ALL SELECT 2, 'handle_nan_inf', NULL, count(*) FILTER (WHERE isinf(rate)) + count(*) - count(gap) FROM rates
+    UNION ALL SELECT 3, 'validate_nonnegative', 'margin', count(*) FILTER (WHERE margin < 0) FROM rates
+    UNION ALL SELECT 4, 'validate_nonnegative', 'absent', 0""",
 )
 def decision_log(spark, sf_dir):
     rates = _rates(spark, sf_dir)
     log = quality.decision_log(clean.nan_inf_log(rates), clean.nonnegative_log(rates, ["margin", "absent"]))
-    return log.select("operator", "column", "n_affected")
+    return log.select("step", "operator", "column", "n_affected")
 
 
 @query(

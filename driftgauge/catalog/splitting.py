@@ -161,12 +161,12 @@ def day_label_table(spark, sf_dir):
 @query(
     "benign_heavy_sample",
     f"""WITH {FLOWS}, s AS (SELECT count(*) AS n, count(*) FILTER (WHERE label_binary = 0) AS b, count(*) FILTER (WHERE label_binary = 1) AS a FROM train),
-        w AS (SELECT *, least(3000, n) AS k FROM s)
+        w AS (SELECT *, least(100000, n) AS k FROM s)
     SELECT 0::BIGINT AS label_binary, least(round_even(k * 0.9e0, 0), b)::BIGINT AS n FROM w
     UNION ALL SELECT 1, least(k - round_even(k * 0.9e0, 0), a)::BIGINT FROM w""",
 )
 def benign_heavy_sample(spark, sf_dir):
-    sample = sampling.benign_heavy_sample(train_side(flows(spark, sf_dir)), FEATURES, 3000)
+    sample = sampling.benign_heavy_sample(train_side(flows(spark, sf_dir)), FEATURES)
     return sample.table.groupBy("label_binary").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from driftgauge.functions.numeric import finite
 
@@ -89,16 +90,14 @@ def first_alerts(df: DataFrame, row_key: str, n: int) -> DataFrame:
 
 
 def first_per_outcome(df: DataFrame, row_key: str, n: int = 1, column: str = "outcome") -> DataFrame:
-    """The first ``n`` rows of each outcome by key, found by an aggregate and fetched by a filter."""
-    if n == 1:
-        firsts = df.groupBy(column).agg(F.min(F.col(f"`{row_key}`")).alias("_key"))
-        chosen = [r for r in firsts.collect() if r[column] is not None]
-        test = F.lit(False)
-        for r in chosen:
-            test = test | ((F.col(column) == r[column]) & (F.col(f"`{row_key}`") == F.lit(r["_key"])))
-        return df.where(test)
-    place = Window.partitionBy(column).orderBy(F.col(f"`{row_key}`"))
-    return df.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= n).drop("_place")
+    """The first ``n`` rows of each outcome by key, null keys last; ties are cut by content.
+
+    Rows without an outcome are left out. Each task passes on ``n`` rows of an outcome at most.
+    """
+    content = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, MapType)]
+    place = Window.partitionBy(column).orderBy(F.col(f"`{row_key}`").asc_nulls_last(), F.xxhash64(*content))
+    known = df.where(F.col(f"`{column}`").isNotNull())
+    return known.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= n).drop("_place")
 
 
 def top_contributors(contributions: Column, k: int, sign: int) -> Column:
@@ -231,6 +230,36 @@ def findings(comparison: DataFrame, metric: str = "recall", by: Sequence[str] =
     return wide.where(complete).select(*keys, F.inline(rows))
 
 
+def count_findings(
+    spark, shift_tests: DataFrame | None = None, mapping: DataFrame | None = None, infinite: DataFrame | None = None,
+    alpha: float = 0.01,
+) -> DataFrame:
+    """``(rule, message)`` of an evaluation on other data, each rule only where there is something to say.
+
+    ``shift_tests`` has a ``p_value`` for each tested feature, ``mapping`` a ``mapped`` flag for each feature of
+    the model, and ``infinite`` an ``n_infinite`` for each mapped column.
+    """
+    parts = []
+    if shift_tests is not None:
+        counted = shift_tests.agg(F.count_if(F.col("p_value") < alpha).alias("a"), F.count(F.lit(1)).alias("b"))
+        parts.append((counted, "significant_shifts", f"tested features differ significantly (p<{alpha}); an association, not a cause", "b"))
+    if mapping is not None:
+        counted = mapping.agg(F.count_if(~F.col("mapped")).alias("a"), F.count(F.lit(1)).alias("b"))
+        parts.append((counted, "unmapped_features", "features have no counterpart and were imputed with training medians", "a"))
+    if infinite is not None:
+        counted = infinite.agg(F.coalesce(F.sum("n_infinite"), F.lit(0)).alias("a"), F.lit(None).cast("long").alias("b"))
+        parts.append((counted, "infinities_replaced", "infinite values were replaced and imputed with training medians", "a"))
+    rows = spark.createDataFrame([], "rule string, message string")
+    for counted, rule, text, needed in parts:
+        amount = F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string"))
+        rows = rows.unionByName(
+            counted.where(F.col(needed) > 0).select(
+                F.lit(rule).alias("rule"), F.concat(amount, F.lit(f" {text}")).alias("message")
+            )
+        )
+    return rows
+
+
 def run_metadata(spark, **facts) -> DataFrame:
     """One row of run facts, ready to be written as JSON."""
     return spark.range(1).select(*[_literal(v).alias(k) for k, v in facts.items()])

@@ -259,11 +259,17 @@ def train_isolation_forest(
     psi = min(subsample, n)
     max_depth = max(1, math.ceil(math.log2(max(psi, 2))))
     keys = [row_key] if isinstance(row_key, str) else list(row_key or table.columns)
-    ticket = F.xxhash64(F.lit(seed), "tree", *[F.col(f"`{k}`") for k in keys])
+    # The sample is bounded, so one task can number it; copies of a row then have numbers of their own.
+    seat = Window.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in keys]), *[F.col(f"`{k}`") for k in keys], "x")
+    seats = settle(
+        table.select(feature_array(features).alias("x"), *[F.col(f"`{k}`") for k in keys if k != "x"])
+        .select("x", F.row_number().over(seat).alias("seat")),
+        "isolation-seats",
+    )
+    ticket = F.xxhash64(F.lit(seed), "tree", "seat")
     share = min(1.0, (psi + 8.0 * math.sqrt(psi)) / n)
     thinned = (
-        table.select(feature_array(features).alias("x"), *[F.col(f"`{k}`") for k in keys if k != "x"],
-                     F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+        seats.select("x", "seat", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
         .withColumn("ticket", ticket)
         .select("tree", "x", "ticket", (F.pmod("ticket", F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u"))
         .where(F.col("u") <= share)

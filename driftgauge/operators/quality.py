@@ -265,12 +265,15 @@ def select_features(
 
 
 def decision_log(*parts: DataFrame) -> DataFrame:
-    """Cleaning decisions ``(operator, column, n_affected, message)`` numbered in the order given."""
+    """Cleaning decisions ``(step, operator, column, n_affected, message)``, numbered from 1 in the order given;
+    a part's own ``step`` orders its rows, else they stay as they are. A log has a row for each decision."""
     merged = None
     for i, part in enumerate(parts):
-        part = part.withColumn("part", F.lit(i))
+        own = F.col("step").cast("long") if "step" in part.columns else F.monotonically_increasing_id()
+        part = part.withColumns({"step": own, "part": F.lit(i)})
         merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
-    return merged
+    place = F.row_number().over(Window.orderBy("part", "step"))
+    return merged.select("*", place.alias("_place")).drop("step").withColumnRenamed("_place", "step")
 
 
 def describe(df: DataFrame, column: str, quantiles: Sequence[float] = (0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:

@@ -115,14 +115,19 @@ def benign_heavy_sample(
 def balanced_sample(
     df: DataFrame, label: str, n_samples: int, seed: int = SEED, row_key: Sequence[str] | str | None = None
 ) -> DataFrame:
-    """``n_samples`` rows spread evenly over the classes; a shortfall is filled from the other rows."""
+    """``n_samples`` rows spread evenly over the classes; a shortfall is filled from the other rows.
+
+    Rows without a label count as one more class of which nothing is drawn, so its share is filled from all
+    rows that are left, unlabelled ones among them.
+    """
     if n_samples <= 0:
         return df.limit(0)
     name = F.col(f"`{label}`").cast("string")
-    pools = {r["c"]: r["n"] for r in df.groupBy(name.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect() if r["c"] is not None}
+    pools = {r["c"]: r["n"] for r in df.groupBy(name.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if n_samples >= sum(pools.values()):
         return df
     each, extra = divmod(n_samples, len(pools))
+    pools.pop(None, None)
     sizes = {c: min(pools[c], each + (1 if i < extra else 0)) for i, c in enumerate(sorted(pools))}
     short = n_samples - sum(sizes.values())
     ordered, order = _ordered(df, row_key, seed)
@@ -133,7 +138,8 @@ def balanced_sample(
     # What the first cuts left over, copies of tied rows included, fills the shortfall.
     untouched = reduce(
         lambda a, b: a | b,
-        [(F.col("_class") == F.lit(c)) & ~(cut.before() | cut.at()) for c, cut in first_cuts.items()],
+        [F.col("_class").eqNullSafe(F.lit(c)) & ~(cut.before() | cut.at()) for c, cut in first_cuts.items()],
+        F.col("_class").isNull(),
     )
     rest = ordered.where(untouched)
     every = [F.col(f"`{c}`") for c in ordered.columns]

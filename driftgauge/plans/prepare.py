@@ -100,7 +100,7 @@ def prepare(
         labels.label_log(cleaned),
         clean.nan_inf_log(flows),
         clean.nonnegative_log(flows).drop("n_not_numeric"),
-        selection.log.drop("step"),
+        selection.log,
     )
     out = out_dir.rstrip("/")
     sinks.write_table(split.train, f"{out}/train", overwrite=overwrite)

@@ -74,10 +74,46 @@ def _pick(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in [*columns, *extra]])
 
 
+def _united(parts: Sequence[DataFrame]) -> DataFrame:
+    """All rows and columns of ``parts``. Where the types of a column disagree, numbers become doubles and
+    anything else text, so that later coercion decides what is a number."""
+    kinds: dict[str, set[str]] = {}
+    parts = [_promoted(p) for p in parts]
+    for part in parts:
+        for name, kind in part.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    numbers = {"bigint", "float", "double"}
+    cast = {n: "double" if k <= numbers else "string" for n, k in kinds.items() if len(k) > 1}
+    merged = None
+    for part in parts:
+        here = {n: F.col(f"`{n}`").cast(k) for n, k in cast.items() if n in part.columns}
+        part = part.withColumns(here) if here else part
+        merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
+    return merged
+
+
+def _alike(spark: SparkSession, paths: Sequence[str]) -> list[tuple[T.StructType, list[str]]]:
+    """Groups of files that one schema can read, each with that schema. Spark merges the footers of all files in
+    one job; only where types disagree are the files halved."""
+    try:
+        return [(spark.read.option("mergeSchema", True).parquet(*paths).schema, list(paths))]
+    except Exception as error:  # its class depends on how the session is connected
+        if len(paths) == 1 or "CANNOT_MERGE_SCHEMAS" not in str(error):
+            raise
+    half = len(paths) // 2
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for schema, some in [*_alike(spark, paths[:half]), *_alike(spark, paths[half:])]:
+        groups.setdefault(schema.json(), (schema, []))[1].extend(some)
+    return list(groups.values())
+
+
 def read_parquet(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(*paths)
-    named = df.select("*", F.col("_metadata.file_path").alias("source_file"))
-    return _pick(_promoted(named), columns)
+    """Files whose columns or widths may differ, united by name."""
+    parts = [
+        spark.read.schema(schema).parquet(*some).select("*", F.col("_metadata.file_path").alias("source_file"))
+        for schema, some in _alike(spark, list(paths))
+    ]
+    return _pick(_united(parts), columns)
 
 
 def _heads(spark: SparkSession, paths: Sequence[str], encoding: str | None = None) -> list[tuple[str, str, tuple]]:
@@ -123,11 +159,7 @@ def read_csv(
         alike.setdefault((used, header), []).append(path)
     if not alike:
         raise FileNotFoundError("no CSV rows to read")
-    parts = [load(group, used) for (used, _), group in alike.items()]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part, allowMissingColumns=True)
-    return _pick(_promoted(merged), columns)
+    return _pick(_united([load(group, used) for (used, _), group in alike.items()]), columns)
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:

@@ -49,14 +49,16 @@ def read_connection_logs(spark: SparkSession, folder: str, pattern: str = LOG_PA
             .where(~F.array_contains(F.split(F.lower("source_file"), "/"), SKIPPED_FOLDER))
             .withColumn("value", F.regexp_replace("value", "\r$", ""))
         )
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     is_header, is_data = F.col("value").startswith("#"), (F.col("value") != "") & ~F.col("value").startswith("#")
     fields_line, separator_line = F.col("value").startswith("#fields"), F.col("value").startswith("#separator")
     # Partial aggregates keep one candidate line per task and file.
     heads = lines.groupBy("source_file").agg(
-        F.max(F.when(separator_line, F.trim(F.substring("value", 11, 1000)))).alias("mark"),
-        F.max(F.when(fields_line, F.substring("value", 8, 1_000_000))).alias("fields_text"),
+        F.max(F.when(separator_line, F.trim(F.expr("substring(value, 11)")))).alias("mark"),
+        F.max(F.when(fields_line, F.expr("substring(value, 8)"))).alias("fields_text"),
         F.count_distinct(F.when(fields_line, F.col("value"))).alias("n_headers"),
         F.min(F.when(fields_line, F.col("place"))).alias("header_place"),
         F.min(F.when(is_data, F.col("place"))).alias("data_place"),
@@ -77,7 +79,6 @@ def read_connection_logs(spark: SparkSession, folder: str, pattern: str = LOG_PA
         F.count(F.lit(1)).alias("files"),
         F.max("n_headers").alias("headers"),
         F.count_if((F.col("n_rows") > 0) & F.col("early")).alias("early"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("fields")))).alias("names"),
     ).first()
     if not facts["files"]:
         return None
@@ -86,6 +87,7 @@ def read_connection_logs(spark: SparkSession, folder: str, pattern: str = LOG_PA
     if facts["headers"] > 1:
         raise ValueError("a log changes its #fields line midway")
 
+    names = sorted(r[0] for r in heads.select(F.explode("fields")).distinct().collect())
     values = F.split("value", F.col("pattern"), -1)
     refused = F.raise_error(
         F.concat(
@@ -93,25 +95,25 @@ def read_connection_logs(spark: SparkSession, folder: str, pattern: str = LOG_PA
             F.size("fields").cast("string"), F.lit(" fields, got "), F.size("values").cast("string"),
         )
     )
-    parsed = (
+    cut = (
         lines.where(is_data)
         .join(heads.select("source_file", "pattern", "fields"), "source_file")
         .select("source_file", "fields", values.alias("values"))
-        .withColumn(
-            "cells",
-            F.when(F.size("fields") == F.size("values"), F.map_from_arrays("fields", "values")).otherwise(
-                refused.cast("map<string,string>")
-            ),
-        )
     )
+    whole = F.size("fields") == F.size("values")
+    # as a filter the check can't be pruned with the columns that nobody reads
+    parsed = cut.where(F.when(whole, F.lit(True)).otherwise(refused.cast("boolean"))).withColumn(
+        "cells", F.map_from_arrays("fields", "values")
+    )
+    malformed = cut.groupBy("source_file").agg(F.count_if(~whole).alias("malformed"))
 
     def cell(name: str) -> Column:
         value = F.try_element_at(F.col("cells"), F.lit(name))
         return F.when(~value.isin(*MISSING_MARKS), value).alias(name)
 
-    report = heads.agg(
+    report = heads.join(malformed, "source_file", "left").agg(
         F.count(F.lit(1)).alias("files_parsed"),
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows_read"),
-        F.lit(0).cast("long").alias("malformed_rows"),
+        F.coalesce(F.sum("malformed"), F.lit(0)).alias("malformed_rows"),
     )
-    return ConnectionLogs(parsed.select("source_file", *[cell(n) for n in facts["names"]]), report)
+    return ConnectionLogs(parsed.select("source_file", *[cell(n) for n in names]), report)

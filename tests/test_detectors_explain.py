@@ -219,3 +219,28 @@ def test_findings(spark):
 def test_scale_to_unit(spark):
     got = spark.range(3).select(isolation.scale_to_unit(F.col("id"), 0.0, 2.0).alias("v")).collect()
     assert [r["v"] for r in got] == [0.0, 0.5, 1.0]
+
+
+def test_copies_of_a_row_have_tickets_of_their_own(spark):
+    from driftgauge.operators.isolation import train_isolation_forest
+    from driftgauge.operators.sampling import benign_heavy_sample
+
+    df = spark.range(2000).selectExpr("cast(id % 20 as double) as f", "cast(id % 10 = 0 as int) as label_binary")
+    detector = train_isolation_forest(benign_heavy_sample(df, ["f"]), n_trees=10)
+    roots = detector.nodes.where("depth = 0").collect()
+    assert len(roots) == 10 and {r["size"] for r in roots} == {256}
+
+
+def test_first_of_an_outcome_is_one_row(spark):
+    rows = [(1, "TP", "x"), (1, "TP", "y"), (None, "TP", "z"), (2, "FN", "x"), (3, None, "x")]
+    df = spark.createDataFrame(rows, "k int, outcome string, note string")
+    assert sorted((r["outcome"], r["k"]) for r in evidence.first_per_outcome(df, "k").collect()) == [("FN", 2), ("TP", 1)]
+    assert evidence.first_per_outcome(df, "k", 9).count() == 4
+
+
+def test_count_findings(spark):
+    tests = spark.createDataFrame([(0.001,), (0.5,)], "p_value double")
+    known = spark.createDataFrame([(True,), (False,)], "mapped boolean")
+    none = spark.createDataFrame([(0,)], "n_infinite long")
+    assert [r["rule"] for r in evidence.count_findings(spark, tests, known, none).collect()] == ["significant_shifts", "unmapped_features"]
+    assert evidence.count_findings(spark).count() == 0

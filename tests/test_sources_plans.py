@@ -208,3 +208,31 @@ def test_streams(spark, raw, prepared, trained, tmp_path):
     streams.write_stream(alerts, str(tmp_path / "alerts"), str(tmp_path / "c2")).awaitTermination()
     expected = frozen.score_rows(rows).where(F.col("hybrid_score") >= result.selection.thresholds.hybrid).count()
     assert spark.read.parquet(str(tmp_path / "alerts")).count() == expected
+
+
+def test_parquet_files_may_differ(spark, tmp_path):
+    folder = str(tmp_path / "raw")
+    spark.createDataFrame([(1, 2)], "a int, b int").write.parquet(f"{folder}/parquet")
+    spark.createDataFrame([(1 << 40, 3, 0.5)], "a long, b int, c double").write.mode("append").parquet(f"{folder}/parquet")
+    spark.createDataFrame([("x", 4)], "a string, b int").write.mode("append").parquet(f"{folder}/parquet")
+    got = files.read_flows(spark, folder).select("a", "b", "c").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == [("1", 2, None), (str(1 << 40), 3, 0.5), ("x", 4, None)]
+
+
+def test_csv_files_may_differ_in_type(spark, tmp_path):
+    folder = str(tmp_path / "raw")
+    spark.createDataFrame([(1.5, "p")], "x double, y string").write.option("header", True).csv(f"{folder}/csv")
+    spark.createDataFrame([("bad",)], "x string").write.mode("append").option("header", True).csv(f"{folder}/csv")
+    assert sorted(tuple(r) for r in files.read_flows(spark, folder).select("x").collect()) == [("1.5",), ("bad",)]
+
+
+def test_malformed_lines_are_counted_and_refused(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.conn-labeled.log").write_text("#separator \\x09\n#fields\ta\tb\tc\n1\t2\t3\n1\t2\n4\t5\t6\n")
+    logs = zeek.read_connection_logs(spark, str(folder))
+    report = logs.report.first()
+    assert (report["rows_read"], report["malformed_rows"]) == (3, 1)
+    with pytest.raises(Exception, match="expected 3 fields, got 2"):
+        logs.table.count()
+    assert zeek.read_connection_logs(spark, str(tmp_path / "none")) is None

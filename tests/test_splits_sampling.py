@@ -183,3 +183,13 @@ def test_split_order_does_not_depend_on_the_session_time_zone(spark):
         assert sorted(r["i"] for r in split.train.collect()) == [0, 1, 2, 3]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_balanced_sample_with_unlabelled_rows(spark):
+    from driftgauge.operators.sampling import balanced_sample
+
+    df = spark.range(150).selectExpr("id", "case when id < 30 then 'a' when id < 50 then 'b' end as label")
+    assert balanced_sample(df, "label", 60, row_key="id").count() == 60
+    assert balanced_sample(df, "label", 200, row_key="id").count() == 150
+    few = balanced_sample(df, "label", 9, row_key="id").groupBy("label").count().collect()
+    assert sum(r["count"] for r in few) == 9
