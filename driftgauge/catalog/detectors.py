@@ -17,7 +17,6 @@ from driftgauge.session import scratch_path, settle
 from driftgauge.sources.sinks import FrozenThresholds
 from driftgauge.streaming import flows as streams
 
-FOREST = dict(n_trees=10, max_depth=8)
 THRESHOLDS = FrozenThresholds(0.3, 0.5, 0.4, "override")
 KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
@@ -38,27 +37,46 @@ def _test(spark, sf_dir):
     return _labelled(spark, sf_dir).where("l_linestatus = 'O'")
 
 
-def _forest(spark, sf_dir) -> ForestDetector:
-    return train_forest(_train(spark, sf_dir), FEATURES, **FOREST)
+_TRAINED: dict[tuple, object] = {}
 
 
-def _anomaly(spark, sf_dir) -> AnomalyDetector:
+def _once(spark, sf_dir, kind, train):
+    """One model for all queries of a session that need it; the queries about training train their own."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _TRAINED:
+        _TRAINED[key] = train(spark, sf_dir)
+    return _TRAINED[key]
+
+
+def _train_forest(spark, sf_dir) -> ForestDetector:
+    return train_forest(_train(spark, sf_dir), FEATURES)
+
+
+def _train_anomaly(spark, sf_dir) -> AnomalyDetector:
     sample = benign_heavy_sample(_train(spark, sf_dir), FEATURES, row_key="key")
     return train_isolation_forest(sample, row_key="key")
 
 
+def _forest(spark, sf_dir) -> ForestDetector:
+    return _once(spark, sf_dir, "forest", _train_forest)
+
+
+def _anomaly(spark, sf_dir) -> AnomalyDetector:
+    return _once(spark, sf_dir, "anomaly", _train_anomaly)
+
+
 def _detectors(spark, sf_dir) -> Detectors:
     return Detectors(_forest(spark, sf_dir), _anomaly(spark, sf_dir).freeze_range(_train(spark, sf_dir)), HybridConfig())
 
 
 @query(
     "forest_training",
-    """SELECT 10::BIGINT AS trees, 4::BIGINT AS features, count(*) AS rows_scored, true AS separates, 0::BIGINT AS out_of_range
+    """SELECT 100::BIGINT AS trees, 4::BIGINT AS features, count(*) AS rows_scored, true AS separates, 0::BIGINT AS out_of_range
        FROM lineitem WHERE l_linestatus = 'O'""",
 )
 def forest_training(spark, sf_dir):
     """Trained on one side, scored on the other: attacks must score higher, all scores lie in [0, 1]."""
-    detector = _forest(spark, sf_dir)
+    detector = _train_forest(spark, sf_dir)
     scored = detector.score(_test(spark, sf_dir).select(*FEATURES, "label_binary"))
     mean = lambda y: F.avg(F.when(F.col("label_binary") == y, F.col("rf_score")))
     return scored.agg(
@@ -103,7 +121,7 @@ def forest_artifacts(spark, sf_dir):
 )
 def isolation_forest_training(spark, sf_dir):
     """Tree shape: full subsamples at the roots, bounded depth, children that add up to their parent."""
-    nodes = _anomaly(spark, sf_dir).nodes
+    nodes = _train_anomaly(spark, sf_dir).nodes
     children = nodes.select("tree", F.col("node").alias("child"), F.col("size").alias("child_size"))
     sums = (
         nodes.where("left >= 0").select("tree", "node", "size", F.explode(F.array("left", "right")).alias("child"))
@@ -124,7 +142,7 @@ def isolation_forest_training(spark, sf_dir):
 def anomaly_scores(spark, sf_dir):
     gaps = F.when(F.col("l_quantity") > 5, F.col("l_quantity")).alias("l_quantity")
     rows = _test(spark, sf_dir).select(gaps, *[f for f in FEATURES if f != "l_quantity"])
-    scored = _anomaly(spark, sf_dir).score(rows)
+    scored = _train_anomaly(spark, sf_dir).score(rows)
     return scored.agg(
         F.count(F.lit(1)).alias("rows"), F.min("anomaly_score").alias("lowest"), F.max("anomaly_score").alias("highest"),
         F.count_if(F.col("anomaly_score").isNull()).alias("missing"),
