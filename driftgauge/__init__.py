@@ -4,9 +4,5 @@ import sys
 
 from pyspark import cloudpickle
 
-from driftgauge.spec import FlowSpec
-
 # Functions sent to Python workers travel with their code, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-__all__ = ["FlowSpec"]

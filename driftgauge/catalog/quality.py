@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from driftgauge.catalog.registry import FEATURES, FLOWS, flows, query, rounded, table, train_side
 from driftgauge.functions import labels as L
+from driftgauge.functions import names
 from driftgauge.functions.names import feature_key_column
 from driftgauge.functions.numeric import coerce_number, ieee_divide
 from driftgauge.operators import clean, guards, labels, mapping, quality
 from driftgauge.operators.order_stats import collect_medians, column_medians
+from driftgauge.plans.prepare import choose_features
 from driftgauge.sources import files
 
 
@@ -538,3 +540,32 @@ def shiftable_features(spark, sf_dir):
 )
 def finite_guard(spark, sf_dir):
     return guards.nonfinite_counts(_rates(spark, sf_dir), ["rate", "margin", "gap"])
+
+
+@query(
+    "chosen_features",
+    """SELECT 'feature' AS role, 'value' AS name, count(*) AS rows FROM events
+       UNION ALL SELECT 'feature', 'user_id', count(*) FROM events
+       UNION ALL SELECT 'identifier', 'Src IP', count(*) FROM events
+       UNION ALL SELECT 'label', 'attack class', count(*) FROM events
+       UNION ALL SELECT 'constant', 'fixed', count(*) FROM events
+       UNION ALL SELECT 'duplicate', 'value again', count(*) FROM events""",
+)
+def chosen_features(spark, sf_dir):
+    """Identifiers, second targets and constants are no features, copies leave the table, the rest is in order."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("Label"), "value", "user_id", F.col("event_id").alias("Src IP"), F.col("value").alias("value again"),
+        F.lower("event_type").alias("attack class"), F.lit(1.0).alias("fixed"),
+    )
+    label = names.detect_label_column(events.columns)
+    found = choose_features(events, label)
+    guards.assert_feature_alignment(found.features, [c for c in events.columns if c in found.features])
+    guards.assert_features_present(found.features, chosen=found.table)
+    roles = {
+        "feature": found.features, "identifier": names.identifier_like(events.columns),
+        "label": names.label_like(events.columns, label), "duplicate": [c for c in events.columns if c not in found.table.columns],
+    }
+    named = {label, *(n for some in roles.values() for n in some)}
+    roles["constant"] = [c for c in found.table.columns if c not in named]
+    pairs = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(n).alias("name")) for r, some in roles.items() for n in some])
+    return found.table.groupBy(F.lit(1)).agg(F.count(F.lit(1)).alias("rows")).select(F.inline(pairs), "rows")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftgauge.functions import names
 from driftgauge.operators import clean, guards, labels, quality, splits
 from driftgauge.operators.evidence import run_metadata
+from driftgauge.session import literal_table
 from driftgauge.sources import sinks
 from driftgauge.sources.files import read_flows
 
@@ -55,9 +56,12 @@ def choose_features(cleaned: DataFrame, label: str) -> quality.FeatureSelection:
 
 
 def files_name_days(flows: DataFrame) -> bool:
-    """Whether every source file names a capture day; one row for each file is looked at."""
+    """Whether every source file names a capture day; the files' names are known without reading them."""
     if "source_file" not in flows.columns:
         return False
+    listed = flows.inputFiles()
+    if listed:
+        flows = literal_table(flows.sparkSession, [(f,) for f in listed], "source_file string")
     undetected = clean.assign_capture_days(flows).where("NOT detected")
     return undetected.limit(1).count() == 0
 
