@@ -10,7 +10,7 @@ from driftgauge.functions import names
 from driftgauge.functions.names import feature_key_column
 from driftgauge.functions.numeric import coerce_number, ieee_divide
 from driftgauge.operators import clean, guards, labels, mapping, quality
-from driftgauge.operators.order_stats import collect_medians, column_medians
+from driftgauge.operators.order_stats import collect_medians, column_medians, exact_quantiles
 from driftgauge.plans.prepare import choose_features
 from driftgauge.sources import files
 
@@ -385,6 +385,36 @@ def train_medians(spark, sf_dir):
     return column_medians(train_side(flows(spark, sf_dir)), FEATURES)
 
 
+@query(
+    "column_medians_bracketed",
+    rounded(
+        f"WITH {FLOWS} "
+        + " UNION ALL ".join(f"SELECT '{f}' AS feature, median({f}) AS median FROM train" for f in FEATURES),
+        "median",
+    ),
+)
+def train_medians_bracketed(spark, sf_dir):
+    """The way of long columns, which the test tables are too short to take by themselves."""
+    return column_medians(train_side(flows(spark, sf_dir)), FEATURES, limit=1000)
+
+
+@query(
+    "quartiles_bracketed",
+    rounded(
+        f"WITH {FLOWS} "
+        + " UNION ALL ".join(
+            f"""SELECT l_returnflag, '{f}' AS feature, quantile_cont({f}, 0.25) AS q1, quantile_cont({f}, 0.5) AS q2,
+                quantile_cont({f}, 0.75) AS q3 FROM flows GROUP BY 1"""
+            for f in FEATURES
+        ),
+        "q1", "q2", "q3",
+    ),
+)
+def quartiles_bracketed(spark, sf_dir):
+    """Quartiles of each class by exact brackets."""
+    return exact_quantiles(flows(spark, sf_dir), FEATURES, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, ["l_returnflag"], limit=1000)
+
+
 @query(
     "median_imputation",
     rounded(

@@ -245,9 +245,9 @@ def exact_quantiles(
     group = [F.col(f"`{b}`") for b in by]
     values = {c: finite(F.col(f"`{c}`")) for c in columns}
     sizes = df.groupBy(*group).agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())])
-    largest = max((max(r[len(by):]) for r in sizes.collect()), default=0)
+    largest = max((sum(r[len(by):]) for r in sizes.collect()), default=0)
     if largest <= limit:
-        # Few enough rows in every group for the built-in exact percentile.
+        # Few enough values in every group, all columns together, for the built-in exact percentile.
         at = F.array(*[F.lit(float(q)) for q in quantiles.values()])
         found = df.groupBy(*group).agg(*[F.percentile(v, at).alias(f"q{i}") for i, v in enumerate(values.values())])
         rows = [
