@@ -32,7 +32,13 @@ class Detectors:
         """``keep`` and feature columns with the three scores, computed once and written."""
         features = list(self.forest.features)
         narrow = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *features])])
-        return settle(self.score_rows(narrow), "scored")
+        return self.score_written(narrow)
+
+    def score_written(self, df: DataFrame) -> DataFrame:
+        """:meth:`score_rows`, written once: without a frozen range the scaling has written all but a projection."""
+        rows = self.score_rows(df)
+        frozen = self.anomaly.low is not None and self.anomaly.high is not None
+        return settle(rows, "scored") if frozen else rows
 
     def score_rows(self, df: DataFrame) -> DataFrame:
         return add_hybrid(self.anomaly.score(self.forest.score(df)), self.hybrid)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftgauge.functions import names
 from driftgauge.operators import drift, evidence, guards, labels, mapping, metrics
 from driftgauge.plans.detect import SCORES, Detectors
-from driftgauge.session import literal_table, settle
+from driftgauge.session import literal_table
 from driftgauge.sources.files import read_external_csv
 from driftgauge.sources.sinks import FrozenThresholds, missing_dataset_status
 from driftgauge.sources.zeek import read_connection_logs
@@ -63,7 +63,7 @@ def evaluate_external(
     mapped = mapping.apply_mapping(used, matched, medians, keep=["label_binary", "family"])
     guards.assert_finite(mapped, features)
     guards.assert_labelled(mapped)
-    scored = settle(detectors.score_rows(mapped), "external-scored")
+    scored = detectors.score_written(mapped)
     frozen = thresholds.by_detector()
     comparison = metrics.compare_detectors(scored, "label_binary", SCORES, frozen)
     tests = None
