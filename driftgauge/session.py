@@ -45,8 +45,19 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The application's own folder below :func:`shared_dir`; all intermediate tables are in it."""
+    return os.path.join(shared_dir(spark), f"run-{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(run_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application, for the end of a run: tables read from them are gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
