@@ -52,7 +52,8 @@ def line_statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     k = len(CLASSES)
     counts = np.bincount(row * k + kinds, minlength=len(lines) * k).reshape(-1, k).astype(float)
     of = {c: counts[:, i] for i, c in enumerate(CLASSES)}
-    same = np.bincount(row[1:][(data[1:] == data[:-1]) & (kinds[1:] != CLASSES.index("space"))], minlength=len(lines))
+    inside = (row[1:] == row[:-1]) & (kinds[1:] != CLASSES.index("space"))
+    same = np.bincount(row[1:][inside & (data[1:] == data[:-1])], minlength=len(lines))
     words, distinct, repeated = np.empty(len(lines)), np.empty(len(lines)), np.zeros(len(lines))
     at = 0
     for n in per_text.tolist():
