@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftgauge.llm import selection, token_files
-from driftgauge.llm.common import read
+from driftgauge.llm.common import read, small_batches
 from driftgauge.llm.queries import fitted_quality, vocabulary
 from driftgauge.session import scratch_path, settle
 
@@ -17,6 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return selection.keep_one_of_each(docs)
 
 
@@ -32,6 +33,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the documents, read back: where each document's ids stand and their checksum."""
+    small_batches(spark)
     path = scratch_path(spark, "corpus-tokens")
     token_files.write_tokens(docs, path, vocabulary("word_bpe_49k.json"))
     return token_files.read_tokens(spark, path, with_ids=False)

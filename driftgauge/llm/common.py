@@ -12,7 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of the batches that go to Python workers; a task holds several copies of a batch on its way.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark) -> None:
+    """Bounds the session's Arrow batches, so that long texts need no more memory than short ones."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, str(value))
+
+
 def read(spark, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +60,7 @@ def in_pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Ite
                 start, size = i, 0
             size += n
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # workers live on; what a task no longer needs goes back
 
 
 def table_of(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -198,7 +198,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[object, b
 
 
 def benchmark_matches(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 4 << 20, block_bytes: int = 8 << 20
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 2 << 20, block_bytes: int = 8 << 20
 ) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): ``doc_id, n_words, n_hit, n_items, items, items_sha256, places``.
 

@@ -54,7 +54,7 @@ def _fingerprints(shingle: int, seed: int):
     out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_pieces(batches, "text", 4 << 20):
+        for batch in in_pieces(batches, "text", 1 << 20):
             found = np.asarray([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], np.uint64)
             yield table_of(out, doc_id=batch.column("doc_id"), fp=found.view(np.int64))
 
