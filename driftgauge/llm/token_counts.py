@@ -31,7 +31,7 @@ COUNTED = "doc_id long, n_bytes long, n_tokens long"
 
 
 def _count_memory(path: str) -> PieceMemory:
-    return kept_in_worker(("token counts", path), lambda: PieceMemory(path, len, sum))
+    return kept_in_worker(("token counts", path), lambda: PieceMemory(path, len, sum, lead="\u0120"))
 
 
 def _count_texts(path: str):
@@ -39,7 +39,7 @@ def _count_texts(path: str):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _count_memory(path)
-        for batch in in_pieces(batches, "text", 2 << 20):
+        for batch in in_pieces(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
             plain = [t if not ODD_SPACE.search(t) else None for t in texts]
             counts = values_of(memory, [SPACED_WORD.findall(t) for t in plain if t is not None])

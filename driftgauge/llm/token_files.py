@@ -48,7 +48,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _id_memory(path: str) -> PieceMemory:
     return kept_in_worker(
-        ("token ids", path), lambda: PieceMemory(path, lambda e: np.asarray(e.ids, "<u4").tobytes(), b"".join)
+        ("token ids", path), lambda: PieceMemory(path, lambda ids: ids.tobytes(), b"".join, tail="</w>")
     )
 
 
@@ -60,7 +60,7 @@ def _tokenize(path: str, end_id: int):
     def run(batches):
         memory = _id_memory(path)
         end, codec = np.asarray([end_id], "<u4").tobytes(), pa.Codec("zstd", 1)
-        for batch in in_pieces(batches, "text", 2 << 20):
+        for batch in in_pieces(batches, "text", 1 << 20):
             texts = [_folded(t).split() for t in batch.column("text").to_pylist()]
             ids = [b"".join(v) + end for v in values_of(memory, texts)]
             yield table_of(

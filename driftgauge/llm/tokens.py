@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 #: Characters that some engine takes for white space and ASCII rules do not.
 ODD_SPACE = re.compile(
     rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf"
@@ -16,15 +18,19 @@ LETTER_EDGE = re.compile(rb"(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])|(?<=[!-/:-@\[-`{-~]
 
 
 class PieceMemory:
-    """What ``value`` makes of the encoding of each piece, for pieces seen of late.
+    """What ``value`` makes of the ids of each piece, for pieces seen of late.
 
     Two generations of at most ``limit`` pieces: when the young one is full it becomes the
     old one, and what is used again moves back. A piece is cut further at the edge of
     letters and punctuation, a boundary in both tokenizers' patterns unless an apostrophe
     (contractions) or the opening of a special string is near; such pieces stay whole.
+
+    New words of letters alone go to the library many in one text. ``lead`` is the mark of a
+    vocabulary whose tokens begin a word with it, ``tail`` that of one whose tokens end a word
+    with it; where the marks don't count as many words as went in, each goes alone.
     """
 
-    def __init__(self, path: str, value, join, limit: int = 250_000, longest: int = 64):
+    def __init__(self, path: str, value, join, lead: str = "", tail: str = "", limit: int = 280_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,34 +38,65 @@ class PieceMemory:
         self.value, self.join, self.limit, self.longest = value, join, limit, longest
         self.young: dict = {}
         self.old: dict = {}
+        entries = self.tokenizer.get_vocab()
+        self.marked = np.zeros(max(entries.values()) + 1, bool)
+        self.marked[[i for t, i in entries.items() if (t.endswith(tail) if tail else t.startswith(lead))]] = True
+        self.first, self.space = (0 if tail else 1), (" " if tail else "")
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, pieces: list[bytes], together: int = 200) -> list:
+        texts = [p.decode() for p in pieces]
+        out: list = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t[self.first :].isalpha() and (not self.first or t[0] == " ")]
+        groups = [plain[a : a + together] for a in range(0, len(plain), together)]
+        alone = []
+        for group, ids in zip(groups, self.ids([self.space.join(texts[i] for i in g) for g in groups])):
+            edges = np.flatnonzero(self.marked[ids]) + (1 - self.first)
+            bounds = (np.append(edges, len(ids)) if self.first else np.append(0, edges)).tolist()
+            if len(bounds) == len(group) + 1 and bounds[0] == 0 and bounds[-1] == len(ids):
+                for i, a, b in zip(group, bounds, bounds[1:]):
+                    out[i] = self.value(ids[a:b])
+            else:
+                alone += group
+        others = [i for i, v in enumerate(out) if v is None] if alone or len(plain) < len(texts) else []
+        for i, ids in zip(others, self.ids([texts[i] for i in others])):
+            out[i] = self.value(ids)
+        return out
 
-    def encode(self, pieces: list[bytes]) -> list:
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [self.value(e) for e in found]
+    def _cut(self, p: bytes) -> list[bytes]:
+        """The parts of a piece; the commonest kinds without a search."""
+        body = p[self.first :]
+        if body.isalpha() or b"'" in p or b"<|" in p:
+            return [p]
+        if body[-1:] in b".,!?;:|" and body[:-1].isalpha():
+            return [p[:-1], p[-1:]]
+        return LETTER_EDGE.split(p)
 
     def learn(self, pieces: set[bytes]) -> dict:
         """Values of all ``pieces``; those too long to keep are only in the returned table."""
         young, old = self.young, self.old
         new, cut = set(), {}
-        for p in pieces:
-            if p in young:
-                continue
+        for p in pieces.difference(young):
             if p in old:
                 young[p] = old[p]
-            elif b"'" in p or b"<|" in p or len(parts := LETTER_EDGE.split(p)) == 1:
+                continue
+            parts = self._cut(p)
+            if len(parts) == 1:
                 new.add(p)
-            else:
-                cut[p] = parts
-                for q in parts:
-                    if q not in young:
-                        if q in old:
-                            young[q] = old[q]
-                        else:
-                            new.add(q)
+                continue
+            cut[p] = parts
+            for q in parts:
+                if q not in young:
+                    if q in old:
+                        young[q] = old[q]
+                    else:
+                        new.add(q)
         asked = list(new)
         fresh = dict(zip(asked, self.encode(asked))) if asked else {}
         out = {p: v for p, v in fresh.items() if len(p) > self.longest}
-        young.update((p, v) for p, v in fresh.items() if len(p) <= self.longest)
+        young.update(fresh if not out else {p: v for p, v in fresh.items() if len(p) <= self.longest})
         for p, parts in cut.items():
             value = self.join([young[q] if q in young else out[q] for q in parts])
             (young if len(p) <= self.longest else out)[p] = value
