@@ -11,7 +11,8 @@ ordered by one digit at a time and groups from one document alone are dropped af
 3. Digit: the windows themselves, for anchors whose groups agree in part. Equal groups are
    exactly the repeated windows.
 
-Keys are dealt to parts by hash and move as packed arrays; what is learned about a key goes
+Copies of a whole text are told by its digest beforehand; only the one with the smallest id goes
+through the passes. Keys are dealt to parts by hash and move as packed arrays; what is learned about a key goes
 back to the documents that asked, by their home. A task asks once for a key however often
 it has it, so a text, line or passage that very many documents share is one row for each task.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from driftgauge.llm.common import in_pieces, table_of, text_bytes
 from driftgauge.session import settle
 
-DEPTH, GRAM = 50, 16
+DEPTH, GRAM = 50, 40
 #: Larger than any id: a null id counts as the largest.
 NO_ID = np.iinfo(np.int64).max
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -119,31 +120,32 @@ def context_hash(data: Bytes, at, left, right, depth: int, gram: int, seed: int
 # ---- packed arrays that are dealt to parts -----------------------------------------------------------------------
 
 #: What a row holds: keys to be compared in a part, or facts for the documents of a home.
-GRAMS, CONTEXTS, FAMILIES, WINDOWS, SHARED, COVERED, SEVERAL, REGION, REMOVED = range(9)
-#: Fields of each kind; ``doc`` comes first.
+GRAMS, CONTEXTS, FAMILIES, WINDOWS, SHARED, SEVERAL, COVERED, REGION, REMOVED = range(9)
+#: Fields of each kind; ``doc`` comes first. grams go as 32 bits of a hash, of which the part holds others.
 FIELDS = {
-    GRAMS: ("<i8", "<u8", "u1"),  # doc, gram, whether several documents of the run have it
-    CONTEXTS: ("<i8", "<u8", "<u8"),  # doc, context in two hashes
-    FAMILIES: ("<i8", "<u8", "<u8", "u1"),  # doc, gram, a context of it, whether the run has more contexts of it
-    WINDOWS: ("<i8", "<u8", "<u8", "<i8"),  # doc, window in two hashes, place
-    SHARED: ("<i8", "<u8"),  # doc, gram that other documents have
-    COVERED: ("<i8", "<u8", "<u8"),  # doc, context that a smaller document has
-    SEVERAL: ("<i8", "<u8"),  # doc, gram with different contexts
-    REMOVED: ("<i8", "<i8", "<i8"),  # doc, start, end
+    GRAMS: ("<i8", "<u4", "u1"),  # doc, gram, whether several documents of the run have it
+    CONTEXTS: ("<i8", "<u8", "<u4", "<u4", "u1"),  # doc, context in two hashes, its place and length
+    FAMILIES: ("<i8", "<u4", "<u8", "u1"),  # doc, gram, a context of it, whether the run has more contexts of it
+    WINDOWS: ("<i8", "<u8", "<u4", "<u4"),  # doc, window in two hashes, place
+    SHARED: ("<i8", "<u4"),  # doc, gram that other documents have
+    SEVERAL: ("<i8", "<u4"),  # doc, gram with different contexts
+    COVERED: ("<i8", "<u4", "u1"),  # doc, place and length of a context that a smaller document has
+    REMOVED: ("<i8", "<u4", "<u4"),  # doc, start, end
 }
+SHORT = np.uint64((1 << 32) - 1)
 PACKED = "part long, kind int, rows binary"
 _PACKED = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("rows", pa.binary())])
 
 
-def _dtype(kind: int) -> np.dtype:
-    return np.dtype([(f"f{i}", t) for i, t in enumerate(FIELDS[kind])])
+def _encoded(column: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(column).astype(kind).tobytes()
 
 
 class Deal:
     """Collects columns of rows by kind and hands them out by part, as one batch."""
 
     def __init__(self, parts: int):
-        self.parts, self.out = parts, []
+        self.parts, self.out, self.codec = parts, [], pa.Codec("zstd", 1)
 
     def add(self, kind: int, key: np.ndarray, *columns: np.ndarray) -> None:
         """Rows go to the part of ``key``."""
@@ -152,17 +154,26 @@ class Deal:
         part = (_mixed(key.astype(np.uint64)) >> np.uint64(20)) % np.uint64(self.parts)
         order = np.lexsort((columns[0], part))
         part = part[order]
-        # column by column inside a part, so that equal numbers stand together
         bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        sorted_columns = [np.ascontiguousarray(c[order].astype(t)) for c, t in zip(columns, FIELDS[kind])]
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            self.out.append((int(part[a]), kind, b"".join(c[a:b].tobytes() for c in sorted_columns)))
+        columns = [c[order] for c in columns]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            # ids ascend inside a part: their differences are small numbers
+            rows = [np.diff(columns[0][a:b], prepend=0).tobytes()]
+            rows += [_encoded(c[a:b], t) for c, t in zip(columns[1:], FIELDS[kind][1:])]
+            self.put(int(part[a]), kind, (b - a).to_bytes(8, "little") + b"".join(rows))
+
+    def put(self, part: int, kind: int, data: bytes) -> None:
+        self.out.append((part, kind, len(data).to_bytes(8, "little") + self.codec.compress(data, asbytes=True)))
 
     def batch(self) -> Iterator[pa.RecordBatch]:
-        if self.out:
-            p, k, r = zip(*self.out)
-            self.out = []
+        for a in range(0, len(self.out), 4096):
+            p, k, r = zip(*self.out[a : a + 4096])
             yield table_of(_PACKED, part=p, kind=k, rows=r)
+        self.out = []
+
+
+def _data(rows: bytes) -> bytes:
+    return pa.decompress(rows[8:], int.from_bytes(rows[:8], "little"), codec="zstd").to_pybytes()
 
 
 def _home(docs: np.ndarray) -> np.ndarray:
@@ -170,7 +181,7 @@ def _home(docs: np.ndarray) -> np.ndarray:
 
 
 def _unpacked(batches, kinds) -> tuple[dict[int, list[np.ndarray]], list[bytes]]:
-    """All rows of a partition, as columns by kind, and the regions."""
+    """All rows of a partition, as columns by kind, and the regions as they came."""
     found: dict[int, list[list[np.ndarray]]] = {k: [[] for _ in FIELDS[k]] for k in kinds}
     regions = []
     for batch in batches:
@@ -178,14 +189,15 @@ def _unpacked(batches, kinds) -> tuple[dict[int, list[np.ndarray]], list[bytes]]
             if kind == REGION:
                 regions.append(rows)
             elif kind in found:
-                types = [np.dtype(t) for t in FIELDS[kind]]
-                n = len(rows) // sum(t.itemsize for t in types)
-                at = 0
-                for column, t in zip(found[kind], types):
-                    column.append(np.frombuffer(rows, t, n, at))
-                    at += n * t.itemsize
+                data = _data(rows)
+                n, at = int.from_bytes(data[:8], "little"), 8
+                for i, (column, t) in enumerate(zip(found[kind], FIELDS[kind])):
+                    values = np.frombuffer(data, t, n, at)
+                    at += values.nbytes
+                    column.append(np.cumsum(values) if i == 0 else values)
     return {
-        k: [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(columns, FIELDS[k])] for k, columns in found.items()
+        k: [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(columns, FIELDS[k])]
+        for k, columns in found.items()
     }, regions
 
 
@@ -205,6 +217,30 @@ def _spread(first: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(first, n)))
 
 
+def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of intervals ordered by start."""
+    if not len(starts):
+        return starts, ends
+    reached = np.maximum.accumulate(ends)
+    first = np.flatnonzero(np.concatenate([[True], starts[1:] > reached[:-1]]))
+    return starts[first], reached[np.append(first[1:], len(starts)) - 1]
+
+
+def runs_of_documents(docs, starts, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of each document's intervals, in order. Places are below 2**40."""
+    names, rank = np.unique(docs, return_inverse=True)
+    shift = rank.astype(np.int64) << 40
+    order = np.argsort(shift + starts.astype(np.int64), kind="stable")
+    s, e = union((shift + starts.astype(np.int64))[order], (shift + ends.astype(np.int64))[order])
+    below = (1 << 40) - 1
+    return names[s >> 40], s & below, e - (s & ~np.int64(below))
+
+
+def _add_removed(deal: Deal, docs, starts, ends) -> None:
+    docs, starts, ends = runs_of_documents(docs, starts, ends)
+    deal.add(REMOVED, _home(docs), docs, starts, ends)
+
+
 def _pass_through(deal: Deal, found: dict, kinds) -> None:
     for k in kinds:
         if len(found[k][0]):
@@ -224,9 +260,9 @@ def _emit_grams(parts: int, depth: int, gram: int, piece: int, run_rows: int):
             h, d = h[order], d[order]
             last = np.append(first[1:], len(h)) - 1
             several = d[last] != d[first]
-            deal.add(GRAMS, h[first], d[first], h[first], several)
+            deal.add(GRAMS, h[first], d[first], h[first] & SHORT, several)
             known = _spread(first, several, len(h))
-            deal.add(SHARED, _home(d[known]), d[known], h[known])
+            deal.add(SHARED, _home(d[known]), d[known], h[known] & SHORT)
 
         for batch in in_pieces(batches, "text", piece):
             data = Bytes(batch.column("text").to_pylist())
@@ -263,13 +299,13 @@ def _compare_grams(parts: int):
     return run
 
 
-def _by_document(kind: int, names: tuple[str, ...], merged: bool):
-    """One row for each document of the partition, with its facts as packed columns."""
+def _by_document(kind: int, names: tuple[str, ...], types: tuple[str, ...]):
+    """One row for each document of the partition, with its facts as packed columns; removed runs are merged."""
     out = pa.schema([("doc", pa.int64())] + [(n, pa.binary()) for n in names])
 
     def run(batches):
         found, _ = _unpacked(batches, (kind,))
-        docs, *columns = found[kind]
+        docs, *columns = runs_of_documents(*found[kind]) if kind == REMOVED else found[kind]
         if not len(docs):
             return
         order = np.lexsort((columns[0], docs))
@@ -278,48 +314,36 @@ def _by_document(kind: int, names: tuple[str, ...], merged: bool):
         for a in range(0, len(first), 5000):
             some = first[a : a + 5000]
             ends = np.append(first[a + 1 : a + 5000], first[a + 5000] if a + 5000 < len(first) else len(docs))
-            lists = [[c[s:e] for s, e in zip(some, ends)] for c in columns]
-            if merged:
-                lists = [list(x) for x in zip(*(union(s, e) for s, e in zip(*lists)))]
-            yield table_of(out, doc=docs[some], **{n: [x.tobytes() for x in v] for n, v in zip(names, lists)})
+            lists = [[_encoded(c[s:e], t) for s, e in zip(some, ends)] for c, t in zip(columns, types)]
+            yield table_of(out, doc=docs[some], **dict(zip(names, lists)))
 
     return run
 
 
-def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of intervals ordered by start."""
-    reached = np.maximum.accumulate(ends)
-    new = np.concatenate([[True], starts[1:] > reached[:-1]])
-    first = np.flatnonzero(new)
-    return starts[first], reached[np.append(first[1:], len(starts)) - 1]
-
-
 # ---- pass 2: contexts of the anchors whose grams other documents share --------------------------------------------
 
 
 def _emit_contexts(parts: int, depth: int, gram: int, piece: int, run_rows: int):
     def run(batches):
         deal, held, count = Deal(parts), [], 0
-        codec = pa.Codec("zstd", 1)
 
         def flush():
-            d, g, c1, c2 = (np.concatenate(x) for x in zip(*held))
+            d, g, c1, c2, s, n = (np.concatenate(x) for x in zip(*held))
             order, first = _groups(c1, c2, d)
-            d, g, c1, c2 = d[order], g[order], c1[order], c2[order]
-            least = _spread(first, d[first], len(d))
-            more = d > least
-            deal.add(COVERED, _home(d[more]), d[more], c1[more], c2[more])
-            d, g, c1, c2 = d[first], g[first], c1[first], c2[first]
-            deal.add(CONTEXTS, c1, d, c1, c2)
+            d, g, c1, c2, s, n = (x[order] for x in (d, g, c1, c2, s, n))
+            more = d > _spread(first, d[first], len(d))
+            _add_removed(deal, d[more], s[more], s[more] + n[more])
+            deal.add(CONTEXTS, c1[~more], *(x[~more] for x in (d, c1, c2, s, n)))
+            d, g, c1 = d[first], g[first], c1[first]
             order, first = _groups(g, c1)
             d, g, c1 = d[order], g[order], c1[order]
             last = np.append(first[1:], len(g)) - 1
             several = c1[first] != c1[last]
-            deal.add(FAMILIES, g[first], d[first], g[first], c1[first], several)
+            deal.add(FAMILIES, g[first], d[first], g[first] & SHORT, c1[first], several)
             known = _spread(first, several, len(g))
-            deal.add(SEVERAL, _home(d[known]), d[known], g[known])
+            deal.add(SEVERAL, _home(d[known]), d[known], g[known] & SHORT)
 
-        for batch in in_pieces(batches, "text", piece):
+        for batch in _opened(batches, piece):
             data = Bytes(batch.column("text").to_pylist())
             ids = batch.column("doc").to_numpy()
             at = anchors(data, depth, gram)
@@ -328,24 +352,22 @@ def _emit_contexts(parts: int, depth: int, gram: int, piece: int, run_rows: int)
             keep = np.zeros(len(at), bool)
             for i, grams in enumerate(batch.column("grams").to_pylist()):
                 a, b = bounds[i], bounds[i + 1]
-                keep[a:b] = np.isin(h[a:b], np.frombuffer(grams, "<u8"))
+                keep[a:b] = np.isin(h[a:b] & SHORT, np.frombuffer(grams, "<u4"))
             at, h = at[keep], h[keep]
             text, left, right = reach(data, at, depth, gram)
             fits = left + right >= depth
             at, h, text, left, right = at[fits], h[fits], text[fits], left[fits], right[fits]
-            held.append((ids[text], h, *(context_hash(data, at, left, right, depth, gram, s) for s in (0, 1))))
+            c1, c2 = (context_hash(data, at, left, right, depth, gram, seed) for seed in (0, 1))
+            held.append((ids[text], h, c1, c2 >> np.uint64(32), at - left - data.starts[text], left + right))
             count += len(at)
             raw = data.raw
             for i in np.unique(text).tolist():
                 a, b = np.searchsorted(text, [i, i + 1])
                 starts, ends = union(at[a:b] - left[a:b], at[a:b] + right[a:b])
-                head = np.asarray([ids[i], len(starts), b - a], "<i8").tobytes()
-                payload = b"".join(
-                    [head, (starts - data.starts[i]).astype("<i8").tobytes(), (ends - starts).astype("<i8").tobytes(), (at[a:b] - data.starts[i]).astype("<i8").tobytes()]
-                    + [raw[s:e].tobytes() for s, e in zip(starts, ends)]
-                )
-                part = int((_mixed(np.asarray([ids[i]], np.int64).view(np.uint64))[0] >> np.uint64(20)) % np.uint64(parts))
-                deal.out.append((part, REGION, len(payload).to_bytes(8, "little") + codec.compress(payload, asbytes=True)))
+                numbers = [[ids[i], len(starts), b - a], starts - data.starts[i], ends - starts, np.diff(at[a:b], prepend=data.starts[i])]
+                payload = [np.asarray(x, "<i8").tobytes() for x in numbers] + [raw[s:e].tobytes() for s, e in zip(starts, ends)]
+                part = (_mixed(_home(ids[i : i + 1])) >> np.uint64(20)) % np.uint64(parts)
+                deal.put(int(part[0]), REGION, b"".join(payload))
             if count > run_rows:
                 flush()
                 held, count = [], 0
@@ -370,13 +392,16 @@ def _compare_contexts(parts: int):
                 kept.append(batch.filter(pa.compute.not_equal(batch.column("kind"), REGION)))
 
         yield from without_regions()
-        found, _ = _unpacked(kept, (CONTEXTS, FAMILIES, COVERED, SEVERAL))
-        d, c1, c2 = found[CONTEXTS]
+        found, _ = _unpacked(kept, (CONTEXTS, FAMILIES, REMOVED, SEVERAL))
+        d, c1, c2, s, n = found[CONTEXTS]
         order, first = _groups(c1, c2, d)
-        d, c1, c2 = d[order], c1[order], c2[order]
+        d, s, n = d[order], s[order], n[order]
         if len(d):
             more = d > _spread(first, d[first], len(d))
-            deal.add(COVERED, _home(d[more]), d[more], c1[more], c2[more])
+            d, s, n = d[more], s[more], n[more]
+            order = np.lexsort((s, d))
+            deal.add(COVERED, _home(d[order]), d[order], s[order], n[order])
+        _add_removed(deal, *found[REMOVED])
         d, g, c1, known = found[FAMILIES]
         order, first = _groups(g, c1)
         d, g, c1, known = d[order], g[order], c1[order], known[order].astype(bool)
@@ -385,7 +410,7 @@ def _compare_contexts(parts: int):
             several = (c1[first] != c1[last]) | np.maximum.reduceat(known, first)
             told = _spread(first, several, len(g)) & ~known
             deal.add(SEVERAL, _home(d[told]), d[told], g[told])
-        _pass_through(deal, found, (COVERED, SEVERAL))
+        _pass_through(deal, found, (SEVERAL,))
         yield from deal.batch()
 
     return run
@@ -403,22 +428,22 @@ def _pairs_in(docs: np.ndarray, keys: np.ndarray, in_docs: np.ndarray, in_keys:
 
 def _emit_windows(parts: int, depth: int, gram: int, piece: int):
     def run(batches):
-        found, regions = _unpacked(batches, (COVERED, SEVERAL))
+        found, regions = _unpacked(batches, (REMOVED, COVERED, SEVERAL))
         deal, held = Deal(parts), []
-        cov_d, cov_1, cov_2 = found[COVERED]
-        cov_key = _mixed(cov_1 * _M2 + cov_2)
+        cov_d, cov_s, cov_n = (c.astype(np.int64) for c in found[COVERED])
+        gone = (cov_d, cov_s, cov_s + cov_n)
+        _add_removed(deal, *(np.concatenate(x) for x in zip(found[REMOVED], gone)))
+        cov_key = (cov_s << 8 | cov_n).view(np.uint64)
         sev_d, sev_g = found[SEVERAL]
         found.clear()
         at_region = 0
         while at_region < len(regions):
             texts, docs, offsets, places, size = [], [], [], [], 0
             while at_region < len(regions) and size < piece:
-                blob = regions[at_region]
-                n = int.from_bytes(blob[:8], "little")
-                payload = pa.decompress(blob[8:], n, codec="zstd").to_pybytes()
+                payload = _data(regions[at_region])
                 doc, m, k = np.frombuffer(payload, "<i8", 3).tolist()
                 starts, lengths = np.frombuffer(payload, "<i8", m, 24), np.frombuffer(payload, "<i8", m, 24 + 8 * m)
-                at = np.frombuffer(payload, "<i8", k, 24 + 16 * m)
+                at = np.cumsum(np.frombuffer(payload, "<i8", k, 24 + 16 * m))
                 byte = 24 + 16 * m + 8 * k
                 shift = np.searchsorted(starts, at, side="right") - 1
                 base = size + np.cumsum(lengths) - lengths
@@ -434,27 +459,26 @@ def _emit_windows(parts: int, depth: int, gram: int, piece: int):
             at = np.concatenate(places)
             text, left, right = reach(data, at, depth, gram)
             d = docs[text]
-            c = _mixed(context_hash(data, at, left, right, depth, gram, 0) * _M2 + context_hash(data, at, left, right, depth, gram, 1))
-            covered = _pairs_in(d, c, cov_d, cov_key)
-            shift = offsets[text] - data.starts[text]
-            a, b = (at - left + shift)[covered], (at + right + shift)[covered]
-            deal.add(REMOVED, _home(d[covered]), d[covered], a, b)
-            some = ~covered
-            some[some] = _pairs_in(d[some], data.hashed(at[some], gram), sev_d, sev_g)
+            # A covered context's windows are those of the smaller document. Others open theirs even where all
+            # bytes are removed already: larger documents may ask for them.
+            place = at - left - data.starts[text] + offsets[text]
+            some = _pairs_in(d, data.hashed(at, gram) & SHORT, sev_d, sev_g)
+            some &= ~_pairs_in(d, (place << 8 | (left + right)).view(np.uint64), cov_d, cov_key)
             low = (at - left)[some]
             high = np.minimum(at[some], at[some] + right[some] - depth)
             n = np.maximum(0, high - low + 1)
             starts = np.unique(np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             if len(starts):
                 t = np.searchsorted(data.ends, starts, side="right")
-                held.append((docs[t], data.hashed(starts, depth), data.hashed(starts, depth, 1), starts - data.starts[t] + offsets[t]))
+                two = data.hashed(starts, depth), data.hashed(starts, depth, 1) >> np.uint64(32)
+                held.append((docs[t], *two, starts - data.starts[t] + offsets[t]))
             yield from deal.batch()
         if held:
             d, k1, k2, s = (np.concatenate(x) for x in zip(*held))
             order, first = _groups(k1, k2, d)
             d, k1, k2, s = d[order], k1[order], k2[order], s[order]
             more = d > _spread(first, d[first], len(d))
-            deal.add(REMOVED, _home(d[more]), d[more], s[more], s[more] + depth)
+            _add_removed(deal, d[more], s[more], s[more] + depth)
             deal.add(WINDOWS, k1[~more], d[~more], k1[~more], k2[~more], s[~more])
             yield from deal.batch()
 
@@ -467,11 +491,12 @@ def _compare_windows(parts: int, depth: int):
         deal = Deal(parts)
         d, k1, k2, s = found[WINDOWS]
         order, first = _groups(k1, k2, d)
-        d, s = d[order], s[order]
+        d, s = d[order], s[order].astype(np.int64)
+        removed = found[REMOVED]
         if len(d):
             more = d > _spread(first, d[first], len(d))
-            deal.add(REMOVED, _home(d[more]), d[more], s[more], s[more] + depth)
-        _pass_through(deal, found, (REMOVED,))
+            removed = [np.concatenate(x) for x in zip(removed, (d[more], s[more], s[more] + depth))]
+        _add_removed(deal, *removed)
         yield from deal.batch()
 
     return run
@@ -480,6 +505,44 @@ def _compare_windows(parts: int, depth: int):
 # ---- the texts without what is repeated ---------------------------------------------------------------------------
 
 
+def _compressed(batches):
+    out, codec = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("text", pa.binary())]), pa.Codec("zstd", 3)
+    for batch in in_pieces(batches, "text", 4 << 20):
+        texts = batch.column("text").to_pylist()
+        yield table_of(
+            out, doc=batch.column("doc"), n_bytes=[len(t) for t in texts], text=[codec.compress(t, asbytes=True) for t in texts]
+        )
+
+
+def _opened(batches, piece: int) -> Iterator[pa.RecordBatch]:
+    """Batches of compressed texts as those of plain ones, ``piece`` bytes at most in each but for longer texts."""
+    names = ["doc", "text", "grams"]
+    for batch in batches:
+        sizes = batch.column("n_bytes").to_pylist()
+        start = size = 0
+        for i in range(len(sizes) + 1):
+            if i == len(sizes) or size + sizes[i] > piece and i > start:
+                part = batch.slice(start, i - start)
+                texts = [
+                    pa.decompress(t, n, codec="zstd").to_pybytes()
+                    for t, n in zip(part.column("text").to_pylist(), part.column("n_bytes").to_pylist())
+                ]
+                if texts:
+                    yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(texts, pa.binary()), part.column("grams")], names=names)
+                start, size = i, 0
+            if i < len(sizes):
+                size += sizes[i]
+
+
+def copies_of_texts(texts: DataFrame) -> DataFrame:
+    """``(doc, digest)`` of the rows of ``texts`` (doc, digest) whose whole text a smaller document has."""
+    digests = settle(texts, "text-digests")
+    groups = digests.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least")
+    return settle(
+        digests.join(groups, "digest").where("doc > least").select("doc", "digest").distinct(), "whole-copies"
+    )
+
+
 def _without(with_text: bool):
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     out = pa.schema(fields + [("kept", pa.binary())] * with_text)
@@ -487,8 +550,10 @@ def _without(with_text: bool):
     def run(batches):
         for batch in in_pieces(batches, "text", 8 << 20):
             n, removed, spans, digests, kept = [], [], [], [], []
-            for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends"))):
-                if starts:
+            for text, starts, ends, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends", "copy"))):
+                if copy:
+                    s, rest = [0], b""
+                elif starts:
                     s, e = np.frombuffer(starts, "<i8").tolist(), np.frombuffer(ends, "<i8").tolist()
                     rest = b"".join(text[a:b] for a, b in zip([0, *e], [*s, len(text)]))
                 else:
@@ -520,28 +585,36 @@ def remove_repeats(
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc"),
         text_bytes().alias("text"),
-    )
+    ).withColumn("digest", F.unhex(F.md5("text")))
+
+    def small(df):
+        return F.broadcast(df) if df.count() <= broadcast_rows else df
+
+    whole = copies_of_texts(texts.where(F.octet_length("text") >= depth).select("doc", "digest"))
+    copies = small(whole)
 
     def met(df):
         return df.repartition(partitions, "part")
 
-    long = texts.where(F.octet_length("text") >= depth).select("doc", "text")
+    long = texts.where(F.octet_length("text") >= depth).join(copies, ["doc", "digest"], "left_anti").select("doc", "text")
     grams = met(long.mapInArrow(_emit_grams(parts, depth, gram, piece, run_rows), PACKED)).mapInArrow(_compare_grams(parts), PACKED)
-    marks = settle(met(grams).mapInArrow(_by_document(SHARED, ("grams",), False), "doc long, grams binary"), "shared-grams")
+    marks = settle(met(grams).mapInArrow(_by_document(SHARED, ("grams",), ("<u4",)), "doc long, grams binary"), "shared-grams")
     concerned = long
     if marks.count() <= broadcast_rows:
         concerned = long.join(F.broadcast(marks.select("doc")), "doc", "left_semi")  # so that other texts need not move
-    contexts = met(
-        concerned.join(marks.hint("merge"), "doc").mapInArrow(_emit_contexts(parts, depth, gram, piece, run_rows), PACKED)
-    ).mapInArrow(_compare_contexts(parts), PACKED)
+    packed = concerned.mapInArrow(_compressed, "doc long, n_bytes long, text binary")
+    found = packed.join(marks.hint("merge"), "doc").select("doc", "n_bytes", "text", "grams")
+    contexts = met(found.mapInArrow(_emit_contexts(parts, depth, gram, piece, run_rows), PACKED)).mapInArrow(
+        _compare_contexts(parts), PACKED
+    )
     windows = met(met(contexts).mapInArrow(_emit_windows(parts, depth, gram, piece), PACKED)).mapInArrow(
         _compare_windows(parts, depth), PACKED
     )
     removed = settle(
-        met(windows).mapInArrow(_by_document(REMOVED, ("starts", "ends"), True), "doc long, starts binary, ends binary"),
+        met(windows).mapInArrow(_by_document(REMOVED, ("starts", "ends"), ("<i8", "<i8")), "doc long, starts binary, ends binary"),
         "removed-runs",
     )
-    few = removed.count() <= broadcast_rows
-    joined = texts.join(F.broadcast(removed) if few else removed, "doc", "left")
+    known = texts.join(copies.withColumn("copy", F.lit(True)), ["doc", "digest"], "left")
+    joined = known.join(small(removed), "doc", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return joined.select("doc_id", "text", "starts", "ends").mapInArrow(_without(with_text), schema)
+    return joined.select("doc_id", "text", "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(_without(with_text), schema)
