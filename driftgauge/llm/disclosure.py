@@ -161,15 +161,22 @@ def disclosing_terms(
     different = pairs.groupBy("entity", "term", "context").agg(F.lit(1).alias("one"))
     several = different.groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
     together = pairs.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    candidates = settle(several.join(together, ["entity", "term"]), "disclosure-candidates")
+    with_entity = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    near_any = pairs.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    total = float(max(docs.count(), 1))
+
+    def told(n_term: str) -> Column:
+        p = F.col("n_entity") / F.lit(total)
+        bits = F.log2(F.least(F.lit(1.0), F.col("both") / F.col(n_term)) / p)
+        return F.when(p < 1, bits / -F.log2(p)).otherwise(0.0)
+
+    # A term is in as many rows at least as it is near entities; what that rules out needs no count of the corpus.
+    counted = several.join(together, ["entity", "term"]).join(with_entity, "entity").join(near_any, "term")
+    candidates = settle(counted.where(told("n_near") >= generalise), "disclosure-candidates")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     wanted = settle(candidates.select("term").distinct(), "disclosure-terms")
     with_term = docs.select(F.explode(_words(text)).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    with_entity = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = docs.count()
-    p = F.col("n_entity") / F.lit(float(max(total, 1)))
-    told = F.log2(F.least(F.lit(1.0), F.col("both") / F.col("n_term")) / p) / -F.log2(p)
-    scored = candidates.join(with_term, "term").join(with_entity, "entity").select("term", F.when(p < 1, told).otherwise(0.0).alias("disclosure"))
+    scored = candidates.join(with_term, "term").select("term", told("n_term").alias("disclosure"))
     return (
         scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
         .withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise"))
