@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from driftgauge.catalog import detectors
 from driftgauge.catalog.registry import query, rounded, table
 from driftgauge.operators import evidence, explain
+from driftgauge.operators.clean import impute
+from driftgauge.operators.forest import feature_array
 from driftgauge.operators.isolation import NODE_SCHEMA, AnomalyDetector, average_path
 from driftgauge.operators.metrics import decide
 from driftgauge.plans.detect import SCORES
@@ -140,20 +142,20 @@ def literal_contributors(spark, sf_dir):
               count(*) AS explained FROM lineitem WHERE l_linestatus = 'O'""",
 )
 def forest_facts(spark, sf_dir):
-    """Shares add up to one, and each row's contributions add up to its score less the mean of the trees' roots."""
+    """Shares add up to one, and the contributions of every row add up to its score less the mean of the trees' roots."""
     detector = detectors._forest(spark, sf_dir)
     shares = detector.importances(spark).agg(
         F.count(F.lit(1)).alias("features"), F.sum("importance").alias("importance_sum"), F.count_if(F.col("importance") < 0).alias("negative")
     )
-    rows = detector.score(detectors._test(spark, sf_dir).select(*detectors.FEATURES)).select(
-        F.array(*[F.col(f).cast("double") for f in detectors.FEATURES]).alias("x"), "rf_score"
-    )
+    test = impute(detectors._test(spark, sf_dir).select(*detectors.FEATURES), detector.medians)
+    rows = detector.score(test).select(feature_array(detectors.FEATURES).alias("x"), "rf_score")
     base = detector.nodes(spark).where("node = 0").agg(F.avg("value").alias("base"))
-    some = rows.where(F.pmod(F.xxhash64("x"), F.lit(64)) == 0)
-    explained = some.join(explain.forest_contributions(detector, some.select("x")), "x").crossJoin(base)
+    explained = rows.join(explain.forest_contributions(detector, rows), "x").crossJoin(base)
     total = F.aggregate("contributions", F.lit(0.0), lambda a, b: a + b)
-    wrong = explained.agg(F.count_if(F.abs(F.col("rf_score") - F.col("base") - total) > 1e-6).alias("not_additive"))
-    return shares.crossJoin(wrong).crossJoin(rows.agg(F.count("rf_score").alias("explained")))
+    additive = F.abs(F.col("rf_score") - F.col("base") - total) <= 1e-6
+    return shares.crossJoin(
+        explained.agg(F.count_if(~F.coalesce(additive, F.lit(False))).alias("not_additive"), F.count("contributions").alias("explained"))
+    )
 
 
 _SIZES = """SELECT detector, count(*) AS n, count(*) FILTER (WHERE attack) AS attacks

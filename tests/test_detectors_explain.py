@@ -244,3 +244,18 @@ def test_count_findings(spark):
     none = spark.createDataFrame([(0,)], "n_infinite long")
     assert [r["rule"] for r in evidence.count_findings(spark, tests, known, none).collect()] == ["significant_shifts", "unmapped_features"]
     assert evidence.count_findings(spark).count() == 0
+
+
+def test_forest_facts_see_every_row(spark, monkeypatch):
+    from driftgauge.catalog import QUERIES
+
+    folder, whole = "/root/testdata/sf0.001", explain.forest_contributions
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").where("l_linestatus = 'O'").count()
+    others = F.pmod(F.xxhash64("x"), F.lit(64)) != 0
+    facts = QUERIES["forest_facts"](spark, folder).first()
+    assert (facts["explained"], facts["not_additive"]) == (rows, 0)
+    shifted = F.transform("contributions", lambda c: c + F.when(others, 1.0).otherwise(0.0)).alias("contributions")
+    monkeypatch.setattr(explain, "forest_contributions", lambda d, v: whole(d, v).select("x", shifted))
+    assert QUERIES["forest_facts"](spark, folder).first()["not_additive"] > rows // 2
+    monkeypatch.setattr(explain, "forest_contributions", lambda d, v: whole(d, v).where(~others))
+    assert QUERIES["forest_facts"](spark, folder).first()["explained"] < rows // 2
