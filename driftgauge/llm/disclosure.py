@@ -33,6 +33,8 @@ PATTERNS = {
 GUARDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 WORD = r"(?<=\s)\p{L}{3,}(?=[,.;:!?]{0,3}\s)"
+#: What may belong to one word: where a context is cut or meets its entity, such a run may be part of a longer word.
+EDGE = r"\S+"
 #: Code points of a context on either side of an entity.
 REACH = 48
 
@@ -70,13 +72,24 @@ def _valid_spans(kind: str, spans: Column) -> Column:
     return F.filter(spans, lambda s: _valid(kind, s["value"]))
 
 
+def _whole_words(part: Column, at_end: Column, left: bool) -> Column:
+    """The ``REACH`` code points of ``part`` beside an entity, without words that go on beyond them or touch an entity.
+
+    ``at_end``: the text begins (``left``) or ends with ``part``. One more code point tells whether a word is cut.
+    """
+    near = (F.right if left else F.left)(part, F.lit(REACH + 1))
+    cut = F.regexp_replace(near, f"^{EDGE}" if left else f"{EDGE}$", "")
+    near = F.when(at_end & (F.char_length(near) <= REACH), near).otherwise(cut)
+    return F.regexp_replace(near, f"{EDGE}$" if left else f"^{EDGE}", "")
+
+
 def _located(parts: Column, found: Column) -> Column:
     """Spans of the matches ``found`` that stand between ``parts``, with the text around each."""
     steps = F.transform(
         parts,
         lambda p, i: F.struct(
-            F.char_length(p).alias("gap"), F.get(found, i).alias("value"), F.right(p, F.lit(REACH)).alias("left"),
-            F.left(F.get(parts, i + 1), F.lit(REACH)).alias("right"),
+            F.char_length(p).alias("gap"), F.get(found, i).alias("value"), _whole_words(p, i == 0, left=True).alias("left"),
+            _whole_words(F.get(parts, i + 1), i + 2 == F.size(parts), left=False).alias("right"),
         ),
     )
     empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
@@ -153,7 +166,6 @@ def disclosing_terms(
             F.col("c.entity").alias("entity"), F.xxhash64("doc_id", "key.hash", "key.bytes").alias("row"),
             F.xxhash64("c.left", "c.right").alias("context"),
             _words(F.concat(F.col("c.left"), F.lit("\n \n"), F.col("c.right"))).alias("terms"),
-            (F.length("c.left") == REACH).alias("cut"),
         ),
         "entity-contexts",
     )

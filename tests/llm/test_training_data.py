@@ -222,6 +222,23 @@ def test_terms_that_disclose(spark):
     assert not got[10].spans and got[10].text == dict(rows)[10]
 
 
+def test_terms_near_entities_are_whole_words(spark):
+    """A disclosing term that ends common words: their ends at a cut or beside an entity are no terms."""
+    reach = disclosure.REACH
+    rows = [(i, f"{prose(4)} ttee wrote{i} from zed@mail.org {prose(3)}") for i in range(3)]
+    pad = "x" * (reach - 6)
+    rows += [(10 + i, f"committee {pad} u{i}@mail.org") for i in range(20)] + [(40 + i, f"host u{i}@mail.org {pad} tteeing") for i in range(20)]
+    rows += [(70 + i, f"ttee:w{i}@mail.org") for i in range(20)] + [(100 + i, prose(9)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = disclosure.base_spans(docs).collect()
+    for r in spans:
+        for c in r.contexts:
+            if r.doc_id >= 10:
+                assert not {"ttee", "committee", "tteeing"} & set((c.left + " " + c.right).split())
+    found = {r.term: r.disclosure for r in disclosure.disclosing_terms(docs, disclosure.base_spans(docs)).collect()}
+    assert found["ttee"] == pytest.approx(1)
+
+
 @pytest.mark.parametrize("few,rows", [(1 << 20, 1 << 20), (0, 50)])
 def test_repeated_windows(spark, folder, few, rows):
     got = repeats.remove_repeats(
