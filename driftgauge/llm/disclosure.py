@@ -32,9 +32,12 @@ PATTERNS = {
 }
 GUARDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-WORD = r"(?<=\s)\p{L}{3,}(?=[,.;:!?]{0,3}\s)"
+#: Words of letters, marks and digits, with hyphens and apostrophes between these; any length, any script.
+_INNER, _JOINT = r"[\p{L}\p{M}\p{N}]", r"['\u2019\u2010-]"
+WORD = f"{_INNER}++(?:{_JOINT}{_INNER}++)*+"
+WORD_START, WORD_END = f"(?<!{_INNER})(?<!{_INNER}{_JOINT})", f"(?!{_JOINT}?{_INNER})"
 #: What may belong to one word: where a context is cut or meets its entity, such a run may be part of a longer word.
-EDGE = r"\S+"
+EDGE = r"[\p{L}\p{M}\p{N}'\u2019\u2010-]+"
 #: Code points of a context on either side of an entity.
 REACH = 48
 
@@ -151,7 +154,8 @@ def base_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(F.lit(" "), text, F.lit(" "))), F.lit(WORD), F.lit(0)))
+    # each word is lower-cased by itself: in a text, what follows can change a letter's form
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lower))
 
 
 def disclosing_terms(
@@ -172,6 +176,8 @@ def disclosing_terms(
     pairs = near.select("entity", "row", "context", F.explode("terms").alias("term"))
     different = pairs.groupBy("entity", "term", "context").agg(F.lit(1).alias("one"))
     several = different.groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+    # words of one or two characters stand near anything: one document is no evidence for them
+    counts = (F.char_length("term") >= 3) | (F.col("both") >= support)
     together = pairs.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
     with_entity = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     near_any = pairs.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
@@ -183,7 +189,7 @@ def disclosing_terms(
         return F.when(p < 1, bits / -F.log2(p)).otherwise(0.0)
 
     # A term is in as many rows at least as it is near entities; what that rules out needs no count of the corpus.
-    counted = several.join(together, ["entity", "term"]).join(with_entity, "entity").join(near_any, "term")
+    counted = several.join(together, ["entity", "term"]).where(counts).join(with_entity, "entity").join(near_any, "term")
     candidates = settle(counted.where(told("n_near") >= generalise), "disclosure-candidates")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     wanted = settle(candidates.select("term").distinct(), "disclosure-terms")
@@ -203,7 +209,7 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     # a text has as many distinct terms at most as it has words
     by_text = settle(
         hits.distinct().groupBy("key").agg(
-            F.concat(F.lit(r"(?iu)(?<=\s|^)(?:"), F.array_join(F.sort_array(F.collect_set("term")), "|"), F.lit(r")(?=[,.;:!?]{0,3}(?:\s|$))")).alias("pattern"),
+            F.concat(F.lit(f"(?iu){WORD_START}(?:"), F.array_join(F.sort_array(F.collect_set("term")), "|"), F.lit(f"){WORD_END}")).alias("pattern"),
             F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions"),
         ),
         "terms-of-texts",
@@ -263,7 +269,9 @@ def sanitise(
         out = base.withColumn("found", F.array().cast(SPANS))
     else:
         out = base.join(settle(term_spans(docs, terms), "term-spans"), "key", "left")
-    spans = F.array_sort(F.concat("base", F.coalesce("found", F.array().cast(SPANS))))
+    # what stands inside an entity goes with it
+    apart = F.filter("found", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    spans = F.array_sort(F.concat("base", F.coalesce(apart, F.array().cast(SPANS))))
     out = out.withColumn("spans", spans)
     kept = ["doc_id", "base", "spans"]
     return out.select(*kept, redacted(F.col("text"), F.col("spans")).alias("text")) if with_text else out.select(*kept)
