@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import class_lm, decontaminate, disclosure, mixing, quality_crf, repeats, simhash, token_counts, token_files, topk
+from driftgauge.llm import (
+    class_lm, decontaminate, disclosure, manifest, mixing, prefix_bpe, quality_crf, repeats, simhash, token_counts, token_files, topk,
+)
 from driftgauge.llm.common import read
 from driftgauge.session import scratch_path
 
@@ -77,11 +79,31 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proofs = manifest.manifest(read(spark, sf_dir, "documents")).withColumn(
+        "folded_root", manifest.fold(F.coalesce("changed", "leaf"), F.col("path"))
+    )
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", manifest.digest(manifest.siblings(F.col("path"))).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = prefix_bpe.encode(read(spark, sf_dir, "documents"), ranks, pattern, prefix_bpe.SPACED_WORDS)
+    return prefix_bpe.decode(encoded, ranks, pattern).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_crf, op2_simhash_deletion, op3_token_counts, op4_disclosure, op5_suffix_digits, op6_class_bigrams, op7_token_files,
-        op8_topk_norm_buckets, op9_mixing, op10_decontaminate,
+        op8_topk_norm_buckets, op9_mixing, op10_decontaminate, op12_manifest, op13_prefix_bpe,
     )
 }
 ORACLES: dict[str, str] = {}
