@@ -122,38 +122,29 @@ def external_csv_scan(spark, sf_dir):
     )
 
 
-def _write_logs(spark, sf_dir, broken=None):
-    """events as connection logs: one folder per log, header lines first, two different field lists."""
+def _write_logs(spark, sf_dir, broken=None, run=None):
+    """events as connection logs: one folder per log, header lines first, two different field lists.
+
+    With ``run`` a log changes its fields and its separator each time that many event ids have gone by.
+    """
     folder = scratch_path(spark, "logs")
-    events = table(spark, sf_dir, "events")
-    marked = F.when(F.col("value") < 5, F.lit("-")).otherwise(F.col("value").cast("string"))
-    fields = [F.col("event_id").cast("string"), F.col("event_type"), marked]
-    log = F.pmod("user_id", F.lit(4)).cast("int")
-    tail = F.when(broken, F.lit("\tone too many")).otherwise("") if broken is not None else F.lit("")
-    lines = events.select(
-        log.alias("log"),
-        F.lit(1).alias("part"),
-        F.col("event_id"),
-        tail.alias("tail"),
-        F.when(log < 2, F.concat_ws("\t", *fields)).otherwise(F.concat_ws("\t", *reversed(fields))).alias("value"),
-    ).withColumn("value", F.concat("value", "tail")).drop("tail")
-    named = "event_id\tlabel\tduration"
-    heads = events.select(log.alias("log")).distinct().select(
-        "log",
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).alias("part"), F.lit(-2).cast("long").alias("event_id"),
-                         F.lit("#separator \\x09").alias("value")),
-                F.struct(
-                    F.lit(0).alias("part"), F.lit(-1).cast("long").alias("event_id"),
-                    F.when(F.col("log") < 2, F.lit("#fields\t" + named))
-                    .otherwise(F.lit("#fields\t" + "\t".join(reversed(named.split("\t"))))).alias("value"),
-                ),
-            )
-        ),
-    )
+    log, part = F.pmod("user_id", F.lit(4)).cast("int"), F.expr(f"event_id div {run}") if run else F.lit(0).cast("long")
+    events = table(spark, sf_dir, "events").withColumn("log", log).withColumn("part", part)
+    reverse = F.pmod(F.col("part"), F.lit(2)) == 1 if run else F.col("log") >= 2
+    mark = F.when(reverse, F.lit("|")).otherwise(F.lit("\t")) if run else F.lit("\t")
+    cells = [F.col("event_id").cast("string"), F.col("event_type"), F.when(F.col("value") < 5, F.lit("-")).otherwise(F.col("value").cast("string"))]
+    names = [F.lit(n) for n in ("event_id", "label", "duration")]
+    joined = lambda parts: F.array_join(F.when(reverse, F.array(*reversed(parts))).otherwise(F.array(*parts)), "\x01")
+    text = lambda parts: F.replace(joined(parts), F.lit("\x01"), mark)
+    tail = F.when(broken, F.concat(mark, F.lit("one too many"))).otherwise("") if broken is not None else F.lit("")
+    lines = events.select("log", "part", F.lit(1).alias("kind"), "event_id", F.concat(text(cells), tail).alias("value"))
+    code = F.when(mark == "|", F.lit("#separator |")).otherwise(F.lit("#separator \\x09"))
+    heads = events.select("log", "part").distinct().select(
+        "log", "part", F.lit(0).alias("kind"),
+        F.posexplode(F.array(code, F.concat(F.lit("#fields"), mark, text(names)))).alias("event_id", "value"),
+    ).withColumn("event_id", F.col("event_id").cast("long"))
     (
-        lines.unionByName(heads).repartition("log").sortWithinPartitions("log", "part", "event_id")
+        lines.unionByName(heads).repartition("log").sortWithinPartitions("log", "part", "kind", "event_id")
         .select("log", "value").write.partitionBy("log").text(folder)
     )
     return folder
@@ -177,6 +168,24 @@ def connection_log_scan(spark, sf_dir):
     )
 
 
+@query(
+    "changing_log_scan",
+    rounded(
+        """SELECT event_type AS label, count(*) AS n, count(*) FILTER (WHERE value < 5) AS missing,
+                  sum(event_id) AS ids, sum(value) FILTER (WHERE value >= 5) AS duration FROM events GROUP BY 1""",
+        "duration",
+    ),
+)
+def changing_log_scan(spark, sf_dir):
+    """Logs that change their fields and their separator midway, many times."""
+    logs = zeek.read_connection_logs(spark, _write_logs(spark, sf_dir, run=500), pattern="*.txt")
+    duration = F.col("duration").try_cast("double")
+    return logs.table.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(duration.isNull()).alias("missing"),
+        F.sum(F.col("event_id").cast("long")).alias("ids"), F.sum(duration).alias("duration"),
+    )
+
+
 @query(
     "connection_log_report",
     """SELECT count(DISTINCT user_id % 4) AS files_parsed, count(*) AS rows_read, 0::BIGINT AS malformed_rows FROM events""",

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftgauge.session import small_table
+from driftgauge.session import settle, small_table
 
 LOG_PATTERN = "*.conn-labeled.log"
 SKIPPED_FOLDER = "_macros"
@@ -31,89 +31,120 @@ def _decoded(separator: Column) -> Column:
     )
 
 
-def read_connection_logs(spark: SparkSession, folder: str, pattern: str = LOG_PATTERN) -> ConnectionLogs | None:
-    """All logs below a folder as one table of strings, fields resolved by name in each file.
-
-    Header lines are reduced to one row per file and joined to the data lines. A line
-    with the wrong number of fields, or one that precedes its header, stops the job.
-    Returns None if there is no log. The column list comes from a small first job.
-    """
+def _lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame | None:
+    """``(value, source_file, block, line)``: a line, the start of the file split it is in, and its place there."""
     try:
         lines = (
             spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
             .select(
                 "value",
                 F.col("_metadata.file_path").alias("source_file"),
-                F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("line"),
             )
             .where(~F.array_contains(F.split(F.lower("source_file"), "/"), SKIPPED_FOLDER))
-            .withColumn("value", F.regexp_replace("value", "\r$", ""))
         )
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    is_header, is_data = F.col("value").startswith("#"), (F.col("value") != "") & ~F.col("value").startswith("#")
-    fields_line, separator_line = F.col("value").startswith("#fields"), F.col("value").startswith("#separator")
-    # Partial aggregates keep one candidate line per task and file.
-    heads = lines.groupBy("source_file").agg(
-        F.max(F.when(separator_line, F.trim(F.expr("substring(value, 11)")))).alias("mark"),
-        F.max(F.when(fields_line, F.expr("substring(value, 8)"))).alias("fields_text"),
-        F.count_distinct(F.when(fields_line, F.col("value"))).alias("n_headers"),
-        F.min(F.when(fields_line, F.col("place"))).alias("header_place"),
-        F.min(F.when(is_data, F.col("place"))).alias("data_place"),
-        F.count_if(is_data).alias("n_rows"),
+    return lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
+
+
+def _headers(splits: DataFrame) -> DataFrame:
+    """``(source_file, block, headers)``: what lines of each file split have above them, in order.
+
+    ``headers`` is an array of ``(line, pattern, fields)``: from that line on values are parted by ``pattern`` and named
+    ``fields``; the first entry, without a line, is what the splits before left. Only header lines are ordered here.
+    """
+    in_file = Window.partitionBy("source_file").orderBy("block", "line")
+    text, mark = F.expr("substring(value, 8)"), F.trim(F.expr("substring(value, 11)"))
+    is_fields = F.col("value").startswith("#fields")
+    events = splits.select("source_file", "block", F.inline_outer("events")).withColumn(
+        "separator", F.coalesce(F.last(F.when(F.col("value").startswith("#separator"), _decoded(mark)), ignorenulls=True).over(in_file), F.lit("\t"))
+    )
+    quoted = F.concat(F.lit("\\Q"), F.col("separator"), F.lit("\\E"))
+    after = F.when(F.startswith(text, "separator"), F.substring(text, F.length("separator") + 1, F.length("value"))).otherwise(F.ltrim(text))
+    states = events.withColumn("pattern", quoted).withColumn(
+        "fields", F.last(F.when(is_fields, F.split(after, F.col("pattern"))), ignorenulls=True).over(in_file)
+    )
+    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    here = states.groupBy("source_file", "block").agg(
+        F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "pattern", "fields")))).alias("here"),
+        F.max_by(F.struct("pattern", "fields"), F.struct(F.col("line").isNotNull(), "line")).alias("left"),
+    )
+    carried = F.last("left").over(before)
+    first = F.struct(F.lit(None).cast("long").alias("line"), carried["pattern"].alias("pattern"), carried["fields"].alias("fields"))
+    return here.withColumn("first", first).select("source_file", "block", F.concat(F.array("first"), "here").alias("headers"))
+
+
+def read_connection_logs(spark: SparkSession, folder: str, pattern: str = LOG_PATTERN) -> ConnectionLogs | None:
+    """All logs below a folder as one table of strings, fields resolved by name.
+
+    A log may change its ``#fields`` and ``#separator`` midway: each line is read by the last ones above it. Header lines
+    are few; they are gathered by file split in a first job, ordered, and joined to the lines of their split, which
+    find their header among those of the split alone. A line with the wrong number of fields, or one that
+    precedes its header, stops the job. Returns None if there is no log.
+
+    Both jobs must cut the files alike: a header that doesn't stand where the first job saw it stops the second.
+    """
+    lines = _lines(spark, folder, pattern)
+    if lines is None:
+        return None
+    is_data = (F.col("value") != "") & ~F.col("value").startswith("#")
+    is_header = F.col("value").startswith("#fields") | F.col("value").startswith("#separator")
+    splits = settle(
+        lines.groupBy("source_file", "block").agg(
+            F.collect_list(F.when(is_header, F.struct("line", "value"))).alias("events"),
+            F.min(F.when(is_data, F.col("line"))).alias("first_data"),
+            F.min(F.when(F.col("value").startswith("#fields"), F.col("line"))).alias("first_fields"),
+            F.count_if(is_data).alias("n_rows"),
+        ),
+        "log-splits",
     )
-    separator = F.coalesce(_decoded(F.col("mark")), F.lit("\t"))
-    text = F.when(
-        F.startswith("fields_text", "separator"), F.expr("substring(fields_text, length(separator) + 1)")
-    ).otherwise(F.ltrim("fields_text"))
-    heads = small_table(
-        heads.withColumn("separator", separator)
-        .withColumn("pattern", F.concat(F.lit("\\Q"), F.col("separator"), F.lit("\\E")))
-        .withColumn("fields", F.split(text, F.col("pattern")))
-        .withColumn("early", F.col("header_place").isNull() | (F.col("data_place") < F.col("header_place")))
-        .select("source_file", "pattern", "fields", "n_headers", "early", "n_rows")
+    headers = small_table(_headers(splits))
+    place = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("block", c)))
+    files = splits.groupBy("source_file").agg(
+        F.sum("n_rows").alias("n_rows"), place("first_data").alias("data"), place("first_fields").alias("fields")
     )
-    facts = heads.agg(
+    facts = files.agg(
         F.count(F.lit(1)).alias("files"),
-        F.max("n_headers").alias("headers"),
-        F.count_if((F.col("n_rows") > 0) & F.col("early")).alias("early"),
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows"),
+        F.count_if(F.col("data").isNotNull() & (F.col("fields").isNull() | (F.col("data") < F.col("fields")))).alias("early"),
     ).first()
     if not facts["files"]:
         return None
     if facts["early"]:
         raise ValueError(f"{facts['early']} logs hold data before their #fields line")
-    if facts["headers"] > 1:
-        raise ValueError("a log changes its #fields line midway")
 
-    names = sorted(r[0] for r in heads.select(F.explode("fields")).distinct().collect())
-    values = F.split("value", F.col("pattern"), -1)
+    names = sorted(r[0] for r in headers.select(F.explode("headers.fields").alias("fields")).select(F.explode("fields")).distinct().collect())
+    known = lines.where(is_data | is_header).join(headers, ["source_file", "block"], "left")
+    unseen = is_header & ~F.coalesce(F.exists("headers", lambda h: h["line"] == F.col("line")), F.lit(False))
+    moved = F.col("headers").isNull() | unseen
+    placed = known.where(
+        F.when(moved, F.raise_error(F.lit("file splits changed between two jobs over the logs")).cast("boolean")).otherwise(is_data)
+    )
+    above = F.filter("headers", lambda h: h["line"].isNull() | (h["line"] < F.col("line")))
+    cut = placed.withColumn("header", F.element_at(above, -1)).select(
+        "source_file", F.col("header.fields").alias("fields"), F.split("value", F.col("header.pattern"), -1).alias("values")
+    )
     refused = F.raise_error(
         F.concat(
             F.lit("malformed line in "), F.col("source_file"), F.lit(": expected "),
             F.size("fields").cast("string"), F.lit(" fields, got "), F.size("values").cast("string"),
         )
     )
-    cut = (
-        lines.where(is_data)
-        .join(heads.select("source_file", "pattern", "fields"), "source_file")
-        .select("source_file", "fields", values.alias("values"))
-    )
     whole = F.size("fields") == F.size("values")
     # as a filter the check can't be pruned with the columns that nobody reads
     parsed = cut.where(F.when(whole, F.lit(True)).otherwise(refused.cast("boolean"))).withColumn(
         "cells", F.map_from_arrays("fields", "values")
     )
-    malformed = cut.groupBy("source_file").agg(F.count_if(~whole).alias("malformed"))
 
     def cell(name: str) -> Column:
         value = F.try_element_at(F.col("cells"), F.lit(name))
         return F.when(~value.isin(*MISSING_MARKS), value).alias(name)
 
-    report = heads.join(malformed, "source_file", "left").agg(
-        F.count(F.lit(1)).alias("files_parsed"),
-        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows_read"),
-        F.coalesce(F.sum("malformed"), F.lit(0)).alias("malformed_rows"),
+    report = cut.agg(F.count_if(~whole).alias("malformed_rows")).select(
+        F.lit(facts["files"]).cast("long").alias("files_parsed"), F.lit(facts["rows"]).cast("long").alias("rows_read"), "malformed_rows"
     )
     return ConnectionLogs(parsed.select("source_file", *[cell(n) for n in names]), report)

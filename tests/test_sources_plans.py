@@ -80,13 +80,59 @@ def test_connection_logs(spark, tmp_path):
     assert zeek.read_connection_logs(spark, str(tmp_path / "absent")) is None
 
 
-@pytest.mark.parametrize("text", ["a\tb\n#fields\tx\ty\na\tb\n", "a\tb\n", "#fields\tx\na\n#fields\ty\nb\n"])
+@pytest.mark.parametrize("text", ["a\tb\n#fields\tx\ty\na\tb\n", "a\tb\n", "#separator |\na\n"])
 def test_bad_log_headers(spark, tmp_path, text):
     (tmp_path / "bad.conn-labeled.log").write_text(text)
     with pytest.raises(ValueError):
         zeek.read_connection_logs(spark, str(tmp_path))
 
 
+def changing_log(n):
+    """A log whose header changes every few lines, and its rows."""
+    text, rows = ["# a comment"], []
+    layouts = [("\\x09", "\t", ["uid", "label", "a"]), ("|", "|", ["b", "uid", "label"]), (None, "|", ["label", "uid"]), ("\\t", "\t", ["uid", "a"])]
+    for i in range(n):
+        code, mark, names = layouts[i // 7 % 4]
+        if i % 7 == 0:
+            text += ["", *([f"#separator {code}"] if code else []), "#fields" + mark + mark.join(names), "#types" + mark + "string"]
+        row = {k: f"{k}{i}" for k in names}
+        text.append(mark.join(row.values()))
+        rows.append({**dict.fromkeys(("uid", "label", "a", "b")), **row})
+    return "\n".join(text) + "\n", rows
+
+
+@pytest.mark.parametrize("split", [None, 64, 300])
+def test_logs_may_change_their_header_midway(spark, tmp_path, split):
+    """Headers beyond the first file split too, and splits without a header of their own."""
+    text, rows = changing_log(100)
+    (tmp_path / "one.conn-labeled.log").write_text(text)
+    (tmp_path / "two.conn-labeled.log").write_text("#fields\tuid\n" + "x\n" * 300 + "#separator |\nx|y\n".replace("x|y", "z") + "#fields|a|uid\n-|last\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        logs = zeek.read_connection_logs(spark, str(tmp_path))
+        assert tuple(logs.report.first()) == (2, 402, 0)
+        got = [r.asDict() for r in logs.table.select("uid", "label", "a", "b").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows += [{"uid": u, "label": None, "a": None, "b": None} for u in ["x"] * 300 + ["z", "last"]]
+    key = lambda r: tuple(str(r[k]) for k in ("uid", "label", "a", "b"))
+    assert sorted(map(key, got)) == sorted(map(key, rows))
+
+
+def test_logs_read_in_other_splits_are_refused(spark, tmp_path):
+    (tmp_path / "one.conn-labeled.log").write_text(changing_log(100)[0])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    logs = zeek.read_connection_logs(spark, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64)
+    try:
+        with pytest.raises(Exception, match="file splits changed"):
+            logs.table.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_malformed_log_line(spark, tmp_path):
     (tmp_path / "bad.conn-labeled.log").write_text("#fields\tx\ty\na\tb\nonly one\n")
     with pytest.raises(Exception, match="malformed line"):
