@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgauge.llm import (
-    class_lm, decontaminate, disclosure, manifest, mixing, prefix_bpe, quality_crf, repeats, simhash, token_counts, token_files, topk,
+    class_lm, decontaminate, disclosure, fp_search, manifest, mixing, oracles, prefix_bpe, quality_crf, repeats, simhash, token_counts,
+    token_files, topk,
 )
 from driftgauge.llm.common import read
 from driftgauge.session import scratch_path
@@ -79,6 +80,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     proofs = manifest.manifest(read(spark, sf_dir, "documents")).withColumn(
         "folded_root", manifest.fold(F.coalesce("changed", "leaf"), F.col("path"))
@@ -103,7 +108,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_crf, op2_simhash_deletion, op3_token_counts, op4_disclosure, op5_suffix_digits, op6_class_bigrams, op7_token_files,
-        op8_topk_norm_buckets, op9_mixing, op10_decontaminate, op12_manifest, op13_prefix_bpe,
+        op8_topk_norm_buckets, op9_mixing, op10_decontaminate, op11_fp_search, op12_manifest, op13_prefix_bpe,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_fp_search": oracles.RANKED_SEARCH, "op12_manifest": oracles.MANIFEST}
