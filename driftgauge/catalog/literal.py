@@ -97,7 +97,7 @@ def _contributions(spark, sf_dir):
     trees = literal_table(
         spark, FOREST, "tree int, node int, feature int, threshold double, left int, right int, cover double, value double"
     )
-    return rows.join(explain.tree_contributions(trees, 2, 2, rows.select("x")), "x")
+    return explain.tree_contributions(trees, 2, 2, rows)
 
 
 @query(
@@ -150,7 +150,7 @@ def forest_facts(spark, sf_dir):
     test = impute(detectors._test(spark, sf_dir).select(*detectors.FEATURES), detector.medians)
     rows = detector.score(test).select(feature_array(detectors.FEATURES).alias("x"), "rf_score")
     base = detector.nodes(spark).where("node = 0").agg(F.avg("value").alias("base"))
-    explained = rows.join(explain.forest_contributions(detector, rows), "x").crossJoin(base)
+    explained = explain.forest_contributions(detector, rows).crossJoin(base)
     total = F.aggregate("contributions", F.lit(0.0), lambda a, b: a + b)
     additive = F.abs(F.col("rf_score") - F.col("base") - total) <= 1e-6
     return shares.crossJoin(

@@ -154,28 +154,113 @@ def tree_leaves(nodes: pd.DataFrame) -> list[Leaf]:
 
 
 def shapley_values(leaves: Sequence[Leaf], x: np.ndarray) -> np.ndarray:
-    """Path-dependent Shapley values of one tree's output for each row of ``x``.
+    """Path-dependent Shapley values of one tree's output for each row of ``x``."""
+    out = np.zeros(x.shape)
+    TreeTables(leaves).add(x, out)
+    return out
+
+
+def expected_value(leaves: Sequence[Leaf]) -> float:
+    return float(sum(leaf.value * leaf.kept.prod() for leaf in leaves))
+
+
+#: Paths of at most this many features have a table of what each combination of features passed adds.
+PATTERN_BITS = 6
+LEAVES_TOGETHER = 128
+ROWS_TOGETHER = 4096
+
+
+def _pattern_table(leaves: Sequence[Leaf]) -> np.ndarray:
+    """``[leaf, pattern, place]`` for leaves of equally long paths: what a row adds to the path's features by which of
+    them it passes."""
+    m = len(leaves[0].features)
+    rows = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+    return np.stack([_path_values(leaf, rows) for leaf in leaves])
+
+
+def _path_values(leaf: Leaf, inside: np.ndarray) -> np.ndarray:
+    """Contributions to the path's features for rows of 0 and 1: whether a row passes each feature.
 
     A leaf's Shapley integral over coalition size is a polynomial in one variable,
     so Gauss-Legendre nodes evaluate it exactly for all rows at once.
     """
-    out = np.zeros_like(x)
-    rules: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for leaf in leaves:
-        m = len(leaf.features)
-        if m == 0 or leaf.value == 0.0:
-            continue
-        if m not in rules:
-            at, weight = np.polynomial.legendre.leggauss(m // 2 + 1)
-            rules[m] = ((at + 1) / 2, weight / 2)
-        at, weight = rules[m]
-        mine = x[:, leaf.features]
-        inside = ((mine > leaf.low) & (mine <= leaf.high)).astype(float)
-        factors = leaf.kept[None, :, None] * (1 - at) + inside[:, :, None] * at
-        rest = factors.prod(axis=1)[:, None, :] / factors
-        out[:, leaf.features] += leaf.value * (inside - leaf.kept) * (rest @ weight)
-    return out
+    m = len(leaf.features)
+    at, weight = np.polynomial.legendre.leggauss(m // 2 + 1)
+    at, weight = (at + 1) / 2, weight / 2
+    factors = leaf.kept[None, :, None] * (1 - at) + inside[:, :, None] * at
+    rest = factors.prod(axis=1)[:, None, :] / factors
+    return leaf.value * (inside - leaf.kept) * (rest @ weight)
 
 
-def expected_value(leaves: Sequence[Leaf]) -> float:
-    return float(sum(leaf.value * leaf.kept.prod() for leaf in leaves))
+class TreeTables:
+    """One tree laid out for explaining many rows at once.
+
+    A row is reduced to its place among the tree's thresholds of each feature. For every place and leaf a bit says
+    whether the leaf's path is passed there, so the bits of a row, added up, are the number of the
+    combination, and its contributions are looked up. Longer paths are evaluated once for each combination that occurs.
+    """
+
+    def __init__(self, leaves: Sequence[Leaf]):
+        told = [leaf for leaf in leaves if len(leaf.features) and leaf.value != 0.0]
+        self.features = sorted({int(f) for leaf in told for f in leaf.features})
+        self.thresholds = {
+            f: np.unique([b for leaf in told for g, lo, hi in zip(leaf.features, leaf.low, leaf.high) if g == f for b in (lo, hi) if np.isfinite(b)])
+            for f in self.features
+        }
+        short = [leaf for leaf in told if len(leaf.features) <= PATTERN_BITS]
+        self.long = [leaf for leaf in told if len(leaf.features) > PATTERN_BITS]
+        self.chunks = [self._chunk(short[a : a + LEAVES_TOGETHER]) for a in range(0, len(short), LEAVES_TOGETHER)]
+
+    def _passed(self, leaf: Leaf, place: int) -> np.ndarray:
+        """For each place among the feature's thresholds whether it is inside the path's bounds."""
+        t = self.thresholds[int(leaf.features[place])]
+        first = np.searchsorted(t, leaf.low[place], side="right") if np.isfinite(leaf.low[place]) else 0
+        last = np.searchsorted(t, leaf.high[place], side="left") if np.isfinite(leaf.high[place]) else len(t)
+        places = np.arange(len(t) + 1)
+        return (places >= first) & (places <= last)
+
+    def _chunk(self, leaves: list[Leaf]) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+        """({feature: bits by place and leaf}, {feature: contributions by leaf and combination})."""
+        used = sorted({int(f) for leaf in leaves for f in leaf.features})
+        bits = {f: np.zeros((len(self.thresholds[f]) + 1, len(leaves)), np.uint8) for f in used}
+        values = {f: np.zeros((len(leaves), 1 << PATTERN_BITS)) for f in used}
+        by_length: dict[int, list[int]] = {}
+        for i, leaf in enumerate(leaves):
+            by_length.setdefault(len(leaf.features), []).append(i)
+        for m, some in by_length.items():
+            for i, table in zip(some, _pattern_table([leaves[i] for i in some])):
+                for place, f in enumerate(leaves[i].features.tolist()):
+                    bits[f][:, i] = self._passed(leaves[i], place) << place
+                    values[f][i, : 1 << m] = table[:, place]
+        return bits, {f: v.ravel() for f, v in values.items()}
+
+    def add(self, x: np.ndarray, out: np.ndarray) -> None:
+        """Adds the contributions of this tree to ``out``."""
+        places = {f: np.searchsorted(self.thresholds[f], x[:, f], side="left") for f in self.features}
+        for bits, values in self.chunks:
+            number = 0
+            for f, b in bits.items():
+                number = number + b[places[f]]
+            number = number.astype(np.intp) + (np.arange(number.shape[1]) << PATTERN_BITS)
+            for f, v in values.items():
+                out[:, f] += v[number].sum(axis=1)
+        for leaf in self.long:
+            inside = np.stack([self._passed(leaf, i)[places[int(f)]] for i, f in enumerate(leaf.features)], axis=1)
+            some, which = np.unique(inside, axis=0, return_inverse=True)
+            out[:, leaf.features] += _path_values(leaf, some.astype(float))[which.ravel()]
+
+
+class ForestTables:
+    """All trees of a node table ``(tree, node, feature, threshold, left, right, cover, value)``."""
+
+    def __init__(self, nodes: pd.DataFrame, n_trees: int, n_features: int):
+        self.trees = [TreeTables(tree_leaves(tree)) for _, tree in nodes.groupby("tree")]
+        self.n_trees, self.n_features = n_trees, n_features
+
+    def contributions(self, x: np.ndarray) -> np.ndarray:
+        """Mean over the trees of each row's contributions, one column for each feature."""
+        out = np.zeros((len(x), self.n_features))
+        for a in range(0, len(x), ROWS_TOGETHER):
+            for tree in self.trees:
+                tree.add(x[a : a + ROWS_TOGETHER], out[a : a + ROWS_TOGETHER])
+        return out / self.n_trees

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgauge.operators import evidence, explain, isolation
+from driftgauge.operators import forest as forest_module
 from driftgauge.operators.forest import (
     ForestDetector, Leaf, expected_value, feature_array, shapley_values, train_forest, tree_leaves,
 )
@@ -60,14 +61,46 @@ def test_missing_features_take_the_median(flows, forest):
     assert key(gap.orderBy("key")) == key(filled.orderBy("key"))
 
 
-def test_contributions_add_up_to_the_score(spark, flows, forest, monkeypatch):
-    nodes = forest.nodes(spark).toPandas()
+@pytest.mark.parametrize("most_nodes", [explain.MOST_NODES, 3])
+def test_contributions_add_up_to_the_score(spark, flows, forest, monkeypatch, most_nodes):
+    """Both where the forest goes to every task and where it is spread by tree."""
+    trees = forest.nodes(spark)
+    nodes = trees.toPandas()
     base = np.mean([expected_value(tree_leaves(tree)) for _, tree in nodes.groupby("tree")])
-    vectors = forest.score(flows).select(feature_array(FEATURES).alias("x"), "rf_score")
+    rows = forest.score(flows).select("key", feature_array(FEATURES).alias("v"), "rf_score")
+    rows = rows.unionByName(rows.limit(5))
     monkeypatch.setattr(explain, "ROWS_PER_BLOCK", 70)
-    got = explain.forest_contributions(forest, vectors).join(vectors, "x").toPandas()
-    total = np.stack(got["contributions"].to_numpy()).sum(axis=1)
-    assert len(got) == 300 and np.abs(total + base - got["rf_score"]).max() < 1e-9
+    found = explain.tree_contributions(trees, nodes["tree"].nunique(), len(FEATURES), rows, "v", "c", most_nodes)
+    assert found.columns == ["key", "v", "rf_score", "c"]
+    got = found.toPandas()
+    total = np.stack(got["c"].to_numpy()).sum(axis=1)
+    assert len(got) == 305 and np.abs(total + base - got["rf_score"]).max() < 1e-9
+    assert explain.tree_contributions(trees, 1, len(FEATURES), rows.where("false"), "v", "c", most_nodes).collect() == []
+
+
+def test_rows_are_explained_where_they_are(spark, forest):
+    rows = spark.range(10).select(F.array(*[F.col("id").cast("double")] * 3).alias("x"))
+    plan = explain.forest_contributions(forest, rows)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "Exchange" not in plan and "CoGroup" not in plan
+
+
+@pytest.mark.parametrize("bits,together", [(6, 128), (1, 3), (0, 1)])
+def test_tree_tables_agree_at_any_setting(forest, spark, monkeypatch, bits, together):
+    """Looked up or evaluated combination by combination: the same values, also at the thresholds themselves."""
+    leaves = tree_leaves(forest.nodes(spark).where("tree = 1").toPandas())
+    edges = [b for leaf in leaves for b in (*leaf.low, *leaf.high) if np.isfinite(b)]
+    rng = np.random.default_rng(3)
+    x = rng.choice(np.concatenate([edges, rng.normal(size=50), [np.inf, -np.inf]]), (200, len(FEATURES)))
+    expected = np.zeros_like(x)
+    for leaf in leaves:
+        if len(leaf.features):
+            mine = x[:, leaf.features]
+            inside = ((mine > leaf.low) & (mine <= leaf.high)).astype(float)
+            inside[(mine == -np.inf) & (leaf.low == -np.inf)] = 1.0
+            expected[:, leaf.features] += forest_module._path_values(leaf, inside)
+    monkeypatch.setattr(forest_module, "PATTERN_BITS", bits)
+    monkeypatch.setattr(forest_module, "LEAVES_TOGETHER", together)
+    assert np.abs(shapley_values(leaves, x) - expected).max() < 1e-12
 
 
 def test_shapley_values_by_enumeration():
@@ -254,8 +287,8 @@ def test_forest_facts_see_every_row(spark, monkeypatch):
     others = F.pmod(F.xxhash64("x"), F.lit(64)) != 0
     facts = QUERIES["forest_facts"](spark, folder).first()
     assert (facts["explained"], facts["not_additive"]) == (rows, 0)
-    shifted = F.transform("contributions", lambda c: c + F.when(others, 1.0).otherwise(0.0)).alias("contributions")
-    monkeypatch.setattr(explain, "forest_contributions", lambda d, v: whole(d, v).select("x", shifted))
+    shifted = F.transform("contributions", lambda c: c + F.when(others, 1.0).otherwise(0.0))
+    monkeypatch.setattr(explain, "forest_contributions", lambda d, v: whole(d, v).withColumn("contributions", shifted))
     assert QUERIES["forest_facts"](spark, folder).first()["not_additive"] > rows // 2
     monkeypatch.setattr(explain, "forest_contributions", lambda d, v: whole(d, v).where(~others))
     assert QUERIES["forest_facts"](spark, folder).first()["explained"] < rows // 2
