@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftgauge.session import settle
+
 
 #: Rows and bytes of the batches that go to Python workers; a task holds several copies of a batch on its way.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
@@ -44,6 +46,33 @@ def kept_in_worker(key, make: Callable):
     return store[key]
 
 
+def ranked_in_groups(nodes: DataFrame, order: list) -> DataFrame:
+    """``nodes`` (grp, …) with ``rank`` from 0 in their group by ``order`` and ``size``, the group's nodes.
+
+    Rows are dealt out by ranges of the whole order, so a large group is spread over many tasks; a row's
+    place is its number in its task and the number of its group's rows in the tasks before.
+    """
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = settle(
+        nodes.repartitionByRange(parts, "grp", *order).sortWithinPartitions("grp", *order).withColumn("place", F.monotonically_increasing_id())
+        .withColumn("part", F.shiftright("place", 33)),
+        "rank-order",
+    )
+    seen = placed.groupBy("grp", "part").agg(F.min("place").alias("first"), F.count("*").alias("here"))
+    of_group = Window.partitionBy("grp").orderBy("part")
+    before = F.sum("here").over(of_group.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = settle(
+        seen.select(
+            "grp", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"),
+            F.sum("here").over(Window.partitionBy("grp")).alias("size"),
+        ),
+        "rank-offsets",
+    )  # a row for each group in each task that holds some of it
+    ranked = placed.join(offsets, ["grp", "part"]).withColumn("rank", F.col("place") + F.col("shift"))
+    return ranked.drop("place", "part", "shift")
+
+
 def in_pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``limit`` bytes at most in each; a longer row stands alone."""
     for batch in batches:

@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftgauge.llm.common import ranked_in_groups
 from driftgauge.session import settle
 
 LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -51,33 +52,6 @@ def siblings(path: Column) -> Column:
     return F.array_join(F.flatten(F.transform(path, lambda s: F.array(s["left"], s["right"]))), "")
 
 
-def _ranked(nodes: DataFrame, order: list) -> DataFrame:
-    """``nodes`` (grp, …) with ``rank`` from 0 in their group by ``order`` and ``size``, the group's nodes.
-
-    Rows are dealt out by ranges of the whole order, so a large group is spread over many tasks; a row's
-    place is its number in its task and the number of its group's rows in the tasks before.
-    """
-    spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = settle(
-        nodes.repartitionByRange(parts, "grp", *order).sortWithinPartitions("grp", *order).withColumn("place", F.monotonically_increasing_id())
-        .withColumn("part", F.shiftright("place", 33)),
-        "manifest-order",
-    )
-    seen = placed.groupBy("grp", "part").agg(F.min("place").alias("first"), F.count("*").alias("here"))
-    of_group = Window.partitionBy("grp").orderBy("part")
-    before = F.sum("here").over(of_group.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = settle(
-        seen.select(
-            "grp", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"),
-            F.sum("here").over(Window.partitionBy("grp")).alias("size"),
-        ),
-        "manifest-offsets",
-    )  # a row for each group in each task that holds some of it
-    ranked = placed.join(offsets, ["grp", "part"]).withColumn("rank", F.col("place") + F.col("shift"))
-    return ranked.drop("place", "part", "shift")
-
-
 def _blocks(nodes: DataFrame, payload: list[str], fanout: int, digits: int) -> DataFrame:
     """Blocks of ``nodes`` (grp, rank, size, h, …): ``(grp, block, size, h, kids)``.
 
@@ -197,10 +171,10 @@ def manifest(docs: DataFrame, fanout: int = 2, digits: int = 8) -> DataFrame:
     it is read; nothing but digests moves. n_chars must stay below 2**63 - 1.
     """
     rows = settle(leaves(docs), "manifest-leaves").withColumnRenamed("leaf", "h")
-    ranked = _ranked(rows, [F.col("doc_id").asc_nulls_last(), "h", "row"])
+    ranked = ranked_in_groups(rows, [F.col("doc_id").asc_nulls_last(), "h", "row"])
     largest = ranked.agg(F.max("size")).first()[0] or 0
     tiers, tops = _tree(ranked, ["doc_id", "changed"], largest, fanout, digits)
-    groups = _ranked(settle(tops.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "h"), "manifest-groups"), ["name"])
+    groups = ranked_in_groups(settle(tops.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "h"), "manifest-groups"), ["name"])
     upper, _ = _tree(groups, ["name"], groups.count(), fanout, digits)
     above = _emitted(upper, None, fanout, digits).select(
         F.col("node.name").alias("grp"), "path",

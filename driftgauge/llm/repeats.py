@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.llm.common import in_pieces, table_of, text_bytes
+from driftgauge.llm.common import in_pieces, ranked_in_groups, table_of, text_bytes
 from driftgauge.session import settle
 
 DEPTH, GRAM = 50, 40
@@ -121,7 +121,7 @@ def context_hash(data: Bytes, at, left, right, depth: int, gram: int, seed: int
 
 #: What a row holds: keys to be compared in a part, or facts for the documents of a home.
 GRAMS, CONTEXTS, FAMILIES, WINDOWS, SHARED, SEVERAL, COVERED, REGION, REMOVED = range(9)
-#: Fields of each kind; ``doc`` comes first. grams go as 32 bits of a hash, of which the part holds others.
+#: Fields of each kind; ``doc`` comes first, a row's own number whose upper bits, all but ``shift``, order the documents. grams go as 32 bits of a hash, of which the part holds others.
 FIELDS = {
     GRAMS: ("<i8", "<u4", "u1"),  # doc, gram, whether several documents of the run have it
     CONTEXTS: ("<i8", "<u8", "<u4", "<u4", "u1"),  # doc, context in two hashes, its place and length
@@ -217,6 +217,14 @@ def _spread(first: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(first, n)))
 
 
+def _each(first: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether a row is the first of its group that its document has, for rows ordered by group and document."""
+    new = np.zeros(len(docs), bool)
+    new[first] = True
+    new[1:] |= docs[1:] != docs[:-1]
+    return new
+
+
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of intervals ordered by start."""
     if not len(starts):
@@ -250,7 +258,7 @@ def _pass_through(deal: Deal, found: dict, kinds) -> None:
 # ---- pass 1: grams at anchors ------------------------------------------------------------------------------------
 
 
-def _emit_grams(parts: int, depth: int, gram: int, piece: int, run_rows: int):
+def _emit_grams(parts: int, depth: int, gram: int, piece: int, run_rows: int, shift: int):
     def run(batches):
         deal, held, count = Deal(parts), [], 0
 
@@ -259,9 +267,11 @@ def _emit_grams(parts: int, depth: int, gram: int, piece: int, run_rows: int):
             order, first = _groups(h, d)
             h, d = h[order], d[order]
             last = np.append(first[1:], len(h)) - 1
-            several = d[last] != d[first]
-            deal.add(GRAMS, h[first], d[first], h[first] & SHORT, several)
+            several = d[last] >> shift != d[first] >> shift
             known = _spread(first, several, len(h))
+            asked = _each(first, d) & ~known  # all rows of an id where no other id has the gram, one row where some has
+            asked[first] = True
+            deal.add(GRAMS, h[asked], d[asked], h[asked] & SHORT, known[asked])
             deal.add(SHARED, _home(d[known]), d[known], h[known] & SHORT)
 
         for batch in in_pieces(batches, "text", piece):
@@ -281,7 +291,7 @@ def _emit_grams(parts: int, depth: int, gram: int, piece: int, run_rows: int):
     return run
 
 
-def _compare_grams(parts: int):
+def _compare_grams(parts: int, shift: int):
     def run(batches):
         found, _ = _unpacked(batches, (GRAMS, SHARED))
         deal = Deal(parts)
@@ -290,7 +300,7 @@ def _compare_grams(parts: int):
         d, h, known = d[order], h[order], known[order].astype(bool)
         if len(h):
             last = np.append(first[1:], len(h)) - 1
-            several = (d[last] != d[first]) | np.maximum.reduceat(known, first)
+            several = (d[last] >> shift != d[first] >> shift) | np.maximum.reduceat(known, first)
             told = _spread(first, several, len(h)) & ~known
             deal.add(SHARED, _home(d[told]), d[told], h[told])
         _pass_through(deal, found, (SHARED,))
@@ -323,7 +333,7 @@ def _by_document(kind: int, names: tuple[str, ...], types: tuple[str, ...]):
 # ---- pass 2: contexts of the anchors whose grams other documents share --------------------------------------------
 
 
-def _emit_contexts(parts: int, depth: int, gram: int, piece: int, run_rows: int):
+def _emit_contexts(parts: int, depth: int, gram: int, piece: int, run_rows: int, shift: int):
     def run(batches):
         deal, held, count = Deal(parts), [], 0
 
@@ -331,16 +341,18 @@ def _emit_contexts(parts: int, depth: int, gram: int, piece: int, run_rows: int)
             d, g, c1, c2, s, n = (np.concatenate(x) for x in zip(*held))
             order, first = _groups(c1, c2, d)
             d, g, c1, c2, s, n = (x[order] for x in (d, g, c1, c2, s, n))
-            more = d > _spread(first, d[first], len(d))
+            more = d >> shift > _spread(first, d[first] >> shift, len(d))
             _add_removed(deal, d[more], s[more], s[more] + n[more])
             deal.add(CONTEXTS, c1[~more], *(x[~more] for x in (d, c1, c2, s, n)))
-            d, g, c1 = d[first], g[first], c1[first]
+            some = _each(first, d) & ~more
+            d, g, c1 = d[some], g[some], c1[some]
             order, first = _groups(g, c1)
             d, g, c1 = d[order], g[order], c1[order]
             last = np.append(first[1:], len(g)) - 1
-            several = c1[first] != c1[last]
-            deal.add(FAMILIES, g[first], d[first], g[first] & SHORT, c1[first], several)
-            known = _spread(first, several, len(g))
+            known = _spread(first, c1[first] != c1[last], len(g))
+            asked = ~known
+            asked[first] = True
+            deal.add(FAMILIES, g[asked], d[asked], g[asked] & SHORT, c1[asked], known[asked])
             deal.add(SEVERAL, _home(d[known]), d[known], g[known] & SHORT)
 
         for batch in _opened(batches, piece):
@@ -379,7 +391,7 @@ def _emit_contexts(parts: int, depth: int, gram: int, piece: int, run_rows: int)
     return run
 
 
-def _compare_contexts(parts: int):
+def _compare_contexts(parts: int, shift: int):
     def run(batches):
         deal, kept = Deal(parts), []
 
@@ -397,7 +409,7 @@ def _compare_contexts(parts: int):
         order, first = _groups(c1, c2, d)
         d, s, n = d[order], s[order], n[order]
         if len(d):
-            more = d > _spread(first, d[first], len(d))
+            more = d >> shift > _spread(first, d[first] >> shift, len(d))
             d, s, n = d[more], s[more], n[more]
             order = np.lexsort((s, d))
             deal.add(COVERED, _home(d[order]), d[order], s[order], n[order])
@@ -426,7 +438,7 @@ def _pairs_in(docs: np.ndarray, keys: np.ndarray, in_docs: np.ndarray, in_keys:
     return np.isin(_mixed(_home(docs) * _M1 + keys), _mixed(_home(in_docs) * _M1 + in_keys))
 
 
-def _emit_windows(parts: int, depth: int, gram: int, piece: int):
+def _emit_windows(parts: int, depth: int, gram: int, piece: int, shift: int):
     def run(batches):
         found, regions = _unpacked(batches, (REMOVED, COVERED, SEVERAL))
         deal, held = Deal(parts), []
@@ -445,9 +457,9 @@ def _emit_windows(parts: int, depth: int, gram: int, piece: int):
                 starts, lengths = np.frombuffer(payload, "<i8", m, 24), np.frombuffer(payload, "<i8", m, 24 + 8 * m)
                 at = np.cumsum(np.frombuffer(payload, "<i8", k, 24 + 16 * m))
                 byte = 24 + 16 * m + 8 * k
-                shift = np.searchsorted(starts, at, side="right") - 1
+                run_of = np.searchsorted(starts, at, side="right") - 1
                 base = size + np.cumsum(lengths) - lengths
-                places.append(base[shift] + at - starts[shift])
+                places.append(base[run_of] + at - starts[run_of])
                 for s, length in zip(starts.tolist(), lengths.tolist()):
                     texts.append(payload[byte : byte + length])
                     docs.append(doc)
@@ -477,7 +489,7 @@ def _emit_windows(parts: int, depth: int, gram: int, piece: int):
             d, k1, k2, s = (np.concatenate(x) for x in zip(*held))
             order, first = _groups(k1, k2, d)
             d, k1, k2, s = d[order], k1[order], k2[order], s[order]
-            more = d > _spread(first, d[first], len(d))
+            more = d >> shift > _spread(first, d[first] >> shift, len(d))
             _add_removed(deal, d[more], s[more], s[more] + depth)
             deal.add(WINDOWS, k1[~more], d[~more], k1[~more], k2[~more], s[~more])
             yield from deal.batch()
@@ -485,7 +497,7 @@ def _emit_windows(parts: int, depth: int, gram: int, piece: int):
     return run
 
 
-def _compare_windows(parts: int, depth: int):
+def _compare_windows(parts: int, depth: int, shift: int):
     def run(batches):
         found, _ = _unpacked(batches, (WINDOWS, REMOVED))
         deal = Deal(parts)
@@ -494,7 +506,7 @@ def _compare_windows(parts: int, depth: int):
         d, s = d[order], s[order].astype(np.int64)
         removed = found[REMOVED]
         if len(d):
-            more = d > _spread(first, d[first], len(d))
+            more = d >> shift > _spread(first, d[first] >> shift, len(d))
             removed = [np.concatenate(x) for x in zip(removed, (d[more], s[more], s[more] + depth))]
         _add_removed(deal, *removed)
         yield from deal.batch()
@@ -534,15 +546,46 @@ def _opened(batches, piece: int) -> Iterator[pa.RecordBatch]:
                 size += sizes[i]
 
 
-def copies_of_texts(texts: DataFrame) -> DataFrame:
-    """``(doc, digest)`` of the rows of ``texts`` (doc, digest) whose whole text a smaller document has."""
-    digests = settle(texts, "text-digests")
-    groups = digests.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least")
+def copies_of_texts(digests: DataFrame) -> DataFrame:
+    """``(doc_id, digest)`` of the rows of ``digests`` (doc_id, digest) whose whole text a smaller document has."""
+    ordered = digests.select("doc_id", "digest", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc"), F.col("doc_id").isNull().alias("last"))
+    place = F.struct("last", "doc")
+    groups = ordered.groupBy("digest").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("most > least")
     return settle(
-        digests.join(groups, "digest").where("doc > least").select("doc", "digest").distinct(), "whole-copies"
+        ordered.join(groups, "digest").where(place > F.col("least")).select("doc_id", "digest").distinct(), "whole-copies"
     )
 
 
+def numbered_rows(digests: DataFrame) -> tuple[Column, DataFrame | None, DataFrame | None, int]:
+    """How rows of ``digests`` (doc_id, digest) are numbered: (number of an id, numbers of ids or None, numbers of rows or
+    None, shift).
+
+    A number is unique to a text of an id, and shifted to the right it orders the ids, null last. Ids of one text
+    are their own numbers, shifted to the left; only rows of ids that have several texts are ranked to tell them apart.
+    Where ids are too far apart for that, they are ranked first.
+    """
+    rows = digests.distinct()
+    several = settle(rows.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1"), "ids-of-several-texts")
+    facts = several.agg(F.count("*").alias("ids"), F.max("texts").alias("most")).first()
+    if not facts["ids"]:
+        return F.coalesce("doc_id", F.lit(int(NO_ID))), None, None, 0
+    shift = int(facts["most"] - 1).bit_length()
+    span = digests.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    low, high = (0 if x is None else x for x in (span["low"], span["high"]))
+    ids = None
+    if (high - low + 1).bit_length() + shift < 63:
+        of_id = F.coalesce(F.col("doc_id") - low, F.lit(high - low + 1))
+    else:
+        every = digests.select("doc_id").distinct().withColumn("grp", F.lit(""))
+        ids = settle(ranked_in_groups(every, [F.col("doc_id").asc_nulls_last()]).select("doc_id", F.col("rank").alias("of_id")), "id-numbers")
+        of_id = F.col("of_id")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    told = rows.join(several.select(F.col("doc_id").alias("id")), same, "left_semi")
+    grp = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    extra = settle(ranked_in_groups(told.withColumn("grp", grp), ["digest"]).select("doc_id", "digest", F.col("rank").alias("extra")), "row-numbers")
+    return of_id, ids, extra, shift
+
+
 def _without(with_text: bool):
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     out = pa.schema(fields + [("kept", pa.binary())] * with_text)
@@ -576,45 +619,54 @@ def remove_repeats(
 
     A byte is removed if a string of ``depth`` bytes that covers it also starts in a document with a smaller
     doc_id; strings don't cross documents. Null texts are empty; rows with the same id are no smaller than each
-    other, and a null id is larger than all others. Texts shorter than ``depth`` stay whole. What was found
+    other, each loses what it repeats itself, and a null id is larger than all others. Texts shorter than ``depth`` stay whole. What was found
     about the documents is sent to all tasks while it is about fewer than ``broadcast_rows`` documents.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 16 * partitions  # several parts to a partition even out
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc"),
-        text_bytes().alias("text"),
-    ).withColumn("digest", F.unhex(F.md5("text")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).withColumn("digest", F.unhex(F.md5("text")))
 
     def small(df):
         return F.broadcast(df) if df.count() <= broadcast_rows else df
 
-    whole = copies_of_texts(texts.where(F.octet_length("text") >= depth).select("doc", "digest"))
-    copies = small(whole)
+    def beside(df, other, *keys):
+        """``df`` with the columns of ``other``, by keys that may be null."""
+        renamed = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        return df.join(small(renamed), same, "left").drop(*[f"_{k}" for k in keys])
+
+    digests = settle(texts.where(F.octet_length("text") >= depth).select("doc_id", "digest"), "text-digests")
+    copies = copies_of_texts(digests)
+    of_id, ids, extra, shift = numbered_rows(digests)
+    if ids is not None:
+        texts = beside(texts, ids, "doc_id")
+    if extra is not None:
+        texts = beside(texts, extra, "doc_id", "digest")
+        of_id = F.shiftleft(of_id, shift) + F.coalesce("extra", F.lit(0))
+    known = beside(texts.withColumn("doc", of_id), copies.withColumn("copy", F.lit(True)), "doc_id", "digest")
 
     def met(df):
         return df.repartition(partitions, "part")
 
-    long = texts.where(F.octet_length("text") >= depth).join(copies, ["doc", "digest"], "left_anti").select("doc", "text")
-    grams = met(long.mapInArrow(_emit_grams(parts, depth, gram, piece, run_rows), PACKED)).mapInArrow(_compare_grams(parts), PACKED)
+    long = known.where((F.octet_length("text") >= depth) & F.col("copy").isNull()).select("doc", "text")
+    grams = met(long.mapInArrow(_emit_grams(parts, depth, gram, piece, run_rows, shift), PACKED)).mapInArrow(_compare_grams(parts, shift), PACKED)
     marks = settle(met(grams).mapInArrow(_by_document(SHARED, ("grams",), ("<u4",)), "doc long, grams binary"), "shared-grams")
     concerned = long
     if marks.count() <= broadcast_rows:
         concerned = long.join(F.broadcast(marks.select("doc")), "doc", "left_semi")  # so that other texts need not move
     packed = concerned.mapInArrow(_compressed, "doc long, n_bytes long, text binary")
     found = packed.join(marks.hint("merge"), "doc").select("doc", "n_bytes", "text", "grams")
-    contexts = met(found.mapInArrow(_emit_contexts(parts, depth, gram, piece, run_rows), PACKED)).mapInArrow(
-        _compare_contexts(parts), PACKED
+    contexts = met(found.mapInArrow(_emit_contexts(parts, depth, gram, piece, run_rows, shift), PACKED)).mapInArrow(
+        _compare_contexts(parts, shift), PACKED
     )
-    windows = met(met(contexts).mapInArrow(_emit_windows(parts, depth, gram, piece), PACKED)).mapInArrow(
-        _compare_windows(parts, depth), PACKED
+    windows = met(met(contexts).mapInArrow(_emit_windows(parts, depth, gram, piece, shift), PACKED)).mapInArrow(
+        _compare_windows(parts, depth, shift), PACKED
     )
     removed = settle(
         met(windows).mapInArrow(_by_document(REMOVED, ("starts", "ends"), ("<i8", "<i8")), "doc long, starts binary, ends binary"),
         "removed-runs",
     )
-    known = texts.join(copies.withColumn("copy", F.lit(True)), ["doc", "digest"], "left")
     joined = known.join(small(removed), "doc", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return joined.select("doc_id", "text", "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(_without(with_text), schema)

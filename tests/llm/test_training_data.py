@@ -488,3 +488,19 @@ def test_scores_don_t_depend_on_the_batch():
     model = quality_crf.fit(s, n, np.asarray([i % 2 for i in range(len(texts))]), rounds=20)
     together = quality_crf.score_texts(texts, model)[0]
     np.testing.assert_allclose(together, [quality_crf.score_texts([t], model)[0][0] for t in texts])
+
+
+@pytest.mark.parametrize("far", [0, 1 << 62])
+@pytest.mark.parametrize("run_rows,broadcast_rows", [(1 << 20, 1 << 20), (60, 0)])
+def test_rows_of_one_id_lose_what_they_repeat_themselves(spark, far, run_rows, broadcast_rows):
+    """Null and repeated ids with different texts, ids far apart, and copies among them."""
+    rng = random.Random(8)
+    passages = [prose(30, rng) for _ in range(6)]
+    rows = [(i - far if i % 2 else i + far, f"{prose(20, rng)} {passages[i % 6]} {prose(5, rng)}") for i in range(8)]
+    rows += [(9, prose(40, rng)), (9, passages[0] + prose(20, rng)), (9, passages[0]), (9, None), (9, prose(40, rng) + passages[5])]
+    rows += [(None, prose(50, rng)), (None, passages[1] + prose(9, rng)), (None, passages[1] + rows[-1][1]), (None, passages[1]), (None, passages[1])]
+    rows += [rows[0], (3 - far, rows[8][1]), (None, rows[2][1]), (1 << 62, rows[9][1] + "!")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, doc int").repartition(3)
+    got = repeats.remove_repeats(df, run_rows=run_rows, broadcast_rows=broadcast_rows).collect()
+    same(got, [(d, *x) for (d, _), x in zip(rows, brute.repeats(rows))])
+    assert any(r.n_removed == 0 for r in got if r.doc_id is None) and any(r.n_removed == 0 for r in got if r.doc_id == 9)
