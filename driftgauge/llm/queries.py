@@ -74,7 +74,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = decontaminate.benchmark_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    report = decontaminate.benchmark_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), with_places=False)
     return decontaminate.contaminated(report).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
     )

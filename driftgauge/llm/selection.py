@@ -62,7 +62,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that no benchmark item contaminates."""
-    report = decontaminate.contaminated(decontaminate.benchmark_matches(docs, benchmark))
+    report = decontaminate.contaminated(decontaminate.benchmark_matches(docs, benchmark, with_places=False))
     return without(docs, report.where("contaminated").select("doc_id"))
 
 

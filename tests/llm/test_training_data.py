@@ -504,3 +504,36 @@ def test_rows_of_one_id_lose_what_they_repeat_themselves(spark, far, run_rows, b
     got = repeats.remove_repeats(df, run_rows=run_rows, broadcast_rows=broadcast_rows).collect()
     same(got, [(d, *x) for (d, _), x in zip(rows, brute.repeats(rows))])
     assert any(r.n_removed == 0 for r in got if r.doc_id is None) and any(r.n_removed == 0 for r in got if r.doc_id == 9)
+
+
+@pytest.mark.parametrize("shard,block", [(2 << 20, 8 << 20), (200, 400)])
+def test_items_count_once_by_their_id(spark, shard, block):
+    """Items in several rows, items that share windows, items without an id, and the longest match of each document."""
+    a, b, c = prose(30), prose(16), prose(13)
+    items = [(7, a), (7, b), (8, b), (None, c), (None, b), (9, a), (9, a), (10, prose(4) + " " + " ".join(a.split()[5:25])), (11, " ".join(a.split()[:4]))]
+    docs = [(1, f"x {a} y {b}"), (2, " ".join(a.split()[3:20])), (3, c + " " + c), (4, b.translate({c: c - 32 for c in range(97, 123)})), (None, a), (1, "nothing here"), (5, None), (6, " ".join(a.split()[:12]))]
+    tables = spark.createDataFrame([(*r, "z") for r in docs], "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.benchmark_matches(*tables, shard_bytes=shard, block_bytes=block).collect()
+    named = [("" if i is None else i, t) for i, t in items]
+    same([(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got], [(d, *brute.contamination(t, named)) for d, t in docs])
+    longest = {r.n_words: tuple(r.longest) if r.longest else None for r in got}
+    assert longest[48] == (1, 30, "7") and longest[17] == (0, 17, "7") and longest[26] == (0, 13, "") and longest[16] == (0, 16, "")
+    assert longest[30] == (0, 30, "7") and longest[2] is None and longest[0] is None and longest[12] == (0, 4, "11")
+    assert {p.item_id for r in got if r.n_words == 26 for p in r.places} == {""}
+    bare = decontaminate.benchmark_matches(*tables, shard_bytes=shard, block_bytes=block, with_places=False).collect()
+    same([(r.doc_id, r.n_hit, r.items_sha256, r.places) for r in bare], [(r.doc_id, r.n_hit, r.items_sha256, None) for r in got])
+
+
+def test_many_items_of_one_window_are_not_listed_place_by_place():
+    import time
+
+    shared = prose(13)
+    tests = decontaminate.TestSuffixes([(i, f"{shared} {i}x".encode()) for i in range(5000)], 13)
+    began = time.time()
+    (n,), ((starts, which),) = decontaminate.match_documents([" ".join([shared] * 300).encode()], tests)
+    assert (n, len(starts)) == (3900, 300) and len(tests.owners(which[0])) == 5000 and time.time() - began < 2
+
+
+def test_vocabularies_of_any_size_are_told_apart():
+    words = np.random.default_rng(5).integers(1, 1 << 31, (1000, 3)).astype(np.uint64)
+    assert len(np.unique(decontaminate._head_hash(words, 3))) == 1000
