@@ -17,6 +17,10 @@ SPACED_WORD = re.compile(rb"\s*\S+|\s+\Z")
 LETTER_EDGE = re.compile(rb"(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])|(?<=[!-/:-@\[-`{-~])(?=[A-Za-z])")
 
 
+#: Marks that end most words that don't end in a letter.
+MARKS = b".,!?;:|"
+
+
 class PieceMemory:
     """What ``value`` makes of the ids of each piece, for pieces seen of late.
 
@@ -66,40 +70,54 @@ class PieceMemory:
         return out
 
     def _cut(self, p: bytes) -> list[bytes]:
-        """The parts of a piece; the commonest kinds without a search."""
-        body = p[self.first :]
-        if body.isalpha() or b"'" in p or b"<|" in p:
-            return [p]
-        if body[-1:] in b".,!?;:|" and body[:-1].isalpha():
-            return [p[:-1], p[-1:]]
-        return LETTER_EDGE.split(p)
+        """The parts of a piece."""
+        return [p] if b"'" in p or b"<|" in p else LETTER_EDGE.split(p)
 
     def learn(self, pieces: set[bytes]) -> dict:
         """Values of all ``pieces``; those too long to keep are only in the returned table."""
-        young, old = self.young, self.old
-        new, cut = set(), {}
+        young, old, first, longest = self.young, self.old, self.first, self.longest
+        new, cut, marked = set(), {}, []
         for p in pieces.difference(young):
             if p in old:
                 young[p] = old[p]
-                continue
-            parts = self._cut(p)
-            if len(parts) == 1:
+            elif p[first:].isalpha():
                 new.add(p)
-                continue
-            cut[p] = parts
-            for q in parts:
-                if q not in young:
-                    if q in old:
-                        young[q] = old[q]
+            elif p[-1] in MARKS and p[first:-1].isalpha():  # the commonest kind: a word with a mark behind it
+                marked.append(p)
+                word = p[:-1]
+                if word not in young:
+                    if word in old:
+                        young[word] = old[word]
                     else:
-                        new.add(q)
+                        new.add(word)
+            else:
+                parts = self._cut(p)
+                if len(parts) == 1:
+                    new.add(p)
+                    continue
+                cut[p] = parts
+                for q in parts:
+                    if q not in young:
+                        if q in old:
+                            young[q] = old[q]
+                        else:
+                            new.add(q)
+        for mark in {p[-1:] for p in marked}.difference(young):
+            if mark in old:
+                young[mark] = old[mark]
+            else:
+                new.add(mark)
         asked = list(new)
         fresh = dict(zip(asked, self.encode(asked))) if asked else {}
-        out = {p: v for p, v in fresh.items() if len(p) > self.longest}
-        young.update(fresh if not out else {p: v for p, v in fresh.items() if len(p) <= self.longest})
+        out = {p: v for p, v in fresh.items() if len(p) > longest}
+        young.update(fresh if not out else {p: v for p, v in fresh.items() if len(p) <= longest})
+        join = self.join
+        for p in marked:
+            word = p[:-1]
+            (young if len(p) <= longest else out)[p] = join((young[word] if word in young else out[word], young[p[-1:]]))
         for p, parts in cut.items():
-            value = self.join([young[q] if q in young else out[q] for q in parts])
-            (young if len(p) <= self.longest else out)[p] = value
+            value = join([young[q] if q in young else out[q] for q in parts])
+            (young if len(p) <= longest else out)[p] = value
         return out
 
     def turn(self) -> None:
