@@ -2,12 +2,13 @@
 
 Spark's exact ``median`` keeps every distinct value of a group in one
 aggregation buffer, and an ordered window keeps a whole group in one task. Here
-approximate quantiles narrow the search to a bracket of values around each
-wanted rank, an exact count confirms that the rank lies inside, and only the
-values of the final bracket are counted and ranked. Every pass is one scan with
-map-side aggregation; what reaches a single task is bounded by ``limit``
-distinct values. The driver sees only bracket ends and counts, one row for each
-wanted rank.
+ranks are selected digit by digit: each pass cuts the brackets of values that hold
+wanted ranks into cells, first by sign and binary exponent, then evenly, and one aggregate
+counts the rows of every cell and their least and largest value, which are the next
+bracket. A bracket of one value is an answer, however many rows have it; one of at most
+``limit`` rows is ranked. Cells keep the order of values, so nothing is estimated. Every
+pass is one scan with map-side aggregation, and there are eight at most. The driver sees one
+row for each wanted rank.
 """
 
 from __future__ import annotations
@@ -21,27 +22,30 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgauge.functions.numeric import HASH_SPAN, finite, order_hash
+from driftgauge.functions.numeric import finite, order_hash
 from driftgauge.session import literal_table
 
 IN_BRACKET_LIMIT = 1_000_000
-_GRID_STEPS = 200
-_GRID = [i / _GRID_STEPS for i in range(_GRID_STEPS + 1)]
-_ACCURACY = 10 * _GRID_STEPS
+#: Cells of an even pass: ten bits of what doubles of one exponent differ in.
+_CELLS, _FINE_CELLS = 1 << 10, 1 << 14
+_EXPONENTS = 1100
 
 
 @dataclass(frozen=True)
-class Wanted:
-    """One wanted position in one group, with the bracket of values known to hold it."""
+class Bracket:
+    """The ``count`` values of one group from ``low`` to ``high``; ``below`` values of the group are less."""
 
     key: tuple
-    name: str
-    low_rank: int
-    high_rank: int
-    fraction: float
-    lower: float | None = None
-    upper: float | None = None
-    below: int = 0
+    low: float
+    high: float
+    below: int
+    count: int
+
+    def by_exponent(self, even: bool) -> bool:
+        """Whether cells follow sign and exponent: the ends are a factor of 4 apart at least, or 0 is between."""
+        if even:
+            return False
+        return self.low <= 0 <= self.high or max(abs(self.low), abs(self.high)) > 4 * min(abs(self.low), abs(self.high))
 
 
 def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -58,25 +62,15 @@ def _key_matches(keys: Sequence[str], key: tuple) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def _bracket_table(spark, long: DataFrame, keys: Sequence[str], items: Sequence[Wanted]) -> DataFrame:
+def _bracket_table(long: DataFrame, keys: Sequence[str], brackets: Sequence[Bracket], even: bool) -> DataFrame:
     schema = T.StructType(
         [T.StructField(f"_k_{k}", long.schema[k].dataType) for k in keys]
-        + [
-            T.StructField("_item", T.IntegerType(), False),
-            T.StructField("_name", T.StringType(), False),
-            T.StructField("_low_rank", T.LongType(), False),
-            T.StructField("_high_rank", T.LongType(), False),
-            T.StructField("_fraction", T.DoubleType(), False),
-            T.StructField("_lower", T.DoubleType()),
-            T.StructField("_upper", T.DoubleType()),
-            T.StructField("_below", T.LongType(), False),
-        ]
+        + [T.StructField("_bracket", T.IntegerType(), False)]
+        + [T.StructField(c, T.DoubleType()) for c in ("_low", "_high")]
+        + [T.StructField("_by_exponent", T.BooleanType(), False)]
     )
-    rows = [
-        (*w.key, i, w.name, w.low_rank, w.high_rank, w.fraction, w.lower, w.upper, w.below)
-        for i, w in enumerate(items)
-    ]
-    return literal_table(spark, rows, schema)
+    rows = [(*b.key, i, b.low, b.high, b.by_exponent(even)) for i, b in enumerate(brackets)]
+    return literal_table(long.sparkSession, rows, schema)
 
 
 def _join_on(keys: Sequence[str]) -> Column:
@@ -84,79 +78,43 @@ def _join_on(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def _within(value: Column) -> Column:
-    above_lower = F.col("_lower").isNull() | (value >= F.col("_lower"))
-    below_upper = F.col("_upper").isNull() | (value <= F.col("_upper"))
-    return above_lower & below_upper
+def _inside(long: DataFrame, keys: Sequence[str], brackets: DataFrame) -> DataFrame:
+    """Rows of ``long`` once for each bracket that holds them; brackets of a group don't overlap."""
+    return long.join(brackets, _join_on(keys)).where(F.col("value").between(F.col("_low"), F.col("_high")))
 
 
-def _narrow(item: Wanted, n_inside: int, grid: Sequence[float], margin: int) -> Wanted:
-    """Step in from the current bracket to the grid cells around the wanted ranks."""
-    steps = max(n_inside - 1, 1)
-    first = math.floor((item.low_rank - item.below) / steps * _GRID_STEPS) - margin
-    last = math.ceil((item.high_rank - item.below) / steps * _GRID_STEPS) + margin
-    return replace(
-        item,
-        lower=item.lower if first <= 0 else float(grid[first]),
-        upper=item.upper if last >= _GRID_STEPS else float(grid[last]),
-    )
+def _cell(cells: int) -> Column:
+    """A number that never falls as the value rises, and differs for the two ends of a bracket."""
+    value, low, high = F.col("value"), F.col("_low"), F.col("_high")
+    exponent = F.floor(F.log2(F.abs(value))) + _EXPONENTS
+    signed = F.when(value == 0, F.lit(0)).when(value > 0, exponent).otherwise(-exponent)
+    even = F.least(F.floor((value - low) / (high - low) * cells), F.lit(cells - 1))
+    return F.when(F.col("_by_exponent"), signed).otherwise(even)
 
 
-def _guess_uniform(item: Wanted, n: int, span: float) -> Wanted:
-    """A bracket around the wanted ranks if the values were spread evenly over ``[0, span)``."""
-    slack = 8.0 * math.sqrt(item.high_rank + 1.0) + 8.0
-    return replace(
-        item,
-        lower=max(0.0, (item.low_rank - slack) / n * span),
-        upper=min(span, (item.high_rank + 1 + slack) / n * span),
+def _ranked_cells(cells: DataFrame, brackets: Sequence[Bracket], ranks: Sequence[tuple[int, int]], order: str) -> DataFrame:
+    """The rows of ``cells`` (_bracket, order, _count, ...) that hold ``ranks`` (bracket, rank in the group), with ``_rank``, the
+    place in ``ranks``, and ``_since``, how many of the group come before."""
+    wanted = literal_table(
+        cells.sparkSession, [(b, i, r, brackets[b].below) for i, (b, r) in enumerate(ranks)],
+        "_bracket int, _rank int, _position long, _below long",
     )
+    upto = F.sum("_count").over(Window.partitionBy("_bracket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = cells.withColumn("_upto", upto).join(wanted, "_bracket").withColumn("_since", F.col("_below") + F.col("_upto") - F.col("_count"))
+    return placed.where((F.col("_since") <= F.col("_position")) & (F.col("_position") < F.col("_since") + F.col("_count")))
 
 
-def _refine(
-    long: DataFrame, keys: Sequence[str], items: list[Wanted], guesses: dict[int, Wanted], limit: int
-) -> list[Wanted]:
-    """Narrow the brackets until each holds at most ``limit`` distinct values.
-
-    A bracket counts only once an exact count has confirmed it; after a miss the search
-    goes on from the last confirmed one with a wider margin.
-    """
-    settled: dict[int, Wanted] = {}
-    confirmed = dict(enumerate(items))
-    tried = {**confirmed, **guesses}
-    margin = dict.fromkeys(tried, 1)
-    while tried:
-        order = list(tried)
-        brackets = _bracket_table(long.sparkSession, long, keys, [tried[i] for i in order])
-        value = F.col("value")
-        counted = (
-            long.join(brackets, _join_on(keys))
-            .withColumn("_in", _within(value))
-            .groupBy("_item")
-            .agg(
-                F.count_if(~F.col("_in") & F.col("_lower").isNotNull() & (value < F.col("_lower"))).alias("below"),
-                F.count_if("_in").alias("inside"),
-                F.approx_count_distinct(F.when(F.col("_in"), value)).alias("distinct_inside"),
-                F.percentile_approx(F.when(F.col("_in"), value), _GRID, _ACCURACY).alias("grid"),
-            )
-            .collect()
-        )
-        proposals: dict[int, Wanted] = {}
-        for row in counted:
-            i = order[row["_item"]]
-            item, inside = replace(tried[i], below=row["below"]), row["inside"]
-            if item.low_rank < item.below or item.high_rank >= item.below + inside:
-                margin[i] *= 8
-                proposals[i] = confirmed[i]
-                continue
-            confirmed[i] = item
-            narrowed = _narrow(item, inside, row["grid"], margin[i])
-            unchanged = (narrowed.lower, narrowed.upper) == (item.lower, item.upper)
-            if row["distinct_inside"] <= limit or unchanged:
-                settled[i] = item
-            else:
-                proposals[i] = narrowed
-        tried = proposals
-    return [settled[i] for i in range(len(items))]
+def _narrowed(long: DataFrame, keys: Sequence[str], brackets: list[Bracket], ranks: list[tuple[int, int]], even: bool) -> list[Bracket]:
+    """The cell of each of ``ranks`` (bracket, rank in the group), as a bracket."""
+    table = _bracket_table(long, keys, brackets, even)
+    cells = (
+        _inside(long, keys, table).groupBy("_bracket", _cell(_FINE_CELLS if even else _CELLS).alias("_cell"))
+        .agg(F.count("value").alias("_count"), F.min("value").alias("_least"), F.max("value").alias("_most"))
+    )
+    out: dict[int, Bracket] = {}
+    for r in _ranked_cells(cells, brackets, ranks, "_cell").collect():
+        out[r["_rank"]] = Bracket(brackets[r["_bracket"]].key, r["_least"], r["_most"], r["_since"], r["_count"])
+    return [out[i] for i in range(len(ranks))]
 
 
 def locate(
@@ -164,74 +122,72 @@ def locate(
     keys: Sequence[str],
     wanted: Callable[[Row, int], Sequence[tuple[str, float]]],
     limit: int = IN_BRACKET_LIMIT,
-    uniform_span: float | None = None,
+    even: bool = False,
 ) -> DataFrame:
     """Exact values at wanted positions of each group of ``long(keys..., value)``.
 
     ``wanted(group, n)`` names 0-based positions among the group's ``n`` values; a
     fractional position is interpolated between its neighbours. Returns
-    ``(keys..., name, n, value, n_before, n_equal)`` where the last two count the
+    ``(keys..., name, value, n_before, n_equal)`` where the last two count the
     rows before and at the (lower) position. Group keys must be few: one row each
-    is brought to the driver. ``uniform_span`` says that values should lie evenly in
-    ``[0, span)``, as hashes do; it only saves passes, the result never depends on it.
+    is brought to the driver. ``even`` says that values should be spread evenly over their range,
+    as hashes are; it only saves passes, the result never depends on it.
     """
     value = F.col("value")
     key_columns = [F.col(f"`{k}`") for k in keys]
-    small: list[Wanted] = []
-    large: list[Wanted] = []
-    guesses: dict[int, Wanted] = {}
-    for group in long.groupBy(*key_columns).agg(F.count("value").alias("_n")).collect():
+    held: dict[tuple[tuple, int], Bracket] = {}
+    items: list[tuple[tuple, str, int, int, float]] = []
+    for group in long.groupBy(*key_columns).agg(F.count("value").alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high")).collect():
         n = group["_n"]
         key = tuple(group[k] for k in keys)
         for name, position in wanted(group, n) if n else ():
             low = min(max(math.floor(position), 0), n - 1)
             high = min(max(math.ceil(position), 0), n - 1)
-            item = Wanted(key, name, low, high, position - math.floor(position))
-            if n <= limit:
-                small.append(item)
-                continue
-            if uniform_span:
-                guesses[len(large)] = _guess_uniform(item, n, uniform_span)
-            large.append(item)
-    if large:
-        large = _refine(long, keys, large, guesses, limit)
-
-    items = small + large
-    table = _bracket_table(long.sparkSession, long, keys, items)
-    if large:
-        # One copy of each value per bracket that holds it; far fewer rows than the input.
-        cells = long.join(table, _join_on(keys)).where(_within(value)).groupBy(*key_columns, "_item", "value").count()
-        by = ["_item"]
-    else:
-        cells = long.groupBy(*key_columns, "value").count()
-        by = []
-    ordered = Window.partitionBy(*key_columns, *by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("_to", F.sum("count").over(ordered))
-    if large:
-        placed = cells.join(table.select("_item", "_name", "_low_rank", "_high_rank", "_fraction", "_below"), "_item")
-    else:
-        placed = cells.join(table, _join_on(keys))
-    upto = F.col("_to") + F.col("_below")
-    since = upto - F.col("count")
-    at_low = (since <= F.col("_low_rank")) & (F.col("_low_rank") < upto)
-    at_high = (since <= F.col("_high_rank")) & (F.col("_high_rank") < upto)
-    picked = (
-        placed.where(at_low | at_high)
-        .groupBy(*key_columns, "_name", "_fraction")
-        .agg(
-            F.max(F.when(at_low, value)).alias("_low"),
-            F.max(F.when(at_high, value)).alias("_high"),
-            F.max(F.when(at_low, since)).alias("n_before"),
-            F.max(F.when(at_low, F.col("count"))).alias("n_equal"),
+            items.append((key, name, low, high, position - math.floor(position)))
+            for rank in (low, high):
+                held[key, rank] = Bracket(key, group["_low"], group["_high"], 0, n)
+
+    narrowed = False
+    while open_ranks := [at for at, b in held.items() if b.count > limit and b.low < b.high]:
+        brackets = list(dict.fromkeys(held[at] for at in open_ranks))
+        number = {b: i for i, b in enumerate(brackets)}
+        ranks = [(number[held[at]], at[1]) for at in open_ranks]
+        held.update(zip(open_ranks, _narrowed(long, keys, brackets, ranks, even)))
+        narrowed = True
+
+    told = T.StructType(
+        [T.StructField("_item", T.IntegerType(), False), T.StructField("_upper", T.BooleanType(), False), T.StructField("value", T.DoubleType())]
+        + [T.StructField(c, T.LongType(), False) for c in ("_since", "_count")]
+    )
+    ends = [(i, upper, held[key, rank], rank) for i, (key, _, low, high, _) in enumerate(items) for upper, rank in ((False, low), (True, high))]
+    found = literal_table(long.sparkSession, [(i, u, b.low, b.below, b.count) for i, u, b, _ in ends if b.low == b.high], told)
+    ranked = [e for e in ends if e[2].low != e[2].high]
+    if ranked:
+        brackets = list(dict.fromkeys(b for _, _, b, _ in ranked))
+        number = {b: i for i, b in enumerate(brackets)}
+        table = _bracket_table(long, keys, brackets, even)
+        if narrowed:
+            cells = _inside(long, keys, table).groupBy("_bracket", "value").agg(F.count("value").alias("_count"))
+        else:  # whole groups: rows are counted before anything is joined
+            counted = long.where(value.isNotNull()).groupBy(*key_columns, "value").agg(F.count("value").alias("_count"))
+            cells = counted.join(table, _join_on(keys)).select("_bracket", "value", "_count")
+        names = literal_table(
+            long.sparkSession, [(r, i, u) for r, (i, u, _, _) in enumerate(ranked)], "_rank int, _item int, _upper boolean"
         )
+        placed = _ranked_cells(cells, brackets, [(number[b], rank) for _, _, b, rank in ranked], "value").join(names, "_rank")
+        found = found.unionByName(placed.select("_item", "_upper", "value", "_since", "_count"))
+
+    schema = T.StructType(
+        [T.StructField("_item", T.IntegerType(), False), T.StructField("name", T.StringType(), False), T.StructField("_fraction", T.DoubleType(), False)]
+        + [T.StructField(k, long.schema[k].dataType) for k in keys]
     )
-    return picked.select(
-        *key_columns,
-        F.col("_name").alias("name"),
-        (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_fraction")).alias("value"),
-        "n_before",
-        "n_equal",
+    asked = literal_table(long.sparkSession, [(i, name, fraction, *key) for i, (key, name, _, _, fraction) in enumerate(items)], schema)
+    pairs = found.groupBy("_item").agg(
+        F.max(F.when(~F.col("_upper"), value)).alias("_low"), F.max(F.when(F.col("_upper"), value)).alias("_high"),
+        F.max(F.when(~F.col("_upper"), F.col("_since"))).alias("n_before"), F.max(F.when(~F.col("_upper"), F.col("_count"))).alias("n_equal"),
     )
+    between = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_fraction"))
+    return pairs.join(asked, "_item").select(*key_columns, "name", between.alias("value"), "n_before", "n_equal")
 
 
 def exact_quantiles(
@@ -337,8 +293,7 @@ def order_cuts(
         def positions(group, n, waiting=waiting):
             return [("cut", min(waiting[group["stratum"]].ties, n) - 1)]
 
-        span = HASH_SPAN if column.startswith("_order") else None
-        for row in locate(long, ["stratum"], positions, limit, span).collect():
+        for row in locate(long, ["stratum"], positions, limit, even=column.startswith("_order")).collect():
             cut = open_cuts.pop(row["stratum"])
             step = OrderCut(
                 (*cut.path, (column, row["value"])), cut.ties - row["n_before"], row["n_equal"]

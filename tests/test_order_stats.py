@@ -39,6 +39,44 @@ def test_bracket_path_equals_direct_path_on_constant_and_tiny_groups(spark):
         assert {(r["g"], r["m"]) for r in rows} == {("x", 7.0), ("y", 1.0)}
 
 
+def hard_values():
+    """Values of all sizes and signs, neighbours that differ in the last bit, and a value that a third of the rows have."""
+    rng = np.random.default_rng(9)
+    wide = np.concatenate([rng.normal(size=150) * 10.0 ** rng.integers(-300, 300, 150), [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308]])
+    close = [1.0]
+    for _ in range(300):
+        close.append(float(np.nextafter(close[-1], 2)))
+    return {"wide": wide.tolist(), "close": close, "hot": [3.5] * 200 + list(range(400)), "one": [2.0] * 50, "two": [1.0] * 90 + [np.nextafter(1.0, 2)] * 90}
+
+
+@pytest.mark.parametrize("even", [False, True])
+def test_ranks_of_hard_values_in_a_few_passes(spark, monkeypatch, even):
+    groups = hard_values()
+    if even:
+        del groups["wide"]  # even cells are for values of one size
+    long = spark.createDataFrame([(g, float(v)) for g, values in groups.items() for v in values] + [("hot", None)], "g string, value double")
+    passes, whole = [], order_stats._narrowed
+    monkeypatch.setattr(order_stats, "_narrowed", lambda *a: passes.append(a) or whole(*a))
+    at = [0, 1, 0.25, 0.5, 0.515, 0.75]
+    found = order_stats.locate(long, ["g"], lambda _, n: [(str(q), q * (n - 1)) for q in at], 3, even).collect()
+    assert len(found) == len(groups) * len(at) and 0 < len(passes) <= 8
+    for row in found:
+        values = np.sort(groups[row["g"]])
+        position = float(row["name"]) * (len(values) - 1)
+        low, high = values[int(np.floor(position))], values[int(np.ceil(position))]
+        assert row["value"] == (low if low == high else low + (high - low) * (position - np.floor(position)))
+        assert (row["n_before"], row["n_equal"]) == ((values < low).sum(), (values == low).sum())
+
+
+def test_rows_meet_a_bracket_once_for_all_quantiles(spark, monkeypatch):
+    """Wanted ranks in one bracket share it: the first pass joins each group's rows to one bracket."""
+    seen, whole = [], order_stats._narrowed
+    monkeypatch.setattr(order_stats, "_narrowed", lambda long, keys, brackets, *a: seen.append(len(brackets)) or whole(long, keys, brackets, *a))
+    df = spark.range(3000).select((F.col("id") % 997).cast("double").alias("a"), F.col("id").cast("double").alias("b"))
+    order_stats.exact_quantiles(df, ["a", "b"], {str(i): i / 20 for i in range(21)}, limit=40).collect()
+    assert seen[0] == 2
+
+
 @pytest.mark.parametrize("limit", [10**6, 20])
 @pytest.mark.parametrize("size", [1, 37, 2000, 2001, 5999])
 def test_order_cut_takes_exactly_the_first_rows(spark, size, limit):
