@@ -40,6 +40,8 @@ WORD_START, WORD_END = f"(?<!{_INNER})(?<!{_INNER}{_JOINT})", f"(?!{_JOINT}?{_IN
 EDGE = r"[\p{L}\p{M}\p{N}'\u2019\u2010-]+"
 #: Code points of a context on either side of an entity.
 REACH = 48
+#: Matches of a text that are placed one after the other; longer lists are placed chunk by chunk.
+CHUNK = 256
 
 SPANS = "array<struct<start:int,kind_no:int,kind:string,end:int,value:string>>"
 
@@ -86,25 +88,59 @@ def _whole_words(part: Column, at_end: Column, left: bool) -> Column:
     return F.regexp_replace(near, f"{EDGE}$" if left else f"^{EDGE}", "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once; an expression inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chunk(items: Column, number: Column) -> Column:
+    return F.slice(items, number * CHUNK + 1, F.lit(CHUNK))
+
+
+def _running(items: Column, start: Column, total, merge, empty: Column, add) -> Column:
+    """What ``add`` appends to ``empty`` along ``items``, one list for all, in time that is linear in their number.
+
+    The state in front of each chunk comes from ``total`` of the chunks before, put together by ``merge`` from ``start`` on; only
+    inside a chunk lists are appended to, each time as a whole. ``add`` takes and returns a struct of ``at`` and ``out``.
+    """
+    chunks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / CHUNK).cast("int"), F.lit(0)))
+
+    def walked(totals: Column) -> Column:
+        def of_chunk(_, c: Column) -> Column:
+            before = F.aggregate(F.slice(totals, F.lit(1), c), start, merge)
+            return F.aggregate(_chunk(items, c), F.struct(before.alias("at"), empty.alias("out")), add)["out"]
+
+        return F.flatten(F.transform(totals, of_chunk))
+
+    return _let(F.transform(chunks, lambda c: total(_chunk(items, c))), walked)
+
+
 def _located(parts: Column, found: Column) -> Column:
     """Spans of the matches ``found`` that stand between ``parts``, with the text around each."""
-    steps = F.transform(
-        parts,
-        lambda p, i: F.struct(
-            F.char_length(p).alias("gap"), F.get(found, i).alias("value"), _whole_words(p, i == 0, left=True).alias("left"),
-            _whole_words(F.get(parts, i + 1), i + 2 == F.size(parts), left=False).alias("right"),
-        ),
-    )
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
 
-    def add(acc, x):
+    def steps(z: Column) -> Column:
+        return F.transform(
+            z["parts"],
+            lambda p, i: F.struct(
+                F.char_length(p).alias("gap"), F.get(z["found"], i).alias("value"),
+                F.coalesce(F.char_length(F.get(z["found"], i)), F.lit(0)).alias("length"), _whole_words(p, i == 0, left=True).alias("left"),
+                _whole_words(F.get(z["parts"], i + 1), i + 2 == F.size(z["parts"]), left=False).alias("right"),
+            ),
+        )
+
+    def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        end = start + F.coalesce(F.char_length(x["value"]), F.lit(0))
+        end = start + x["length"]
         span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"))
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add)
-    return F.filter(walked["spans"], lambda s: s["value"].isNotNull())
+    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
+    size = lambda some: F.aggregate(some, F.lit(0), lambda a, x: a + x["gap"] + x["length"])
+    walked = _let(
+        _let(F.struct(parts.alias("parts"), found.alias("found")), steps),
+        lambda s: _running(s, F.lit(0), size, lambda a, t: a + t, empty, add),
+    )
+    return F.filter(walked, lambda s: s["value"].isNotNull())
 
 
 def _key(text: Column) -> Column:
@@ -112,10 +148,10 @@ def _key(text: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """``(doc_id, key, base, contexts[, text])``: the pattern spans of each row and the text around them.
+    """``(doc_id, row, key, base, contexts[, text])``: the pattern spans of each row and the text around them.
 
-    ``base`` is ordered by start and kind; ``contexts`` has the entity and its surroundings. ``key`` names the
-    text. Null texts are empty.
+    ``base`` is ordered by start and kind; ``contexts`` has the entity and its surroundings. ``row`` is a number of the row,
+    to be written before it is used, and ``key`` names the text. Null texts are empty. Time is linear in a text's matches.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -147,7 +183,7 @@ def base_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         )
 
     return df.select(
-        "doc_id", _key(F.col("text")).alias("key"),
+        "doc_id", F.monotonically_increasing_id().alias("row"), _key(F.col("text")).alias("key"),
         F.array_sort(F.concat(*[of_kind(i, k) for i, k in enumerate(KINDS)])).alias("base"),
         F.concat(*[around(k) for k in KINDS]).alias("contexts"), *(["text"] if keep_text else []),
     )
@@ -166,8 +202,8 @@ def disclosing_terms(
     All counts are numbers of rows of ``docs``, over the whole corpus.
     """
     near = settle(
-        spans.where(F.size("contexts") > 0).select("doc_id", "key", F.explode("contexts").alias("c")).select(
-            F.col("c.entity").alias("entity"), F.xxhash64("doc_id", "key.hash", "key.bytes").alias("row"),
+        spans.where(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c")).select(
+            F.col("c.entity").alias("entity"), "row",
             F.xxhash64("c.left", "c.right").alias("context"),
             _words(F.concat(F.col("c.left"), F.lit("\n \n"), F.col("c.right"))).alias("terms"),
         ),
@@ -214,7 +250,10 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
         ),
         "terms-of-texts",
     )
-    named = texts.withColumn("key", _key(F.col("text"))).join(by_text, "key")
+    # copies of a text are one before it is searched
+    named = texts.withColumn("key", _key(F.col("text"))).join(by_text, "key").groupBy("key").agg(
+        *[F.first(c).alias(c) for c in ("text", "pattern", "actions")]
+    )
     found = named.withColumn("m", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
     spans = F.transform(
         _located(F.split("text", F.col("pattern"), -1), F.col("m")),
@@ -224,7 +263,7 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
             s["end"].alias("end"), s["value"].alias("value"),
         ),
     )
-    return found.select("key", spans.alias("found")).groupBy("key").agg(F.first("found").alias("found"))
+    return found.select("key", spans.alias("found"))
 
 
 def number_of(kind: str, spans: Column) -> Column:
@@ -241,17 +280,16 @@ def redacted(text: Column, spans: Column) -> Column:
     Spans are ordered by start; one that begins inside another before it is part of that one.
     """
 
-    def add(acc, s):
+    def add(acc: Column, s: Column) -> Column:
         outside = s["start"] >= acc["at"]
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         label = F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(outside, F.concat(acc["out"], gap, label)).otherwise(acc["out"]).alias("out"),
-        )
+        piece = F.when(outside, F.concat(gap, label)).otherwise("")
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], piece).alias("out"))
 
-    walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
-    return F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.char_length(text)))
+    last = lambda some: F.aggregate(some, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+    pieces = _let(spans, lambda z: _running(z, F.lit(0), last, lambda a, t: F.greatest(a, t), F.array().cast("array<string>"), add))
+    return F.concat(F.array_join(pieces, ""), F.substring(text, last(spans) + 1, F.char_length(text)))
 
 
 def sanitise(

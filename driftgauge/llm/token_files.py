@@ -22,6 +22,8 @@ from driftgauge.llm.tokens import PieceMemory, values_of
 from driftgauge.session import settle
 
 END_ID = 1
+#: In place of a number of tokens: the row holds how often its task has met each id.
+COUNTS = -1
 #: Byte lengths of the four ranks behind each control byte; the first rank has the low bits.
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1
 
@@ -48,7 +50,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _id_memory(path: str) -> PieceMemory:
     return kept_in_worker(
-        ("token ids", path), lambda: PieceMemory(path, lambda ids: ids.tobytes(), b"".join, tail="</w>")
+        ("token ids", path), lambda: PieceMemory(path, lambda ids: ids.tobytes(), b"".join, tail="</w>", limit=400_000)
     )
 
 
@@ -60,13 +62,18 @@ def _tokenize(path: str, end_id: int):
     def run(batches):
         memory = _id_memory(path)
         end, codec = np.asarray([end_id], "<u4").tobytes(), pa.Codec("zstd", 1)
+        total = np.zeros(1, np.int64)
         for batch in in_pieces(batches, "text", 1 << 20):
             texts = [_folded(t).split() for t in batch.column("text").to_pylist()]
             ids = [b"".join(v) + end for v in values_of(memory, texts)]
+            found = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(total))
+            found[: len(total)] += total
+            total = found
             yield table_of(
                 out, doc_id=batch.column("doc_id"), n_tokens=[len(i) // 4 for i in ids],
                 ids=[codec.compress(i, asbytes=True) for i in ids],
             )
+        yield table_of(out, doc_id=[None], n_tokens=[COUNTS], ids=[total.astype("<i8").tobytes()])
 
     return run
 
@@ -79,12 +86,13 @@ def _ids(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd"), "<u4")
 
 
-def _count_ids(batches):
+def _added(batches):
+    """The sum of tasks' counts of ids, for those that occur."""
     out = pa.schema([("id", pa.int64()), ("n", pa.int64())])
     total = np.zeros(1, np.int64)
     for batch in batches:
-        for blob, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist()):
-            found = np.bincount(_ids(blob, n))
+        for blob in batch.column("ids").to_pylist():
+            found = np.frombuffer(blob, "<i8")
             if len(found) > len(total):
                 total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
             total[: len(found)] += found
@@ -156,14 +164,14 @@ def write_tokens(
         ),
         "token-ids",
     )
-    counts = encoded.select("n_tokens", "ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.where(F.col("n_tokens") == COUNTS).select("ids").mapInArrow(_added, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     book = [r.id for r in sorted(counts.collect(), key=lambda r: (-r.n, r.id))]
     spark.createDataFrame(
         pa.table({"rank": pa.array(range(len(book)), pa.int64()), "id": pa.array(book, pa.int64())}),
         "rank long, id long",
     ).coalesce(1).write.parquet(f"{path}/codebook")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(parts, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(
+    ordered = encoded.where(F.col("n_tokens") != COUNTS).repartitionByRange(parts, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_last(), "n_tokens", "ids"
     )
     blocks = ordered.mapInArrow(_write_blocks(np.asarray(book, np.int64), block_ids), BLOCKS)

@@ -537,3 +537,70 @@ def test_many_items_of_one_window_are_not_listed_place_by_place():
 def test_vocabularies_of_any_size_are_told_apart():
     words = np.random.default_rng(5).integers(1, 1 << 31, (1000, 3)).astype(np.uint64)
     assert len(np.unique(decontaminate._head_hash(words, 3))) == 1000
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 600])
+def test_spans_of_many_matches_are_placed_right(spark, n):
+    text = "é " + " ü, ".join(f"a{i}@example.org" for i in range(n)) + " end"
+    row = disclosure.base_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(b.start, b.kind_no, b.kind, b.end) for b in row.base] == brute.base_spans(text)
+    spans = [{"start": b.start, "kind_no": 0, "kind": "removed" if i % 3 else "email", "end": b.end, "value": b.value} for i, b in enumerate(row.base)]
+    df = spark.createDataFrame([(text, spans)], f"text string, spans {disclosure.SPANS}")
+    expected, at = "", 0
+    for s in spans:
+        expected += text[at : s["start"]] + ("[EMAIL]" if s["kind"] == "email" else "")
+        at = s["end"]
+    assert df.select(disclosure.redacted(F.col("text"), F.col("spans"))).first()[0] == expected + text[at:]
+    assert spark.createDataFrame([("none", [])], f"text string, spans {disclosure.SPANS}").select(disclosure.redacted(F.col("text"), F.col("spans"))).first()[0] == "none"
+
+
+def test_fifty_thousand_matches_in_one_text_take_seconds(spark):
+    import time
+
+    text = " ".join(f"person{i}@example.org" for i in range(50_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    disclosure.base_spans(df.where("false")).collect()
+    began = time.time()
+    assert disclosure.base_spans(df).select(F.size("base")).first()[0] == 50_000
+    assert time.time() - began < 20
+
+
+def plain_disclosing_terms(rows, support=2, generalise=0.9, remove=0.98):
+    """{term: (disclosure, action)} of (doc_id, text) rows whose entities are e-mail addresses between blanks."""
+    total = len(rows)
+    near, entities, terms = {}, {}, {}
+    for row, (_, text) in enumerate(rows):
+        words = (text or "").split(" ")
+        for w in {w.lower() for w in words if w and "@" not in w}:
+            terms.setdefault(w, set()).add(row)
+        for i, w in enumerate(words):
+            if "@" in w:
+                entities.setdefault(w.lower(), set()).add(row)
+                left, right = " ".join(words[:i]), " ".join(words[i + 1 :])
+                for t in {t.lower() for t in (*words[:i], *words[i + 1 :]) if t}:
+                    held = near.setdefault((w.lower(), t), (set(), set()))
+                    held[0].add(row)
+                    held[1].add((left, right))
+    out = {}
+    for (entity, term), (both, contexts) in near.items():
+        p = len(entities[entity]) / total
+        if len(contexts) >= support and (len(term) >= 3 or len(both) >= support) and p < 1:
+            told = math.log2(min(1.0, len(both) / len(terms[term])) / p) / -math.log2(p)
+            if told >= generalise and told > out.get(term, (0, ""))[0]:
+                out[term] = (told, "remove" if told >= remove else "generalise")
+    return out
+
+
+def test_disclosing_terms_are_the_plain_ones(spark):
+    """Rows, repeated ones too, are counted one by one in every count."""
+    rng = random.Random(4)
+    filler = [f"word{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choices(filler, k=4))) for i in range(40)]
+    rows += [(100 + i, f"{rng.choice(filler)} zorblax ann@example.org {rng.choice(filler)}") for i in range(4)]
+    rows += [(200 + i, f"{rng.choice(filler)} mostly bob@example.org") for i in range(5)] + [(300, "mostly alone"), (301, None)]
+    rows += [rows[40]] * 3 + [(None, "zorblax ann@example.org")] + [(300, "mostly alone")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    base = disclosure.sanitise.__globals__["settle"](disclosure.base_spans(docs), "spans")
+    got = {r.term: (pytest.approx(r.disclosure), r.action) for r in disclosure.disclosing_terms(docs, base).collect()}
+    expected = plain_disclosing_terms(rows)
+    assert expected == got and "zorblax" in got
