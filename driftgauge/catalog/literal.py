@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from driftgauge.catalog import detectors
@@ -136,6 +137,53 @@ def literal_contributors(spark, sf_dir):
     )
 
 
+_FOREST_SCORE = """((CASE WHEN q <= 25 THEN 0.1e0 WHEN e <= 30000 THEN 0.4e0 ELSE 0.9e0 END)
+  + (CASE WHEN e <= 40000 THEN 0.2e0 ELSE 0.7e0 END)) / 2"""
+_REPEATS, _SEED, _ATTACK_SCORE = 3, 7, 0.35
+_TRIALS = ", ".join(str((f, *explain.seat_permutation(i, r, _SEED))) for i, f in enumerate(PAIR) for r in range(_REPEATS))
+
+
+class _WrittenForest:
+    """The two trees of ``FOREST`` as a detector."""
+
+    features, medians = PAIR, {f: 0.0 for f in PAIR}
+
+    def score_vectors(self, df, vector, column):
+        x = vector_to_array(F.col(vector))
+        pair = df.withColumns({"q": x[0], "e": x[1]})
+        return pair.withColumn(column, F.expr(_FOREST_SCORE)).drop("q", "e", vector)
+
+
+@query(
+    "literal_permutation_importance",
+    rounded(
+        f"""WITH s AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS seat, count(*) OVER () AS n,
+              l_quantity AS q, l_extendedprice AS e, l_returnflag = 'R' AS y FROM lineitem),
+            t(feature, a, b) AS (VALUES {_TRIALS}),
+            m AS (SELECT t.feature, t.a, s.y, CASE WHEN t.feature = 'l_quantity' THEN g.q ELSE s.q END AS q,
+                    CASE WHEN t.feature = 'l_quantity' THEN s.e ELSE g.e END AS e
+                  FROM t CROSS JOIN s AS g JOIN s ON s.seat = (t.a::BIGINT * g.seat + t.b) % g.n
+                  UNION ALL SELECT 'none', 0, y, q, e FROM s),
+            c AS (SELECT feature, a, count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE y <> p) AS wrong
+                  FROM (SELECT *, {_FOREST_SCORE} >= {_ATTACK_SCORE} AS p FROM m) GROUP BY 1, 2),
+            f AS (SELECT feature, coalesce(2 * tp / nullif(2 * tp + wrong, 0), 0) AS f1 FROM c)
+            SELECT feature, avg(b.f1 - f.f1) AS importance, stddev_pop(b.f1 - f.f1) AS spread
+            FROM f, (SELECT f1 FROM f WHERE feature = 'none') AS b WHERE feature <> 'none' GROUP BY 1""",
+        "importance", "spread",
+    ),
+)
+def literal_permutation_importance(spark, sf_dir):
+    """Values trade places by an exchange of seats that SQL states too."""
+    attack = (F.col("l_returnflag") == "R").cast("int")
+    rows = table(spark, sf_dir, "lineitem").withColumn("label_binary", attack)
+    found = explain.permutation_importance(
+        _WrittenForest(), rows, "l_orderkey", _ATTACK_SCORE, repeats=_REPEATS, seed=_SEED, seats=[F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    )
+    return found.select(
+        "feature", F.col("permutation_importance_mean").alias("importance"), F.col("permutation_importance_std").alias("spread")
+    )
+
+
 @query(
     "forest_facts",
     """SELECT 4::BIGINT AS features, 1.0::DOUBLE AS importance_sum, 0::BIGINT AS negative, 0::BIGINT AS not_additive,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgauge.functions.numeric import finite, order_hash
-from driftgauge.session import literal_table
+from driftgauge.session import literal_table, settle
 
 IN_BRACKET_LIMIT = 1_000_000
 #: Cells of an even pass: ten bits of what doubles of one exponent differ in.
@@ -313,6 +313,22 @@ def content_order(df: DataFrame, columns: Sequence[str] | None = None, seed: int
     )
 
 
+def numbered(df: DataFrame, order: Sequence[Column], column: str) -> DataFrame:
+    """``df`` with each row's place from 0 in ``order``, without one task for all rows.
+
+    Rows are dealt out by ranges of the order; a row's place is its number in its task and the number of rows in the
+    tasks before, one number for each task. Rows equal in the order are numbered in any way, and written once.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed = settle(dealt.withColumn("_part", F.shiftright("_place", 33)), "numbered-rows")
+    seen = placed.groupBy("_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_here"))
+    before = F.sum("_here").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = seen.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(shifts, "_part").withColumn(column, F.col("_place") + F.col("_shift")).drop("_part", "_place", "_shift")
+
+
 def copies(collapsed: DataFrame, count: str, chunk: int = 100_000) -> DataFrame:
     """Repeat each row ``count`` times, spreading one row's copies over many tasks."""
     keep = [F.col(f"`{c}`") for c in collapsed.columns if c != count]

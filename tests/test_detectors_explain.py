@@ -292,3 +292,49 @@ def test_forest_facts_see_every_row(spark, monkeypatch):
     assert QUERIES["forest_facts"](spark, folder).first()["not_additive"] > rows // 2
     monkeypatch.setattr(explain, "forest_contributions", lambda d, v: whole(d, v).where(~others))
     assert QUERIES["forest_facts"](spark, folder).first()["explained"] < rows // 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 97, 4096, 99_991])
+def test_seats_are_exchanged_one_to_one(n):
+    seen = set()
+    for feature, repeat in ((0, 0), (3, 1), (7, 4)):
+        a, b = explain.seat_permutation(feature, repeat, 42)
+        assert all(a % k for k in range(2, 2000)) and (a, b) == explain.seat_permutation(feature, repeat, 42)
+        seats = (a * np.arange(n, dtype=np.int64) + b) % n
+        assert len(np.unique(seats)) == n
+        seen.add(tuple(seats[:50].tolist()))
+    assert n < 97 or len(seen) == 3
+
+
+def test_permutation_importance_of_a_plain_loop(spark):
+    """A score that is one feature: trading its values costs what a plain loop says, trading the other costs nothing."""
+    from pyspark.ml.functions import vector_to_array
+
+    class First:
+        features, medians = ("a", "b"), {"a": 0.0, "b": 0.0}
+
+        def score_vectors(self, df, vector, column):
+            return df.withColumn(column, vector_to_array(F.col(vector))[0])
+
+    rng = np.random.default_rng(2)
+    a, noise = rng.random(500), rng.random(500)
+    y = ((a + 0.3 * noise) > 0.6).astype(int)
+    rows = [(int(i), float(u), float(v), int(t)) for i, u, v, t in zip(rng.permutation(500), a, noise, y)]
+    df = spark.createDataFrame(rows, "key long, a double, b double, label_binary int").repartition(5)
+    got = {r["feature"]: r for r in explain.permutation_importance(First(), df, "key", 0.5, repeats=4, seed=3, seats=[F.col("key")]).collect()}
+    by_key = sorted(rows)
+    x, t = np.asarray([r[1] for r in by_key]), np.asarray([r[3] for r in by_key])
+
+    def f1(p):
+        tp = (p & (t == 1)).sum()
+        return 2 * tp / (2 * tp + (p != (t == 1)).sum())
+
+    losses = []
+    for r in range(4):
+        m, c = explain.seat_permutation(0, r, 3)
+        new = np.empty(500)
+        new[(m * np.arange(500) + c) % 500] = x
+        losses.append(f1(x >= 0.5) - f1(new >= 0.5))
+    assert got["a"]["permutation_importance_mean"] == pytest.approx(np.mean(losses)) and np.mean(losses) > 0.1
+    assert got["a"]["permutation_importance_std"] == pytest.approx(np.std(losses))
+    assert got["b"]["permutation_importance_mean"] == 0
