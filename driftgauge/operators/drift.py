@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,6 +159,35 @@ def unseen_summary(shifts: DataFrame, rates: DataFrame, order_by: str) -> DataFr
     return detection_vs_shift(shifts, rates).orderBy(F.col(order_by).desc_nulls_last(), "class")
 
 
+#: Fixed value: without ties, samples of which one has at most this many rows have their exact p-value.
+EXACT_ROWS = 8
+#: Beyond this product of the sample sizes the normal approximation is used all the same.
+EXACT_PAIRS = 1 << 24
+
+
+def exact_tail(n1: int, n2: int, u: int) -> float:
+    """P(U <= u) for samples of ``n1`` and ``n2`` untied rows of one distribution.
+
+    U counts the inversions of an arrangement, so the arrangements by U are the coefficients of the Gaussian binomial;
+    it is built up factor by factor, as far as ``u`` only.
+    """
+    few, many = sorted((n1, n2))
+    counts = np.zeros(u + 1)
+    counts[0] = 1.0
+    for i in range(1, few + 1):
+        shifted = counts[: max(0, u + 1 - many - i)].copy()
+        counts[many + i :] -= shifted  # times 1 - q ** (many + i)
+        padded = np.pad(counts, (0, -len(counts) % i)).reshape(-1, i)
+        counts = padded.cumsum(axis=0).ravel()[: u + 1]  # over 1 - q ** i
+    return float(counts.sum() / math.comb(n1 + n2, few))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+    """Two-sided exact p-value from the smaller U; one value for each tested feature and group."""
+    return pd.Series([None if math.isnan(k) else min(1.0, 2 * exact_tail(int(a), int(b), int(k))) for a, b, k in zip(n1, n2, u)], dtype=float)
+
+
 @F.pandas_udf(T.DoubleType())
 def _two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail; one value for each tested feature and group."""
@@ -174,8 +204,9 @@ def shift_tests(
     """Mann-Whitney U of training against each group, with effect sizes, on all rows.
 
     All features and groups share one pass: rows become counts for each distinct
-    value, and pairs of ranks are counted from running sums over those counts. The p-value is the
-    normal approximation with tie and continuity correction (``method`` says so).
+    value, and pairs of ranks are counted from running sums over those counts. ``method`` says how the p-value was
+    found: exact where one sample has ``EXACT_ROWS`` rows at most and no value is tied, otherwise by the
+    normal approximation with tie and continuity correction.
     """
     side = F.col(f"`{by}`").cast("string")
     both = (
@@ -238,15 +269,19 @@ def shift_tests(
             F.col("n2").alias("n_group"),
             F.col("u").alias("mannwhitney_u"),
             F.when(variance > 0, z).alias("z"),
+            F.when(
+                (F.least("n1", "n2") <= EXACT_ROWS) & (F.col("tie") == 0) & (n1 * n2 <= EXACT_PAIRS), F.least(F.col("u"), n1 * n2 - F.col("u"))
+            ).alias("_exact_u"),
             (F.lit(1.0) - ratio(F.col("u") * 2, n1 * n2)).alias("rank_biserial_effect_size"),
             F.when(pooled > 0, (F.col("m2") - F.col("m1")) / pooled).alias("cohens_d"),
         )
     )
-    return tested.select(
-        "*",
+    exact = _exact_p("n_train", "n_group", F.col("_exact_u").cast("double"))
+    return tested.withColumns({"_exact_p": exact, "_normal_p": _two_sided_p("z")}).select(
+        *[c for c in tested.columns if c != "_exact_u"],
         # All values tied: the statistic cannot move, so nothing speaks against equality.
-        F.when(F.col("z").isNull(), F.lit(1.0)).otherwise(_two_sided_p("z")).alias("p_value"),
-        F.lit("normal_approximation").alias("method"),
+        F.when(F.col("z").isNull(), F.lit(1.0)).otherwise(F.coalesce("_exact_p", "_normal_p")).alias("p_value"),
+        F.when(F.col("_exact_p").isNotNull(), "exact").otherwise("normal_approximation").alias("method"),
     )
 
 

@@ -30,6 +30,8 @@ class Split:
     column: str
     train_days: tuple[str, ...] = ()
     test_days: tuple[str, ...] = ()
+    #: Microseconds since 1970 of the last training row, where the split was cut in time: no row is beyond it on the wrong side.
+    edge: int | None = None
 
 
 def as_timestamp(df: DataFrame, column: str) -> Column:
@@ -125,10 +127,11 @@ def chronological_split(
     cut = order_cuts(ordered, "_all", {0: size}, order)[0]
     kept = [F.col(f"`{c}`") for c in columns]
     # Implied by the cut, but in a form the scan can use to skip files and row groups.
-    edge = _moment_literal(df, timestamp, int(cut.path[0][1]))
+    cut_at = int(cut.path[0][1])
+    edge = _moment_literal(df, timestamp, cut_at)
     early, late = ordered.where(moment <= edge), ordered.where(moment >= edge)
     if not cut.splits_ties:
-        return Split(early.where(cut.taken()).select(*kept), late.where(~cut.taken()).select(*kept), timestamp)
+        return Split(early.where(cut.taken()).select(*kept), late.where(~cut.taken()).select(*kept), timestamp, edge=cut_at)
     # Equal rows on both sides of the cut: which copies go where makes no difference.
     same = ordered.where(cut.at()).groupBy(*kept).agg(F.count(F.lit(1)).alias("_copies"))
     train_tail = copies(same.withColumn("_copies", F.lit(cut.ties).cast("long")), "_copies")
@@ -137,6 +140,7 @@ def chronological_split(
         early.where(cut.before()).select(*kept).unionByName(train_tail),
         late.where(~(cut.before() | cut.at())).select(*kept).unionByName(test_head),
         timestamp,
+        edge=cut_at,
     )
 
 
@@ -153,12 +157,36 @@ def split_bounds(split: Split) -> DataFrame:
     return side(split.train, "train").crossJoin(side(split.test, "test"))
 
 
+def _edge_facts(split: Split):
+    """Both sides' ends, and their rows at and beyond the split's edge, in one pass over both."""
+    edge = _moment_literal(split.train, split.column, split.edge)
+    sides = [df.select(as_timestamp(df, split.column).alias("moment"), F.lit(t).alias("train")) for df, t in ((split.train, True), (split.test, False))]
+    moment, train = F.col("moment"), F.col("train")
+    return sides[0].unionByName(sides[1]).agg(
+        F.max(F.when(train, moment)).alias("train_end"), F.min(F.when(~train, moment)).alias("test_start"),
+        F.count_if(train & (moment == edge)).alias("train_rows"), F.count_if(~train & (moment == edge)).alias("test_rows"),
+        F.count_if(F.when(train, moment > edge).otherwise(moment < edge)).alias("beyond"),
+    ).first()
+
+
 def check_time_leakage(split: Split) -> DataFrame:
     """One row: whether training ends before testing starts and no timestamp is on both sides.
 
-    A shared timestamp can only lie between the first test and the last training
+    A split that knows its edge is read once: if no row is beyond the edge, only the edge itself can be on both sides.
+    Otherwise a shared timestamp can only lie between the first test and the last training
     moment, so only rows in that range are grouped: none at all in a clean split.
     """
+    if split.edge is not None:
+        facts = _edge_facts(split)
+        if not facts["beyond"]:
+            shared = facts["train_rows"] > 0 and facts["test_rows"] > 0
+            known = facts["train_end"] is not None and facts["test_start"] is not None
+            end, start = (_moment_literal(split.train, split.column, facts[c]) for c in ("train_end", "test_start"))
+            return split.train.sparkSession.range(1).select(
+                F.lit(known and not shared).alias("passed"), F.lit(known).alias("order_ok"), end.alias("train_end"), start.alias("test_start"),
+                F.lit(int(shared)).cast("long").alias("n_shared_timestamps"),
+                F.lit(facts["train_rows"] + facts["test_rows"] if shared else 0).cast("long").alias("n_overlapping_rows"),
+            )
     column = split.column
     bounds = split_bounds(split).first()
     last_train, first_test = bounds["train_end"], bounds["test_start"]

@@ -1,4 +1,5 @@
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -231,3 +232,24 @@ def test_group_statistics(spark):
     assert drift.group_statistics(df.limit(1), ["f1"]).first()["std"] is None
     assert drift.drift_report(df, df, ["f1"], spark.createDataFrame([("f1", 1.0)], "feature string, importance double")).first()["mean_shift_pct"] == 0.0
     assert df.where(F.col("f1") > 9).count() == 0
+
+
+@pytest.mark.parametrize("n1,n2", [(2, 3), (6, 5), (8, 4), (1, 7)])
+def test_exact_tail_is_enumeration(n1, n2):
+    places = range(n1 + n2)
+    found = [sum(j < i for i in mine for j in places if j not in mine) for mine in combinations(places, n1)]
+    for u in range(n1 * n2 + 1):
+        assert drift.exact_tail(n1, n2, u) == pytest.approx(sum(x <= u for x in found) / len(found), abs=1e-12)
+
+
+def test_small_samples_without_ties_are_tested_exactly(spark):
+    rng = np.random.default_rng(6)
+    train = pd.DataFrame({"g": "train", "f": rng.normal(size=30), "h": rng.integers(0, 3, 30).astype(float)})
+    groups = pd.DataFrame({"g": ["p"] * 5 + ["q"] * 9, "f": rng.normal(1, 1, 14), "h": rng.normal(size=14)})
+    got = drift.shift_tests(spark.createDataFrame(train), spark.createDataFrame(groups), "g", ["f", "h"], ["p", "q"]).toPandas()
+    method = {(r.feature, r.group): r.method for r in got.itertuples()}
+    assert method == {("f", "p"): "exact", ("f", "q"): "normal_approximation", ("h", "p"): "normal_approximation", ("h", "q"): "normal_approximation"}
+    row = got[(got.feature == "f") & (got.group == "p")].iloc[0]
+    u = min(row.mannwhitney_u, 150 - row.mannwhitney_u)
+    assert row.p_value == pytest.approx(min(1.0, 2 * drift.exact_tail(30, 5, int(u))))
+    assert list(got.columns) == list(drift.shift_tests(spark.createDataFrame(train), spark.createDataFrame(groups), "g", ["h"], ["q"]).columns)

@@ -193,3 +193,27 @@ def test_balanced_sample_with_unlabelled_rows(spark):
     assert balanced_sample(df, "label", 200, row_key="id").count() == 150
     few = balanced_sample(df, "label", 9, row_key="id").groupBy("label").count().collect()
     assert sum(r["count"] for r in few) == 9
+
+
+@pytest.mark.parametrize("moments", [list(range(10)), [0, 1, 1, 1, 1, 1, 2, 3], [5] * 9, [0, 0, 0, 0, 9]])
+def test_leak_check_of_a_cut_is_that_of_any_split(spark, moments):
+    """What one pass around the edge says is what grouping the shared range says."""
+    import dataclasses
+
+    rows = [(i, f"2024-01-01 00:00:{m:02d}") for i, m in enumerate(moments)]
+    df = spark.createDataFrame(rows, "id long, ts string")
+    split = splits.chronological_split(df, "ts", 0.5, row_key="id")
+    assert split.edge is not None
+    plain = dataclasses.replace(split, edge=None)
+    assert splits.check_time_leakage(split).collect() == splits.check_time_leakage(plain).collect()
+    wrong = dataclasses.replace(split, edge=split.edge - 1)  # an edge that isn't one: rows lie beyond it
+    assert splits.check_time_leakage(wrong).collect() == splits.check_time_leakage(plain).collect()
+    swapped = dataclasses.replace(split, train=split.test, test=split.train)
+    assert splits.check_time_leakage(swapped).collect() == splits.check_time_leakage(dataclasses.replace(swapped, edge=None)).collect()
+
+
+def test_leak_check_of_a_cut_reads_the_sides_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"2024-01-01 00:00:{i:02d}") for i in range(20)], "id long, ts string")
+    split = splits.chronological_split(df, "ts", 0.3)
+    monkeypatch.setattr(splits, "split_bounds", lambda s: pytest.fail("a second pass"))
+    assert splits.check_time_leakage(split).first()["passed"]
