@@ -238,7 +238,7 @@ def _document_frequencies(n_numbers: int):
     return run
 
 
-def trees_of(batches, place: np.ndarray, n_documents: int, all_terms: int, tree_documents: int, held_documents: int = 1 << 14, held_terms: int = 1 << 21):
+def trees_of(batches, place: np.ndarray, n_documents: int, all_terms: int, tree_documents: int, held_documents: int = 1 << 13, held_terms: int = 1 << 20):
     """Trees of the documents of ``batches``: those held together are cut by their length."""
     held, n_held = [], 0
 
