@@ -68,9 +68,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` as often as the mix takes it; a document taken in part is there in whole."""
-    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(
-        F.ceil(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")
-    )
-    copies = settle(taken.withColumnRenamed("doc_id", "_doc"), "mixing-copies")
-    joined = docs.join(_small(copies), docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.ceil(F.sum("taken") / F.sum("size")).cast("int").alias("copies"))
+    copies = settle(taken.withColumnRenamed("doc_id", "id"), "mixing-copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no column can clash
+    joined = rows.join(_small(copies), F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

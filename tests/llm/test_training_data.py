@@ -604,3 +604,12 @@ def test_disclosing_terms_are_the_plain_ones(spark):
     got = {r.term: (pytest.approx(r.disclosure), r.action) for r in disclosure.disclosing_terms(docs, base).collect()}
     expected = plain_disclosing_terms(rows)
     assert expected == got and "zorblax" in got
+
+
+def test_mixing_stage_keeps_columns_of_any_name(spark):
+    rows = [(i, prose(5), "en", f"s{i % 3}", 5, 70 + i, "c", "d", i, "n", "r", "x") for i in range(12)] + [(None, prose(5), "en", "s0", 5, 0, "c", "d", 0, "n", "r", "x")]
+    names = ["_copy int", "_copies string", "_doc string", "id int", "copies string", "row string", "`a.b` string"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(names))
+    got = selection.mixed(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} <= set(rows) and got.count() >= 12
