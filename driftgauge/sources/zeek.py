@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,42 +52,67 @@ def _lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame | None:
     return lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 
-def _headers(splits: DataFrame) -> DataFrame:
-    """``(source_file, block, headers)``: what lines of each file split have above them, in order.
+def _fields(line: Column, separator: Column) -> Column:
+    """The names in a ``#fields`` line."""
+    text = F.substring(line, F.lit(8), F.length(line))
+    after = F.when(F.startswith(text, separator), F.substring(text, F.length(separator) + 1, F.length(line))).otherwise(F.ltrim(text))
+    return F.split(after, _quoted(separator))
 
-    ``headers`` is an array of ``(line, pattern, fields)``: from that line on values are parted by ``pattern`` and named
-    ``fields``; the first entry, without a line, is what the splits before left. Only header lines are ordered here.
+
+def _quoted(separator: Column) -> Column:
+    return F.concat(F.lit("\\Q"), separator, F.lit("\\E"))
+
+
+def _separator_of_line() -> Column:
+    """What a ``#separator`` line sets; NULL for other lines."""
+    return F.when(F.col("value").startswith("#separator"), _decoded(F.trim(F.expr("substring(value, 11)"))))
+
+
+def _places(splits: DataFrame) -> DataFrame:
+    """One row for each file split: the ``separator`` and ``fields`` that the splits before left (``carried``) and that it
+    leaves itself (``left``), all its ``#fields`` lines (``headers``), and whether a header stands below data (``midway``).
+
+    Header lines are ordered inside their split; only one row for each split is ordered inside a file.
     """
-    in_file = Window.partitionBy("source_file").orderBy("block", "line")
-    text, mark = F.expr("substring(value, 8)"), F.trim(F.expr("substring(value, 11)"))
-    is_fields = F.col("value").startswith("#fields")
-    events = splits.select("source_file", "block", F.inline_outer("events")).withColumn(
-        "separator", F.coalesce(F.last(F.when(F.col("value").startswith("#separator"), _decoded(mark)), ignorenulls=True).over(in_file), F.lit("\t"))
+    split = ["source_file", "block"]
+    inside = Window.partitionBy(*split).orderBy("line")
+    events = splits.select(*split, F.inline_outer("events")).withColumn(
+        "separator", F.last(_separator_of_line(), ignorenulls=True).over(inside)
     )
-    quoted = F.concat(F.lit("\\Q"), F.col("separator"), F.lit("\\E"))
-    after = F.when(F.startswith(text, "separator"), F.substring(text, F.length("separator") + 1, F.length("value"))).otherwise(F.ltrim(text))
-    states = events.withColumn("pattern", quoted).withColumn(
-        "fields", F.last(F.when(is_fields, F.split(after, F.col("pattern"))), ignorenulls=True).over(in_file)
+    header = F.when(F.col("value").startswith("#fields"), F.struct("value", "separator"))
+    here = events.groupBy(*split).agg(
+        F.max_by("separator", F.when(F.col("separator").isNotNull(), F.col("line"))).alias("separator"),
+        F.max_by(header, F.when(header.isNotNull(), F.col("line"))).alias("header"),
+        F.collect_set(header).alias("headers"),
+        F.max("line").alias("last_header"),
     )
     before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    here = states.groupBy("source_file", "block").agg(
-        F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "pattern", "fields")))).alias("here"),
-        F.max_by(F.struct("pattern", "fields"), F.struct(F.col("line").isNotNull(), "line")).alias("left"),
+    parted = here.withColumn("carried_separator", F.coalesce(F.last("separator", ignorenulls=True).over(before), F.lit("\t")))
+    named = lambda h: _fields(h["value"], F.coalesce(h["separator"], F.col("carried_separator")))
+    named_last = parted.withColumn("fields", F.when(F.col("header").isNotNull(), named(F.col("header"))))
+    carried = named_last.withColumn("carried_fields", F.last("fields", ignorenulls=True).over(before))
+    return carried.join(splits.select(*split, "first_data"), split).select(
+        *split, "first_data",
+        F.coalesce(F.col("last_header") > F.col("first_data"), F.lit(False)).alias("midway"),
+        F.struct(F.col("carried_separator").alias("separator"), F.col("carried_fields").alias("fields")).alias("carried"),
+        F.struct(
+            F.coalesce("separator", "carried_separator").alias("separator"), F.coalesce("fields", "carried_fields").alias("fields")
+        ).alias("left"),
+        F.array_distinct(F.flatten(F.transform("headers", named))).alias("names"),
     )
-    carried = F.last("left").over(before)
-    first = F.struct(F.lit(None).cast("long").alias("line"), carried["pattern"].alias("pattern"), carried["fields"].alias("fields"))
-    return here.withColumn("first", first).select("source_file", "block", F.concat(F.array("first"), "here").alias("headers"))
 
 
 def read_connection_logs(spark: SparkSession, folder: str, pattern: str = LOG_PATTERN) -> ConnectionLogs | None:
     """All logs below a folder as one table of strings, fields resolved by name.
 
-    A log may change its ``#fields`` and ``#separator`` midway: each line is read by the last ones above it. Header lines
-    are few; they are gathered by file split in a first job, ordered, and joined to the lines of their split, which
-    find their header among those of the split alone. A line with the wrong number of fields, or one that
-    precedes its header, stops the job. Returns None if there is no log.
+    A log may change its ``#fields`` and ``#separator`` midway: each line is read by the last ones above it. A first job
+    gathers the header lines by file split and says what each split finds and leaves. Lines of a split without headers below
+    its data all have one header and stay where they are; those of other splits are ordered inside their split, so that the last
+    header passes down. The work grows with the lines, however many headers there are. A line with the wrong number of
+    fields, or one that precedes its header, stops the job. Returns None if there is no log.
 
-    Both jobs must cut the files alike: a header that doesn't stand where the first job saw it stops the second.
+    Both jobs must cut the files alike: a split that the first job did not see, or one whose data do not start where
+    they did, stops the second.
     """
     lines = _lines(spark, folder, pattern)
     if lines is None:
@@ -102,7 +128,7 @@ def read_connection_logs(spark: SparkSession, folder: str, pattern: str = LOG_PA
         ),
         "log-splits",
     )
-    headers = small_table(_headers(splits))
+    places = settle(_places(splits), "log-places")
     place = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("block", c)))
     files = splits.groupBy("source_file").agg(
         F.sum("n_rows").alias("n_rows"), place("first_data").alias("data"), place("first_fields").alias("fields")
@@ -117,17 +143,29 @@ def read_connection_logs(spark: SparkSession, folder: str, pattern: str = LOG_PA
     if facts["early"]:
         raise ValueError(f"{facts['early']} logs hold data before their #fields line")
 
-    names = sorted(r[0] for r in headers.select(F.explode("headers.fields").alias("fields")).select(F.explode("fields")).distinct().collect())
-    known = lines.where(is_data | is_header).join(headers, ["source_file", "block"], "left")
-    unseen = is_header & ~F.coalesce(F.exists("headers", lambda h: h["line"] == F.col("line")), F.lit(False))
-    moved = F.col("headers").isNull() | unseen
-    placed = known.where(
-        F.when(moved, F.raise_error(F.lit("file splits changed between two jobs over the logs")).cast("boolean")).otherwise(is_data)
-    )
-    above = F.filter("headers", lambda h: h["line"].isNull() | (h["line"] < F.col("line")))
-    cut = placed.withColumn("header", F.element_at(above, -1)).select(
-        "source_file", F.col("header.fields").alias("fields"), F.split("value", F.col("header.pattern"), -1).alias("values")
+    names = sorted(r[0] for r in places.select(F.explode("names")).distinct().collect())
+    kinds = {r[0] for r in places.select("midway").distinct().collect()}
+    known = lines.where(is_data | is_header).join(small_table(places.drop("names")), ["source_file", "block"], "left")
+    misplaced = F.when(is_header, F.col("line") > F.col("first_data")).otherwise(~F.coalesce(F.col("line") >= F.col("first_data"), F.lit(False)))
+    moved = F.col("carried").isNull() | (~F.col("midway") & F.coalesce(misplaced, F.lit(False)))
+    checked = known.where(
+        F.when(moved, F.raise_error(F.lit("file splits changed between two jobs over the logs")).cast("boolean")).otherwise(True)
     )
+    parts = []
+    if kinds != {True}:
+        calm = checked.where(is_data & ~F.coalesce("midway", F.lit(False)))
+        parts.append(calm.select("source_file", "value", "left.separator", "left.fields"))
+    if True in kinds:
+        above = Window.partitionBy("source_file", "block").orderBy("line")
+        changing = checked.where(F.coalesce("midway", F.lit(True))).select(
+            "source_file", "block", "line", "value", "carried",
+            F.coalesce(F.last(_separator_of_line(), ignorenulls=True).over(above), F.col("carried.separator")).alias("separator"),
+        )
+        own = F.when(F.col("value").startswith("#fields"), _fields(F.col("value"), F.col("separator")))
+        fields = F.coalesce(F.last(own, ignorenulls=True).over(above), F.col("carried.fields"))
+        parts.append(changing.withColumn("fields", fields).where(is_data).select("source_file", "value", "separator", "fields"))
+    placed = reduce(DataFrame.unionByName, parts)
+    cut = placed.select("source_file", "fields", F.split("value", _quoted(F.col("separator")), -1).alias("values"))
     refused = F.raise_error(
         F.concat(
             F.lit("malformed line in "), F.col("source_file"), F.lit(": expected "),

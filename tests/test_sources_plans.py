@@ -121,6 +121,19 @@ def test_logs_may_change_their_header_midway(spark, tmp_path, split):
     assert sorted(map(key, got)) == sorted(map(key, rows))
 
 
+def test_lines_do_not_carry_the_headers_of_their_split(spark, tmp_path):
+    """Work by line is the same with few and with many headers: none but the last one above reaches a line."""
+    text, rows = changing_log(1400)
+    (tmp_path / "one.conn-labeled.log").write_text(text)
+    (tmp_path / "two.conn-labeled.log").write_text(log_text(20))
+    table = zeek.read_connection_logs(spark, str(tmp_path)).table
+    got = [r.asDict() for r in table.where("source_file LIKE '%one%'").select("uid", "label", "a", "b").collect()]
+    key = lambda r: tuple(str(r[k]) for k in ("uid", "label", "a", "b"))
+    assert sorted(map(key, got)) == sorted(map(key, rows)) and table.count() == 1420
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "headers" not in plan and "lambdafunction" not in plan
+
+
 def test_logs_read_in_other_splits_are_refused(spark, tmp_path):
     (tmp_path / "one.conn-labeled.log").write_text(changing_log(100)[0])
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
