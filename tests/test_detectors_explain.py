@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftgauge.operators import evidence, explain, isolation
+from driftgauge.operators import cells, evidence, explain, isolation
 from driftgauge.operators import forest as forest_module
 from driftgauge.operators.forest import (
     ForestDetector, Leaf, expected_value, feature_array, shapley_values, train_forest, tree_leaves,
@@ -103,6 +103,55 @@ def test_tree_tables_agree_at_any_setting(forest, spark, monkeypatch, bits, toge
     assert np.abs(shapley_values(leaves, x) - expected).max() < 1e-12
 
 
+def test_forest_grows_on_counts_of_cells(spark, flows, monkeypatch):
+    """MLlib's training meets one row for each class, however many rows there are; the rest is counted."""
+    met, fit = [], forest_module.RandomForestClassifier.fit
+    monkeypatch.setattr(forest_module.RandomForestClassifier, "fit", lambda self, df: met.append(df.count()) or fit(self, df))
+    many = flows.crossJoin(spark.range(40))
+    detector = train_forest(many, FEATURES, n_trees=6, max_depth=6)
+    assert met == [2]
+    nodes = detector.nodes(spark).toPandas().set_index(["tree", "node"])
+    roots, inner = nodes.xs(0, level="node"), nodes[nodes.left >= 0]
+    assert len(roots) == 6 and len(inner) > 6 and 0 < inner.index.get_level_values("node").max() < 200
+    weighted = 300 * 40  # balanced classes weigh as much as all rows together
+    assert np.allclose(roots.cover, weighted, rtol=0.05) and roots.cover.nunique() == 6
+    for side in ("left", "right"):
+        assert nodes.index.isin(list(zip(inner.index.get_level_values("tree"), inner[side]))).sum() == len(inner)
+    both = [nodes.loc[(t, r.left), "cover"] + nodes.loc[(t, r.right), "cover"] for (t, _), r in inner.iterrows()]
+    assert np.allclose(both, inner.cover)
+    means = {r[0]: r[1] for r in detector.score(flows).groupBy("label_binary").agg(F.avg("rf_score")).collect()}
+    assert means[1] > 0.9 > 0.1 > means[0]
+
+
+def test_scores_looked_up_by_cell_are_those_of_the_trees(spark, forest):
+    assert forest.by_cell
+    edges = [t for s in forest.splits for t in s]
+    rng = np.random.default_rng(5)
+    x = rng.choice(np.concatenate([edges, rng.normal(2, 3, 200), [np.inf, -np.inf, -0.0]]), (500, len(FEATURES)))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=FEATURES).assign(key=range(500)))
+    rows = forest.score(df, "a").select("key", "a", forest_module.array_to_vector(feature_array(FEATURES)).alias("v"))
+    found = forest._transformed(forest.score_vectors(rows, "v", "b"), "v", "c").toPandas()
+    assert len(found) == 500 and (found.a == found.c).all() and (found.b == found.c).all() and found.a.nunique() > 5
+
+
+def test_more_cells_than_a_task_holds_go_to_mllib(flows, monkeypatch):
+    monkeypatch.setattr(forest_module, "MOST_CELLS", 3)
+    monkeypatch.setattr(forest_module, "ROWS_PER_TASK", 100)
+    detector = train_forest(flows, FEATURES, n_trees=6, max_depth=6)
+    means = {r[0]: r[1] for r in detector.score(flows).groupBy("label_binary").agg(F.avg("rf_score")).collect()}
+    assert detector.splits is None and means[1] > 0.9 > 0.1 > means[0]
+
+
+def test_candidate_splits(spark):
+    df = spark.range(1000).select(
+        (F.col("id") % 3).cast("double").alias("few"), F.col("id").cast("double").alias("many"), F.lit(1.0).alias("one"),
+        F.when(F.col("id") < 5, 1.0).otherwise(0.0).alias("rare"),
+    )
+    few, many, one, rare = cells.candidate_splits(df, ["few", "many", "one", "rare"], 32)
+    assert few == (0.5, 1.5) and one == () and rare == (0.5,) and len(many) == 31
+    assert np.abs(np.asarray(many) - np.arange(1, 32) * 1000 / 32).max() < 8
+
+
 def test_shapley_values_by_enumeration():
     leaves = [
         Leaf(np.array([0, 1, 2]), np.array([-np.inf, 0.0, -1.0]), np.array([0.5, np.inf, 1.0]), np.array([0.3, 0.6, 0.9]), 0.7),
