@@ -125,10 +125,11 @@ def _heads(spark: SparkSession, paths: Sequence[str], encoding: str | None = Non
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
     )
     first = F.min_by("bytes", "place")
-    files = lines.groupBy("path").agg(F.bool_and("valid").alias("valid"), first.alias("first")).collect()
+    # with a set of verdicts the files are aggregated by hash; a plain minimum of bytes would have all lines sorted first
+    files = lines.groupBy("path").agg(F.collect_set("valid").alias("valid"), first.alias("first")).collect()
     found = []
     for row in sorted(files, key=lambda r: r["path"]):
-        used = encoding or ("UTF-8" if row["valid"] else "ISO-8859-1")
+        used = encoding or ("UTF-8" if all(row["valid"]) else "ISO-8859-1")
         header = next(csv.reader([bytes(row["first"]).decode(used, "replace")], skipinitialspace=True), [])
         found.append((row["path"], used, tuple(header)))
     return found

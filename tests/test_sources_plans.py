@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgauge.plans import detect, explanations, external, prepare, unseen
@@ -278,6 +279,19 @@ def test_parquet_files_may_differ(spark, tmp_path):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == [("1", 2, None), (str(1 << 40), 3, 0.5), ("x", 4, None)]
 
 
+def test_csv_heads_are_found_without_a_sort(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x,y\n" + "1,2\n" * 500)
+    (folder / "b.csv").write_bytes("z,é\n1,2\n".encode("latin-1"))
+    plans, collect = [], DataFrame.collect
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(DataFrame, "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+        found = files._heads(spark, [str(folder / "a.csv"), str(folder / "b.csv")])
+    assert [(used, header) for _, used, header in found] == [("UTF-8", ("x", "y")), ("ISO-8859-1", ("z", "é"))]
+    assert len(plans) == 1 and "ObjectHashAggregate" in plans[0] and "Sort" not in plans[0]
+
+
 def test_csv_files_may_differ_in_type(spark, tmp_path):
     folder = str(tmp_path / "raw")
     spark.createDataFrame([(1.5, "p")], "x double, y string").write.option("header", True).csv(f"{folder}/csv")
