@@ -198,7 +198,7 @@ def forest_facts(spark, sf_dir):
     test = impute(detectors._test(spark, sf_dir).select(*detectors.FEATURES), detector.medians)
     rows = detector.score(test).select(feature_array(detectors.FEATURES).alias("x"), "rf_score")
     base = detector.nodes(spark).where("node = 0").agg(F.avg("value").alias("base"))
-    explained = explain.forest_contributions(detector, rows).crossJoin(base)
+    explained = explain.contributions_by_cell(detector, rows).crossJoin(base)
     total = F.aggregate("contributions", F.lit(0.0), lambda a, b: a + b)
     additive = F.abs(F.col("rf_score") - F.col("base") - total) <= 1e-6
     return shares.crossJoin(

@@ -134,6 +134,17 @@ def test_scores_looked_up_by_cell_are_those_of_the_trees(spark, forest):
     assert len(found) == 500 and (found.a == found.c).all() and (found.b == found.c).all() and found.a.nunique() > 5
 
 
+def test_copies_are_explained_once(spark, flows, forest, monkeypatch):
+    rows = flows.crossJoin(spark.range(20)).select("key", feature_array(FEATURES).alias("v"))
+    met, whole = [], explain.forest_contributions
+    monkeypatch.setattr(explain, "forest_contributions", lambda d, v, *a: met.append(v.count()) or whole(d, v, *a))
+    got = explain.contributions_by_cell(forest, rows, "v", "c")
+    each = whole(forest, flows.select("key", feature_array(FEATURES).alias("v")), "v", "c").select("key", F.col("c").alias("d"))
+    both = got.join(each, "key").toPandas()
+    assert got.columns == ["key", "v", "c"] and len(both) == 6000 and met[0] <= 300
+    assert np.abs(np.stack(both.c.to_numpy()) - np.stack(both.d.to_numpy())).max() < 1e-12
+
+
 def test_more_cells_than_a_task_holds_go_to_mllib(flows, monkeypatch):
     monkeypatch.setattr(forest_module, "MOST_CELLS", 3)
     monkeypatch.setattr(forest_module, "ROWS_PER_TASK", 100)
@@ -355,6 +366,16 @@ def test_seats_are_exchanged_one_to_one(n):
     assert n < 97 or len(seen) == 3
 
 
+def test_traded_values_are_not_gathered_by_seat(spark):
+    """A value is shuffled as (seat and trial, value) and meets its row there; lists by seat would be moved beside it."""
+    from driftgauge.catalog.literal import _WrittenForest
+
+    columns = [(F.col("id") * 7 % 50).cast("double").alias("l_quantity"), (F.col("id") * 900.0).alias("l_extendedprice")]
+    df = spark.range(100).select(F.col("id").alias("key"), *columns, (F.col("id") % 2).cast("int").alias("label_binary"))
+    found = explain.permutation_importance(_WrittenForest(), df, "key", 0.5, repeats=2)
+    assert found.count() == 2 and "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_permutation_importance_of_a_plain_loop(spark):
     """A score that is one feature: trading its values costs what a plain loop says, trading the other costs nothing."""
     from pyspark.ml.functions import vector_to_array
