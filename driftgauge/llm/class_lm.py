@@ -3,11 +3,14 @@
     P(text) = product over tokens of P(class | class before) * P(word | class)
 
 Words are counted over all training texts. The most frequent ``head`` words get numbers that
-tasks can hold; all others keep a class given by their length, so their place in the chain
-is known without a look-up, and their counts are joined to the texts in Spark. The
-``exchanged`` most frequent words are clustered: each round counts, over the whole corpus,
+tasks can hold; all others start in a class given by their length, so their place in the chain
+is known without a look-up, and their counts and classes are joined to the texts in Spark. The
+``exchanged`` most frequent words are clustered first: each round counts, over the whole corpus,
 how often each class stands before and after each of them, and moves half of the words to
-the class that raises the likelihood of the class bigrams most.
+the class that raises the likelihood of the class bigrams most. Then every other word seen more
+than once moves in the same way, numbered or not: once, against the classes of the rounds.
+Words seen once, of which nothing is left if one leaves their only place out, stay in the
+class of their length; they are all that tells of words never seen.
 """
 
 from __future__ import annotations
@@ -25,9 +28,13 @@ from pyspark.sql import functions as F
 from driftgauge.llm.common import in_pieces, table_of, text_bytes
 from driftgauge.session import settle
 
-#: Classes of words that are not clustered: by their length in bytes, four lengths to a class.
+#: Classes of words not seen or seen once: by their length in bytes, four lengths to a class.
 SHAPES = 8
 SLICE = 1024
+#: Neighbours that a task counts together, and words without a number whose neighbours it holds.
+NEIGHBOURS, WORDS_TOGETHER = 1 << 22, 4096
+#: Numbers of clusters of words without a number, below those of the shapes, in the texts.
+PLACED = -1 - SHAPES
 #: Added to the count of each word of a class, and weight of the class's own frequency among its successors.
 EMISSION, TRANSITION = 0.5, 5.0
 
@@ -145,8 +152,8 @@ def _opened(blob: bytes, n: int) -> np.ndarray:
 
 
 def _classes(ids: np.ndarray, class_of: np.ndarray, classes: int) -> np.ndarray:
-    """Classes of the tokens; a word without a number has one by its shape."""
-    return np.where(ids >= 0, class_of[ids], classes - 1 - ids)
+    """Classes of the tokens; a word without a number has one by its shape, or the one it was placed in."""
+    return np.where(ids >= 0, class_of[np.maximum(ids, 0)], np.where(ids > PLACED, classes - 1 - ids, PLACED - ids))
 
 
 _SUMS = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
@@ -267,6 +274,217 @@ def _exchange(pairs: np.ndarray, class_of: np.ndarray, classes: int, exchanged:
     return run
 
 
+def _count_rest(class_of: np.ndarray, classes: int, first: int, last: int):
+    """Counts of (word, class before or after) for the words numbered from ``first`` to ``last``, by slices, those that occur."""
+    k = classes + SHAPES + 1
+    out = pa.schema([("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("size", pa.int32())])
+    slices = np.arange(first // SLICE, -(-last // SLICE))
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(keys, np.append(slices, slices[-1] + 1) * (SLICE * 2 * k))
+            for s, a, b in zip(slices.tolist(), cuts.tolist(), cuts[1:].tolist()):
+                if a < b:
+                    steps = np.diff(keys[a:b], prepend=s * SLICE * 2 * k)
+                    yield table_of(out, slice=[s], keys=[_packed(steps)], counts=[_packed(n[a:b])], size=[b - a])
+            held.clear()
+
+        for batch in batches:
+            for blob, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist()):
+                ids = _opened(blob, n)
+                at = np.flatnonzero((ids >= first) & (ids < last))
+                if not len(at):
+                    continue
+                c = np.concatenate([[k - 1], _classes(ids, class_of, classes), [k - 1]])
+                words = ids[at].astype(np.int64) * (2 * k)
+                held += [words + c[at], words + k + c[at + 2]]
+                size += 2 * len(at)
+                if size > NEIGHBOURS:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+REST = "slice int, keys binary, counts binary, size int"
+
+
+def best_classes(word: np.ndarray, column: np.ndarray, n: np.ndarray, mine: np.ndarray, pairs: np.ndarray, classes: int) -> np.ndarray:
+    """The class each word of a shape joins: the one that raises the likelihood of the class bigrams most.
+
+    ``n`` is how often class ``column`` stands before a word, or class ``column - len(pairs)`` after it; ``word`` ascends
+    and ``mine`` has the shape class of each word.
+    """
+    k, words = len(pairs), len(mine)
+    joint = np.concatenate([pairs[:, :classes], pairs[:classes].T])
+    same, which = np.unique(column * (n.max(initial=0) + 1) + n, return_inverse=True)
+    base, more = joint[same // (n.max(initial=0) + 1)], (same % (n.max(initial=0) + 1))[:, None]
+    gain = (_xlogx(base + more) - _xlogx(base))[which]
+    # a word that leaves its class takes along the bigrams it makes there
+    own = np.flatnonzero(column % k == mine[word])
+    if len(own):
+        dense = np.zeros((words, 2 * k), np.int64)
+        dense[word, column] = n
+        other = np.where((column[own] < k)[:, None], dense[word[own], k : k + classes], dense[word[own], :classes])
+        base = np.maximum(joint[column[own]] - other, 0)
+        gain[own] = _xlogx(base + n[own][:, None]) - _xlogx(base)
+    total = np.bincount(word, n, words)[:, None] / 2
+    size = pairs[:classes].sum(1)
+    sums = np.add.reduceat(gain, np.searchsorted(word, np.arange(words)))
+    return np.argmax(sums - 2 * (_xlogx(size + total) - _xlogx(size)), axis=1)
+
+
+def _move_rest(pairs: np.ndarray, class_of: np.ndarray, classes: int):
+    k = len(pairs)
+    out = pa.schema([("word", pa.int32()), ("class", pa.int32())])
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, keys, counts, size in zip(*(batch.column(c).to_pylist() for c in ("slice", "keys", "counts", "size"))):
+                if s not in sums:
+                    sums[s] = np.zeros(SLICE * 2 * k, np.int64)
+                sums[s][np.cumsum(_unpacked(keys, size))] += _unpacked(counts, size)
+        for s, total in sums.items():
+            at = np.flatnonzero(total)
+            words, word = np.unique(at // (2 * k), return_inverse=True)
+            found = best_classes(word, at % (2 * k), total[at], class_of[s * SLICE + words], pairs, classes)
+            yield table_of(out, **{"word": s * SLICE + words, "class": found})
+
+    return run
+
+
+def _tail_neighbours(class_of: np.ndarray, classes: int):
+    """``(word, pair)`` of each word without a number: the classes before and after it."""
+    k = classes + SHAPES + 1
+    out = pa.schema([("word", pa.string()), ("pair", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            for blob, n, tail in zip(*(batch.column(c).to_pylist() for c in ("ids", "n_tokens", "tail"))):
+                if tail:
+                    ids = _opened(blob, n)
+                    c = np.concatenate([[k - 1], _classes(ids, class_of, classes), [k - 1]])
+                    at = np.flatnonzero(ids < 0)
+                    words, pair = tail.split(" "), c[at] * k + c[at + 2]
+                    for a in range(0, len(words), 100_000):
+                        yield table_of(out, word=words[a : a + 100_000], pair=pair[a : a + 100_000])
+
+    return run
+
+
+def _move_tail(pairs: np.ndarray, classes: int):
+    k = len(pairs)
+    out = pa.schema([("word", pa.string()), ("class", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, WORDS_TOGETHER):
+                part = batch.slice(a, WORDS_TOGETHER)
+                words, found = part.column("word"), part.column("found")
+                each = np.repeat(np.arange(len(words)), np.diff(found.offsets.to_numpy()))
+                pair, n = (found.flatten().field(f).to_numpy() for f in ("pair", "n"))
+                keys = np.concatenate([each * (2 * k) + pair // k, each * (2 * k) + k + pair % k])
+                at, line = np.unique(keys, return_inverse=True)
+                total = np.bincount(line, np.concatenate([n, n]), len(at)).astype(np.int64)
+                mine = classes + part.column("shape").to_numpy()
+                yield table_of(out, **{"word": words, "class": best_classes(at // (2 * k), at % (2 * k), total, mine, pairs, classes)})
+
+    return run
+
+
+def exchange_rest(
+    train: DataFrame, words: DataFrame, voc: Vocabulary, class_of: np.ndarray, classes: int, exchanged: int
+) -> tuple[np.ndarray, DataFrame]:
+    """Moves each word seen more than once that the rounds did not: ``class_of`` the head words, and
+    ``(word, n, class)`` of all words without a number."""
+    begun, pairs = class_of, class_pairs(train, class_of, classes)
+    first, last = min(exchanged, len(voc.counts)), int(np.count_nonzero(voc.counts > 1))
+    if first < last:
+        counted = train.select("n_tokens", "ids").mapInArrow(_count_rest(begun, classes, first, last), REST)
+        moved = counted.repartition("slice").mapInArrow(_move_rest(pairs, begun, classes), "word int, class int").collect()
+        class_of = class_of.copy()
+        for word, c in moved:  # as many rows as words with a number
+            class_of[word] = c
+    rare = words.where(F.col("n") < voc.least).withColumn("class", shape_of(F.col("word")) + classes)
+    if voc.least > 2:
+        found = train.where("tail <> ''").select("n_tokens", "ids", "tail").mapInArrow(
+            _tail_neighbours(begun, classes), "word string, pair int"
+        ).repartition("word").groupBy("word", "pair").agg(F.count(F.lit(1)).alias("n"))
+        found = found.groupBy("word").agg(F.collect_list(F.struct("pair", "n")).alias("found"), F.sum("n").alias("seen"))
+        moved = found.where("seen > 1").select("word", shape_of(F.col("word")).alias("shape"), "found").mapInArrow(
+            _move_tail(pairs, classes), "word string, class int"
+        )
+        rare = rare.join(moved.withColumnRenamed("class", "_moved"), "word", "left").select(
+            "word", "n", F.coalesce("_moved", "class").alias("class")
+        )
+    return class_of, settle(rare, "rare-words")
+
+
+def _shapes(voc: Vocabulary) -> np.ndarray:
+    lengths = np.fromiter(map(len, voc.blob.split(b"\n")), np.int64, max(len(voc.counts), 1))[: len(voc.counts)]
+    return np.minimum(lengths // 4, SHAPES - 1)
+
+
+def class_pairs(train: DataFrame, class_of: np.ndarray, classes: int) -> np.ndarray:
+    """How often each class follows each class in the texts."""
+    k = classes + SHAPES + 1
+    salts = max(1, math.isqrt(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    found = neighbour_counts(train, class_of, classes, 0, salts).where("slice = -1").collect()
+    return sum((_unpacked(bytes(r.counts), k * k) for r in found), np.zeros(k * k, np.int64)).reshape(k, k)
+
+
+def exchange(train: DataFrame, voc: Vocabulary, classes: int, exchanged: int, rounds: int) -> np.ndarray:
+    """The classes of the head words after ``rounds`` that move the ``exchanged`` most frequent ones."""
+    k, head = classes + SHAPES + 1, len(voc.counts)
+    exchanged = min(exchanged, head)
+    class_of = np.concatenate([np.arange(exchanged) % classes, classes + _shapes(voc)[exchanged:], [0]])  # never empty
+    salts = max(1, math.isqrt(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    for turn in range(rounds if exchanged else 0):
+        sums = settle(neighbour_counts(train, class_of, classes, exchanged, salts), "neighbour-counts")
+        found = sums.where("slice = -1").collect()
+        pairs = sum((_unpacked(bytes(r.counts), k * k) for r in found), np.zeros(k * k, np.int64)).reshape(k, k)
+        moved = sums.where("slice >= 0").repartition("slice").mapInArrow(
+            _exchange(pairs, class_of, classes, exchanged, turn), "word int, class int"
+        ).collect()  # as many rows as clustered words
+        class_of = class_of.copy()
+        for word, c in moved:
+            class_of[word] = c
+    return class_of
+
+
+@dataclass
+class Emissions:
+    """log10 of each head word within its class; ``base``: the log10 denominator of a word's probability in each class."""
+
+    head: np.ndarray
+    base: np.ndarray
+
+
+def emissions(voc: Vocabulary, class_of: np.ndarray, classes: int, rare: DataFrame | None = None) -> Emissions:
+    """``rare``: the words without a number, with their classes; without it they are in the class of their shape."""
+    k, counts, member = classes + SHAPES + 1, voc.counts, class_of[: len(voc.counts)]
+    tokens = np.bincount(member, counts, minlength=k).astype(float)
+    types = np.bincount(member, minlength=k).astype(float)
+    clustered, shapes = member < classes, _shapes(voc)
+    # words of a shape: all but the clustered ones, and one type for what was never seen
+    tokens[classes : classes + SHAPES] = voc.shape_tokens - np.bincount(shapes[clustered], counts[clustered], minlength=SHAPES)
+    types[classes : classes + SHAPES] = voc.shape_types - np.bincount(shapes[clustered], minlength=SHAPES) + 1
+    if rare is not None:
+        moved = rare.where(F.col("class") < classes).groupBy("class", shape_of(F.col("word")).alias("shape"))
+        for r in moved.agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens")).collect():
+            for place, sign in ((r["class"], 1), (classes + r["shape"], -1)):
+                tokens[place] += sign * r["tokens"]
+                types[place] += sign * r["types"]
+    base = np.log10(np.maximum(tokens + EMISSION * types, 1e-300))
+    return Emissions(np.append(np.log10(counts + EMISSION) - base[member], 0.0), base)
+
+
 @dataclass
 class ClassModel:
     """``class_of`` the head words, log10 of the class transitions and of each head word within its class;
@@ -279,50 +497,78 @@ class ClassModel:
     shape_base: np.ndarray
 
 
-def cluster(numbered: DataFrame, voc: Vocabulary, classes: int, exchanged: int, rounds: int) -> ClassModel:
-    k, head = classes + SHAPES + 1, len(voc.counts)
-    exchanged = min(exchanged, head)
-    lengths = np.fromiter(map(len, voc.blob.split(b"\n")), np.int64, max(head, 1))[:head]
-    shapes = np.minimum(lengths // 4, SHAPES - 1)
-    class_of = np.concatenate([np.arange(exchanged) % classes, classes + shapes[exchanged:], [0]])  # never empty
-    train = numbered.where("not held_out")
-    salts = max(1, math.isqrt(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    pairs = np.zeros((k, k), np.int64)
-    for turn in range(rounds + 1):
-        last = turn == rounds
-        sums = settle(neighbour_counts(train, class_of, classes, 0 if last else exchanged, salts), "neighbour-counts")
-        found = sums.where("slice = -1").collect()
-        pairs = sum((_unpacked(bytes(r.counts), k * k) for r in found), np.zeros(k * k, np.int64)).reshape(k, k)
-        if not last and exchanged:
-            moved = sums.where("slice >= 0").repartition("slice").mapInArrow(
-                _exchange(pairs, class_of, classes, exchanged, turn), "word int, class int"
-            ).collect()  # as many rows as clustered words
-            class_of = class_of.copy()
-            for word, c in moved:
-                class_of[word] = c
+def fitted(train: DataFrame, class_of: np.ndarray, classes: int, emitted: Emissions) -> ClassModel:
+    pairs = class_pairs(train, class_of, classes)
     size = pairs.sum(0)
-    own = (size + 1) / (size.sum() + k)
+    own = (size + 1) / (size.sum() + len(pairs))
     transition = np.log10((pairs + TRANSITION * own) / (pairs.sum(1, keepdims=True) + TRANSITION))
-    counts, member = voc.counts, class_of[:head]
-    tokens = np.bincount(member, counts, minlength=k).astype(float)
-    types = np.bincount(member, minlength=k).astype(float)
-    clustered = np.arange(head) < exchanged
-    # words of a shape: all but the clustered ones, and one type for what was never seen
-    tokens[classes : classes + SHAPES] = voc.shape_tokens - np.bincount(shapes[clustered], counts[clustered], minlength=SHAPES)
-    types[classes : classes + SHAPES] = voc.shape_types - np.bincount(shapes[clustered], minlength=SHAPES) + 1
-    base = np.log10(np.maximum(tokens + EMISSION * types, 1e-300))
-    emission = np.log10(counts + EMISSION) - base[member]
-    return ClassModel(class_of, classes, transition, np.append(emission, 0.0), base[classes : classes + SHAPES])
+    return ClassModel(class_of, classes, transition, emitted.head, emitted.base[classes : classes + SHAPES])
 
 
-HEADS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def cluster(numbered: DataFrame, voc: Vocabulary, classes: int, exchanged: int, rounds: int) -> ClassModel:
+    """The model after the rounds alone."""
+    train = numbered.where("not held_out")
+    class_of = exchange(train, voc, classes, exchanged, rounds)
+    return fitted(train, class_of, classes, emissions(voc, class_of, classes))
+
+
+def _place_tails(classes: int):
+    """Writes the clusters of the words without a number into the texts; ``places`` are in the order of the words."""
+    out = pa.schema(
+        [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary())]
+        + [("t_known", pa.int64()), ("t_base", pa.float64()), ("t_score", pa.float64())]
+    )
+
+    def run(batches):
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            blobs = []
+            for i, (blob, n) in enumerate(zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist())):
+                places = batch.column("places")[i].values
+                if places is not None and len(places):
+                    c = places.to_numpy(zero_copy_only=False) % (classes + SHAPES)
+                    ids = _opened(blob, n).copy()
+                    ids[ids < 0] = np.where(c < classes, PLACED - c, classes - 1 - c)
+                    blob = codec.compress(ids.tobytes(), asbytes=True)
+                blobs.append(blob)
+            yield table_of(out, **{f.name: blobs if f.name == "ids" else batch.column(f.name) for f in out})
+
+    return run
+
+
+def place_tails(numbered: DataFrame, rare: DataFrame, voc: Vocabulary, classes: int, emitted: Emissions) -> DataFrame:
+    """``numbered`` with the classes of its words without a number, and with the sums of their counts and scores."""
+    tails = numbered.where("tail <> ''").select("row", F.posexplode(F.split("tail", " ")).alias("pos", "word"))
+    n, width = F.coalesce("n", F.lit(0)), classes + SHAPES
+    place = F.coalesce("class", shape_of(F.col("word")) + classes)
+    base = F.get(F.array(*[F.lit(float(x)) for x in emitted.base]), place)
+    tail = tails.join(rare, "word", "left").groupBy("row").agg(
+        F.sum(F.when(n > 0, 1).otherwise(0)).alias("t_known"),
+        F.sum(F.log10(n + 1.0) - math.log10(voc.tokens + voc.types + 1)).alias("t_base"),
+        F.sum(F.log10(n + EMISSION) - base).alias("t_score"),
+        F.sort_array(F.collect_list(F.col("pos").cast("long") * width + place)).alias("places"),
+    )
+    return settle(
+        numbered.drop("tail").join(tail, "row", "left").mapInArrow(_place_tails(classes), PLACED_ROWS), "placed-words"
+    )
+
+
+PLACED_ROWS = (
+    "row long, doc_id long, held_out boolean, n_tokens long, ids binary, t_known long, t_base double, t_score double"
+)
+
+
+HEADS = (
+    "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
+    "t_known long, t_base double, t_score double"
+)
 
 
 def _score_heads(model: ClassModel, voc: Vocabulary):
     k = model.classes + SHAPES + 1
     out = pa.schema(
-        [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64())]
-        + [("base_score", pa.float64()), ("score", pa.float64())]
+        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64())]
+        + [("base_score", pa.float64()), ("score", pa.float64()), ("t_known", pa.int64()), ("t_base", pa.float64()), ("t_score", pa.float64())]
     )
     floor = math.log10(voc.tokens + voc.types + 1)
     base = np.append(np.log10(voc.counts + 1.0), 0.0)
@@ -339,8 +585,9 @@ def _score_heads(model: ClassModel, voc: Vocabulary):
                 bases.append(float(base[head].sum()) - len(head) * floor + end)
                 scores.append(float(model.transition[c[:-1], c[1:]].sum() + model.emission[head].sum()))
             yield table_of(
-                out, row=batch.column("row"), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"),
+                out, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"),
                 n_tokens=[n + 1 for n in batch.column("n_tokens").to_pylist()], n_known=known, base_score=bases, score=scores,
+                **{c: batch.column(c) for c in ("t_known", "t_base", "t_score")},
             )
 
     return run
@@ -369,19 +616,14 @@ def score_documents(
         ).mapInArrow(_number_words(voc), NUMBERED),
         "numbered-words",
     )
-    model = cluster(numbered, voc, classes, exchanged, rounds)
-    heads = numbered.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(_score_heads(model, voc), HEADS)
-    tails = numbered.where("tail <> ''").select("row", F.explode(F.split("tail", " ")).alias("word"))
-    rare = words.where(F.col("n") < voc.least)
-    n = F.coalesce(F.col("n"), F.lit(0))
-    by_shape = F.array(*[F.lit(float(x)) for x in model.shape_base])[shape_of(F.col("word"))]
-    tail = tails.join(rare, "word", "left").groupBy("row").agg(
-        F.sum(F.when(n > 0, 1).otherwise(0)).alias("t_known"),
-        F.sum(F.log10(n + 1.0) - math.log10(voc.tokens + voc.types + 1)).alias("t_base"),
-        F.sum(F.log10(n + EMISSION) - by_shape).alias("t_score"),
-    )
+    train = numbered.where("not held_out")
+    class_of = exchange(train, voc, classes, exchanged, rounds)
+    class_of, rare = exchange_rest(train, words, voc, class_of, classes, exchanged)
+    emitted = emissions(voc, class_of, classes, rare)
+    placed = place_tails(numbered, rare, voc, classes, emitted)
+    model = fitted(placed.where("not held_out"), class_of, classes, emitted)
     zero = F.lit(0.0)
-    return heads.join(tail, "row", "left").select(
+    return placed.mapInArrow(_score_heads(model, voc), HEADS).select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("t_known", F.lit(0))).alias("n_known"),
         F.lit(voc.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("t_base", zero)).alias("base_score"),
         (F.col("score") + F.coalesce("t_score", zero)).alias("score"),

@@ -332,6 +332,48 @@ def test_exchange_raises_the_likelihood():
     assert len({tuple(sorted(set(of[truth == t]))) for t in (0, 1)}) == 2
 
 
+@pytest.mark.parametrize("head", [10, 1000])
+def test_words_beyond_the_exchanged_ones_are_clustered(spark, head):
+    """Words of equal length differ in their neighbours alone; before, all but the exchanged ones were one class."""
+    rng = random.Random(5)
+    a, b = [f"a{i:03}" for i in range(60)], [f"b{i:03}" for i in range(60)]
+    some = lambda words: rng.choice(words[:4] if rng.random() < 0.5 else words)
+    texts = [" ".join(f"xxxx xxxx {some(a)} yyyy {some(b)}" for _ in range(5)) for _ in range(100)]
+    right = " ".join(f"xxxx xxxx {v} yyyy {w}" for v, w in zip(a, b))
+    wrong = " ".join(f"xxxx xxxx {w} yyyy {v}" for v, w in zip(a, b))
+    rows = list(enumerate([*texts, right, wrong, "xxxx never yyyy seen"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = class_lm.score_documents(docs, F.col("doc_id") >= 100, head=head, exchanged=10, classes=4, rounds=4)
+    score = {r.doc_id: r.score for r in got.collect()}
+    assert score[100] > score[101] + 50 and math.isfinite(score[102])
+    other = class_lm.score_documents(docs, F.col("doc_id") >= 100, head=60, exchanged=10, classes=4, rounds=4)
+    assert score == pytest.approx({r.doc_id: r.score for r in other.collect()})
+
+
+def test_the_class_a_word_joins_is_the_likeliest():
+    rng = np.random.default_rng(7)
+    classes, k, words = 4, 4 + class_lm.SHAPES + 1, 30
+    text = rng.integers(0, words, 3000)
+    text = text[np.append(True, text[1:] != text[:-1])]
+    of = np.where(np.arange(words) < 12, np.arange(words) % classes, classes + np.arange(words) % 3)
+
+    def likelihood(of):
+        p = np.zeros((k, k), np.int64)
+        np.add.at(p, (of[text[:-1]], of[text[1:]]), 1)
+        return class_lm._xlogx(p).sum() - 2 * class_lm._xlogx(p.sum(1)).sum()
+
+    pairs, counts = np.zeros((k, k), np.int64), np.zeros((words, 2 * k), np.int64)
+    np.add.at(pairs, (of[text[:-1]], of[text[1:]]), 1)
+    np.add.at(counts, (text[1:], of[text[:-1]]), 1)
+    np.add.at(counts, (text[:-1], k + of[text[1:]]), 1)
+    word, column = np.nonzero(counts[12:])
+    found = class_lm.best_classes(word, column, counts[12:][word, column], of[12:], pairs, classes)
+    for w, c in zip(range(12, words), found):
+        each = [likelihood(np.where(np.arange(words) == w, c, of)) for c in range(classes)]
+        assert each[c] > max(each) - 1.0  # bigrams inside one class are counted once for each side
+    assert len(set(found.tolist())) > 1
+
+
 @pytest.mark.parametrize("block", [1 << 18, 100])
 def test_token_files(spark, folder, tmp_path, block):
     from tokenizers import Tokenizer
