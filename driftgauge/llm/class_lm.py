@@ -327,15 +327,18 @@ def best_classes(word: np.ndarray, column: np.ndarray, n: np.ndarray, mine: np.n
     gain = (_xlogx(base + more) - _xlogx(base))[which]
     # a word that leaves its class takes along the bigrams it makes there
     own = np.flatnonzero(column % k == mine[word])
+    dense = np.zeros((words, 2 * k), np.int64)
+    dense[word, column] = n
     if len(own):
-        dense = np.zeros((words, 2 * k), np.int64)
-        dense[word, column] = n
         other = np.where((column[own] < k)[:, None], dense[word[own], k : k + classes], dense[word[own], :classes])
         base = np.maximum(joint[column[own]] - other, 0)
         gain[own] = _xlogx(base + n[own][:, None]) - _xlogx(base)
     total = np.bincount(word, n, words)[:, None] / 2
     size = pairs[:classes].sum(1)
     sums = np.add.reduceat(gain, np.searchsorted(word, np.arange(words)))
+    # bigrams inside the class it joins grow from both sides
+    inside, before, after = np.diag(pairs)[:classes], dense[:, :classes], dense[:, k : k + classes]
+    sums += _xlogx(inside + before + after) - _xlogx(inside + before) - _xlogx(inside + after) + _xlogx(inside)
     return np.argmax(sums - 2 * (_xlogx(size + total) - _xlogx(size)), axis=1)
 
 

@@ -370,7 +370,7 @@ def test_the_class_a_word_joins_is_the_likeliest():
     found = class_lm.best_classes(word, column, counts[12:][word, column], of[12:], pairs, classes)
     for w, c in zip(range(12, words), found):
         each = [likelihood(np.where(np.arange(words) == w, c, of)) for c in range(classes)]
-        assert each[c] > max(each) - 2.0  # bigrams inside one class are counted for each side by itself
+        assert each[c] > max(each) - 0.5  # the text's ends
     assert len(set(found.tolist())) > 1
 
 
