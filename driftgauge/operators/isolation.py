@@ -1,11 +1,11 @@
-"""Isolation forest: trees grown one per group of a fixed-size subsample, scored by a vectorised walk."""
+"""Isolation forest: trees grown one per group of a fixed-size subsample, scored by look-ups or a vectorised walk."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ N_TREES = 100
 SUBSAMPLE = 256
 CONTAMINATION = 0.05
 SEED = 42
+#: Entries of one tree's look-up table, a byte each with 256 bottom cells at most; a tree that needs more is walked.
+TABLE_ENTRIES = 1 << 17
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
 
@@ -97,19 +99,93 @@ class TreeArrays:
                     length[t, bottom] = path[node]
         return TreeArrays(feature, threshold, length, depth, float(average_path(subsample)))
 
+    @cached_property
+    def edges(self) -> list[np.ndarray]:
+        """The different thresholds of each feature over all trees."""
+        split = np.isfinite(self.threshold)
+        last = int(self.feature[split].max(initial=-1))
+        return [np.unique(self.threshold[split & (self.feature == f)]) for f in range(last + 1)]
+
+    @cached_property
+    def tables(self) -> list[tuple | None]:
+        return [_tree_tables(f, t, n, self.edges) for f, t, n in zip(self.feature, self.threshold, self.length)]
+
     def parts(self) -> tuple:
         """Plain arrays and numbers, as they are broadcast."""
-        return self.feature, self.threshold, self.length, self.depth, self.scale
+        return self.feature, self.threshold, self.length, self.depth, self.scale, self.edges, self.tables
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return _score_trees(self.parts(), x)
 
 
+def _tree_tables(feature: np.ndarray, threshold: np.ndarray, length: np.ndarray, edges: Sequence[np.ndarray]) -> tuple | None:
+    """A complete tree as look-ups: ``(halves, codes, path length by code)``, or None if they would be too large.
+
+    The features are dealt to two halves. A row's places among the thresholds of a half's features say which bottom cells that
+    half leaves open; the sets of both halves have one cell in common. A half is ``([(feature, step by place in edges)], number of
+    the set by sum of steps)``, and the code of the path length stands at the sum of both numbers.
+    """
+    split = np.isfinite(threshold)
+    used = {f: np.unique(threshold[split & (feature == f)]) for f in np.unique(feature[split]).tolist()}
+    dealt, sizes = ([], []), [1, 1]
+    for f in sorted(used, key=lambda f: -len(used[f])):
+        half = int(sizes[1] < sizes[0])
+        dealt[half].append(f)
+        sizes[half] *= len(used[f]) + 1
+    if max(sizes) * len(length) > 32 * TABLE_ENTRIES:
+        return None
+    possible = np.ones((1, len(length)), dtype=bool)
+    open_at = {f: np.ones((len(t) + 1, len(length)), dtype=bool) for f, t in used.items()}
+    for i, (f, t) in enumerate(zip(feature.tolist(), threshold.tolist())):
+        level = (i + 1).bit_length() - 1
+        width = len(length) >> level
+        first = (i + 1 - (1 << level)) * width
+        left, right = slice(first, first + width // 2), slice(first + width // 2, first + width)
+        if math.isfinite(t):
+            place = int(np.searchsorted(used[f], t))
+            open_at[f][place + 1 :, left] = open_at[f][: place + 1, right] = False
+        else:
+            possible[:, right] = False
+    halves, sets = [], []
+    for some in dealt:
+        found = possible
+        for f in some:
+            found = (found[:, None] & open_at[f][None]).reshape(-1, len(length))
+        packed = np.packbits(found, axis=1)
+        _, one, number = np.unique(packed, axis=0, return_index=True, return_inverse=True)
+        step, moves = len(found), []
+        for f in some:
+            step //= len(used[f]) + 1
+            below = np.searchsorted(np.searchsorted(edges[f], used[f]), np.arange(len(edges[f]) + 1))
+            moves.append((f, below * step))
+        halves.append((moves, number.ravel()))
+        sets.append(found[one])
+    a, b = sets
+    if len(a) * len(b) > TABLE_ENTRIES:
+        return None
+    halves[0] = (halves[0][0], halves[0][1] * len(b))
+    lengths, code = np.unique(length, return_inverse=True)
+    # one cell is left of each pair, so a sum over the cells is its code
+    codes = (a * code.astype(float)) @ b.T.astype(float)
+    return halves, codes.astype(np.min_scalar_type(len(lengths))).ravel(), lengths
+
+
 def _score_trees(parts: tuple, x: np.ndarray) -> np.ndarray:
-    features, thresholds, lengths, depth, scale = parts
+    features, thresholds, lengths, depth, scale, edges, tables = parts
     flat, first = np.ascontiguousarray(x, dtype=float).ravel(), np.arange(len(x)) * x.shape[1]
-    total = np.zeros(len(x))
-    for feature, threshold, length in zip(features, thresholds, lengths):
+    total, places = np.zeros(len(x)), []
+    if any(tables):
+        # a missing value is above no threshold
+        places = [np.searchsorted(e, np.where(np.isnan(v), -np.inf, v)) for e, v in zip(edges, flat.reshape(x.shape).T)]
+    for feature, threshold, length, table in zip(features, thresholds, lengths, tables):
+        if table:
+            halves, codes, by_code = table
+            at = [
+                number.take(reduce(np.add, [move.take(places[f], mode="clip") for f, move in moves] or [0]), mode="clip")
+                for moves, number in halves
+            ]
+            total += by_code.take(codes.take(at[0] + at[1], mode="clip"), mode="clip")
+            continue
         at = np.zeros(len(x), dtype=np.int64)
         for _ in range(depth):
             right = flat.take(first + feature.take(at)) > threshold.take(at)
@@ -141,15 +217,15 @@ class AnomalyDetector:
             raise ValueError(f"more than {bound} nodes: the node table does not belong to this model")
         return TreeArrays.of(rows, self.subsample)
 
-    def raw_score(self, spark: SparkSession, vector: Column) -> Column:
-        """Raw score in (0, 1] of an array of imputed feature values; higher is more anomalous."""
+    def raw_score(self, spark: SparkSession, values: Sequence[Column]) -> Column:
+        """Raw score in (0, 1] of imputed feature values; higher is more anomalous."""
         shared = spark.sparkContext.broadcast(self.arrays.parts())
 
         @F.pandas_udf(T.DoubleType())
-        def walk(x: pd.Series) -> pd.Series:
-            return pd.Series(_score_trees(shared.value, np.stack(x.to_numpy())) if len(x) else [], dtype=float)
+        def walk(*x: pd.Series) -> pd.Series:
+            return pd.Series(_score_trees(shared.value, np.stack(x, axis=1)) if len(x[0]) else [], dtype=float)
 
-        return walk(vector)
+        return walk(*values)
 
     def perturbation(self, spark: SparkSession, vector: Column, reference: Sequence[float]) -> Column:
         """Array of score changes when one feature at a time is set to its reference value."""
@@ -172,7 +248,7 @@ class AnomalyDetector:
 
     def score_raw(self, df: DataFrame, column: str = "anomaly_raw") -> DataFrame:
         filled = impute(df.select(*[F.col(f"`{f}`") for f in self.features], F.struct("*").alias("_row")), self.medians)
-        score = self.raw_score(df.sparkSession, feature_array(self.features))
+        score = self.raw_score(df.sparkSession, [F.col(f"`{f}`").cast("double") for f in self.features])
         return filled.select("_row", score.alias(column)).select("_row.*", column)
 
     def score(self, df: DataFrame, column: str = "anomaly_score") -> DataFrame:

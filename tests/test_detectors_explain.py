@@ -198,6 +198,30 @@ def test_isolation_trees(flows, anomaly):
     assert average_path([1, 2])[1] == 1.0 and average_path(256) == pytest.approx(10.2448, abs=1e-3)
 
 
+def test_isolation_look_ups_score_like_the_walk(anomaly, monkeypatch):
+    arrays = anomaly.arrays
+    assert all(arrays.tables)
+    rng = np.random.default_rng(3)
+    odd = [np.nan, np.inf, -np.inf, 0.0]
+    rows = np.stack([rng.choice(np.concatenate([e, e + 1e-9, rng.normal(2, 3, 200), odd]), 5000) for e in arrays.edges], axis=1)
+    walked = isolation._score_trees((*arrays.parts()[:-1], [None] * len(arrays.feature)), rows)
+    assert (arrays.score(rows) == walked).all()
+    monkeypatch.setattr(isolation, "TABLE_ENTRIES", 100)
+    small = isolation.TreeArrays(arrays.feature, arrays.threshold, arrays.length, arrays.depth, arrays.scale)
+    assert not any(small.tables) and (small.score(rows) == walked).all()
+
+
+def test_isolation_trees_without_a_split_or_with_many_features():
+    rng = np.random.default_rng(4)
+    grown = [isolation._grow(x, i, 5, 8) for i, x in enumerate([np.ones((256, 40)), rng.normal(size=(256, 40))])]
+    nodes = pd.concat([tree.astype({"threshold": float}) for tree in grown])
+    arrays = isolation.TreeArrays.of(nodes, 256)
+    rows = rng.normal(size=(300, 40))
+    assert [table is not None for table in arrays.tables] == [True, False]
+    walked = isolation._score_trees((*arrays.parts()[:-1], [None, None]), rows)
+    assert (arrays.score(rows) == walked).all()
+
+
 def test_anomaly_scores(spark, flows, anomaly, tmp_path):
     scored = anomaly.score(flows).toPandas()
     assert scored.anomaly_score.min() == 0.0 and scored.anomaly_score.max() == 1.0
