@@ -134,6 +134,19 @@ def test_scores_looked_up_by_cell_are_those_of_the_trees(spark, forest):
     assert len(found) == 500 and (found.a == found.c).all() and (found.b == found.c).all() and found.a.nunique() > 5
 
 
+def test_looking_up_scores_moves_no_row(spark, forest):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(10).select(*[F.col("id").cast("double").alias(f) for f in FEATURES])
+        vectors = rows.select(forest_module.array_to_vector(feature_array(FEATURES)).alias("v"))
+        for scored in (forest.score(rows), forest.score_vectors(vectors, "v", "s")):
+            plan = scored._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_copies_are_explained_once(spark, flows, forest, monkeypatch):
     rows = flows.crossJoin(spark.range(20)).select("key", feature_array(FEATURES).alias("v"))
     met, whole = [], explain.forest_contributions
