@@ -147,6 +147,20 @@ def test_looking_up_scores_moves_no_row(spark, forest):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_a_sample_is_explained_by_cell_in_few_tasks(spark, flows, forest, monkeypatch):
+    met, whole = [], explain.forest_contributions
+    monkeypatch.setattr(
+        explain, "forest_contributions", lambda d, v, *a: met.append((v.count(), v.rdd.getNumPartitions())) or whole(d, v, *a)
+    )
+    rows = flows.crossJoin(spark.range(20)).where("id = 0 OR key % 3 = 0").repartition(40)
+    got = {r["feature"]: (r["mean_abs_shap"], r["rank"]) for r in explain.forest_global(forest, rows).collect()}
+    each = whole(forest, rows.select(feature_array(FEATURES).alias("x"))).toPandas()
+    means = np.abs(np.stack(each["contributions"].to_numpy())).mean(axis=0)
+    assert met[0][0] <= 300 and met[0][1] == 1
+    assert {f: v for f, (v, _) in got.items()} == pytest.approx(dict(zip(FEATURES, means)))
+    assert [got[f][1] for f in np.array(FEATURES)[np.argsort(-means)]] == [1, 2, 3]
+
+
 def test_copies_are_explained_once(spark, flows, forest, monkeypatch):
     rows = flows.crossJoin(spark.range(20)).select("key", feature_array(FEATURES).alias("v"))
     met, whole = [], explain.forest_contributions
