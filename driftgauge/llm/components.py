@@ -9,7 +9,8 @@ from driftgauge.session import settle
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    """``(u, m)``, written, so that the join with it can be split where one node has very many neighbours."""
+    return settle(pairs.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -18,14 +19,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     least = _least_neighbour(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours and itself to the smallest of them. Edges have a < b."""
     down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     least = _least_neighbour(down)
-    moved = down.join(least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    moved = down.join(least.hint("merge"), "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
     return moved.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
 
 

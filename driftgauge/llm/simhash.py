@@ -94,7 +94,8 @@ def _stars(members: DataFrame) -> DataFrame:
         "node", "fp", F.posexplode(F.array(*[F.lit(int(m)) for m in masks])).alias("place", "mask")
     ).select("node", "place", F.expr("fp & ~mask").alias("rest"))
     groups = opened.groupBy("place", "rest").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
-    return opened.join(groups, ["place", "rest"]).where("a < node").select("a", F.col("node").alias("b"))
+    # Spark takes a table's size from the width of its rows, not from how many an explode makes of one
+    return opened.join(groups.hint("merge"), ["place", "rest"]).where("a < node").select("a", F.col("node").alias("b"))
 
 
 def links(prints: DataFrame, hot: int = 64) -> DataFrame:

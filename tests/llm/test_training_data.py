@@ -160,6 +160,32 @@ def test_links_of_close_fingerprints(spark, hot):
     assert len({min(g) for g in groups.values()}) == len(groups)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def settled_plans(patch, *modules):
+    """The plans of all tables that ``modules`` write, by name, as they come."""
+    from driftgauge.session import settle
+
+    plans = []
+    for module in modules:
+        patch.setattr(module, "settle", lambda df, name: plans.append((name, plan_of(df))) or settle(df, name))
+    return plans
+
+
+def test_opened_groups_are_not_broadcast(spark, monkeypatch):
+    from driftgauge.llm import components
+
+    plans = settled_plans(monkeypatch, components)
+    frame = spark.createDataFrame([(i, i) for i in range(8)], "node long, fp long")
+    stars = simhash._stars(frame)
+    assert "SortMergeJoin" in plan_of(stars) and "Broadcast" not in plan_of(stars)
+    found = components.connected_components(stars.distinct()).collect()
+    assert {(r.node, r.component) for r in found} == {(i, 0) for i in range(8)}
+    assert plans and all("Broadcast" not in plan for _, plan in plans)
+
+
 @pytest.fixture(scope="module")
 def byte_bpe():
     from tokenizers import Tokenizer
