@@ -8,6 +8,9 @@ all 64 bits. A variant that very many fingerprints share is not joined with itse
 members are opened into variants with two bits deleted over the whole fingerprint, and
 members of one such group are linked by construction, so a star of each group keeps every
 link's connectivity without listing pairs.
+
+All joins name their way, a shuffle: Spark takes a table's size from its files and the width of its rows, so a few
+MB of fingerprints opened into 64 or 2 016 rows each would go to the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -84,7 +87,7 @@ def deletion_variants(prints: DataFrame) -> DataFrame:
 def _pairs_below(shared: DataFrame, bits: int) -> DataFrame:
     left = shared.select("variant", F.col("node").alias("a"), F.col("fp").alias("fa"))
     right = shared.select("variant", F.col("node").alias("b"), F.col("fp").alias("fb"))
-    return left.join(right, "variant").where(f"a < b and bit_count(fa ^ fb) <= {bits}").select("a", "b")
+    return left.join(right.hint("merge"), "variant").where(f"a < b and bit_count(fa ^ fb) <= {bits}").select("a", "b")
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -94,7 +97,6 @@ def _stars(members: DataFrame) -> DataFrame:
         "node", "fp", F.posexplode(F.array(*[F.lit(int(m)) for m in masks])).alias("place", "mask")
     ).select("node", "place", F.expr("fp & ~mask").alias("rest"))
     groups = opened.groupBy("place", "rest").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
-    # Spark takes a table's size from the width of its rows, not from how many an explode makes of one
     return opened.join(groups.hint("merge"), ["place", "rest"]).where("a < node").select("a", F.col("node").alias("b"))
 
 
@@ -105,8 +107,8 @@ def links(prints: DataFrame, hot: int = 64) -> DataFrame:
     fingerprints are opened instead of joined.
     """
     variants = deletion_variants(prints)
-    size = variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
-    shared = settle(variants.join(size, "variant").select("variant", "node", "fp", "n"), "shared-variants")
+    size = settle(variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1"), "variant-sizes")
+    shared = settle(variants.join(size.hint("merge"), "variant").select("variant", "node", "fp", "n"), "shared-variants")
     found = _pairs_below(shared.where(F.col("n") <= hot), 2)
     many = shared.where(F.col("n") > hot).select("node", "fp").distinct()
     if not many.isEmpty():
@@ -126,12 +128,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, hot: int
     # a fingerprint is its own node number; components carry the smallest node, mapped to ids below
     edges = settle(links(distinct.select(F.col("fp").alias("node"), "fp"), hot), "fingerprint-links")
     component = connected_components(edges)
-    placed = distinct.join(component.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
+    placed = settle(
+        distinct.join(component.select(F.col("node").alias("fp"), "component").hint("merge"), "fp", "left").select(
+            "fp", "least", F.coalesce("component", "fp").alias("component")
+        ),
+        "placed-fingerprints",
     )
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = settle(placed.join(least, "component").select("fp", "component_id"), "fingerprint-components")
-    return prints.join(by_print, "fp").select(
+    least = settle(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least-ids")
+    by_print = settle(placed.join(least.hint("merge"), "component").select("fp", "component_id"), "fingerprint-components")
+    return prints.join(by_print.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -186,6 +186,15 @@ def test_opened_groups_are_not_broadcast(spark, monkeypatch):
     assert plans and all("Broadcast" not in plan for _, plan in plans)
 
 
+def test_variants_are_not_broadcast(spark, folder, monkeypatch):
+    plans = settled_plans(monkeypatch, simhash)
+    got = simhash.near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
+    assert len(got.collect()) == len(documents())
+    plans.append(("result", plan_of(got)))
+    assert {"shared-variants", "fingerprint-links", "result"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+
+
 @pytest.fixture(scope="module")
 def byte_bpe():
     from tokenizers import Tokenizer
