@@ -11,12 +11,12 @@ from driftgauge.llm import decontaminate, mixing, quality_crf, simhash
 from driftgauge.llm.common import text_bytes
 from driftgauge.session import settle
 
-#: Ids are sent to all tasks up to this number, 16 MB; more meet the documents in a shuffle.
+#: Ids are sent to all tasks up to this number; more meet the documents in a shuffle, however small Spark takes their files for.
 FEW = 1 << 20
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= FEW else df
+    return F.broadcast(df) if df.count() <= FEW else df.hint("merge")
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     )
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    repeated = kept.join(_small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return without(kept, again).unionByName(repeated)
 
 

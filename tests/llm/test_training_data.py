@@ -690,3 +690,14 @@ def test_mixing_stage_keeps_columns_of_any_name(spark):
     got = selection.mixed(docs)
     assert got.columns == docs.columns
     assert {tuple(r) for r in got.collect()} <= set(rows) and got.count() >= 12
+
+
+def test_many_ids_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(5), f"s{i % 3}") for i in range(12)] + [(5, prose(5), "s0")], "doc_id long, text string, source string")
+    plain = [selection.without(docs, docs.where("doc_id < 7").select("doc_id")), selection.mixed(docs), selection.keep_one_of_each(docs)]
+    monkeypatch.setattr(selection, "FEW", -1)
+    many = [selection.without(docs, docs.where("doc_id < 7").select("doc_id")), selection.mixed(docs), selection.keep_one_of_each(docs)]
+    assert all("Broadcast" in plan_of(x) for x in plain)
+    assert all("Broadcast" not in plan_of(x) for x in many)
+    for a, b in zip(plain, many):
+        same(a.select("doc_id", "source").collect(), b.select("doc_id", "source").collect())
